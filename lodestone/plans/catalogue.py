@@ -1,6 +1,6 @@
 """All registries of the core."""
 
-from . import core_problems
+from . import core_problems, reference
 
-FLAGSHIP = "p1_found"
-REGISTRIES = [core_problems.REGISTRY]
+FLAGSHIP = "q1_bm25"
+REGISTRIES = [core_problems.REGISTRY, reference.REGISTRY]
