@@ -86,7 +86,7 @@ class PartitionStore:
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _runs(self) -> list[int]:
+    def runs(self) -> list[int]:
         at = self._p(f"{self.path}/fingerprints")
         if not self._fs.exists(at):
             return []
@@ -104,7 +104,7 @@ class PartitionStore:
         part = by_hash(self.key, self.partitions)
         src = source.where(F.col(self.key).isNotNull()).dropDuplicates().withColumn("_part", part)
         now = written(fingerprints(src, "_part", [self.key, *self.content]), "fingerprints")
-        runs = self._runs()
+        runs = self.runs()
         stored = self.spark.read.schema(now.schema).parquet(f"{self.path}/fingerprints/run={runs[-1]}") if runs else now.limit(0)
         ids = [r[0] for r in changed_partitions(now, stored, "_part").collect()]  # at most ``partitions`` numbers
         run = runs[-1] + 1 if runs else 1
@@ -121,4 +121,4 @@ class PartitionStore:
         return {"run": run if ids else (runs[-1] if runs else 0), "partitions": len(ids)}
 
     def describe(self) -> str:
-        return json.dumps({"path": self.path, "runs": self._runs(), "partitions": self.partitions})
+        return json.dumps({"path": self.path, "runs": self.runs(), "partitions": self.partitions})

@@ -1,6 +1,6 @@
 """All registries of the core."""
 
-from . import core_problems, reference
+from . import building, core_problems, reference
 
 FLAGSHIP = "q1_bm25"
-REGISTRIES = [core_problems.REGISTRY, reference.REGISTRY]
+REGISTRIES = [core_problems.REGISTRY, reference.REGISTRY, building.REGISTRY]
