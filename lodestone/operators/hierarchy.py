@@ -13,7 +13,7 @@ file is no symbol; repeated rows count once; a symbol that is its own parent is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import clean, written
@@ -42,9 +42,14 @@ def _coin(column: str, turn: int):
     return F.pmod(F.xxhash64(F.col("file"), F.col(column), F.lit(turn)), F.lit(2)) == 1
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """(file, pos, root_pos, depth) of each node in ``links`` (file, pos, up), -1 and -1 for those on or below a cycle."""
-    alive = written(links.dropDuplicates(["file", "pos"]).select("file", "pos", "up", F.lit(1).alias("w")), "alive")
+def contract(links: DataFrame, with_path: bool = False) -> DataFrame:
+    """(file, pos, root_pos, depth) of each node in ``links`` (file, pos, up), -1 and -1 for those on or below a cycle.
+
+    ``with_path``: also the array of pos from the root to the node; a spliced edge then keeps the nodes it leaps.
+    """
+    extra = ["leapt"] if with_path else []
+    no_nodes = F.expr("cast(array() as array<int>)")
+    alive = written(links.dropDuplicates(["file", "pos"]).select("file", "pos", "up", F.lit(1).alias("w"), *[no_nodes.alias("leapt")] * with_path), "alive")
     records: list[DataFrame] = []
     cores = None
     turn = 0
@@ -58,25 +63,27 @@ def contract(links: DataFrame) -> DataFrame:
         state = state.join(parents, ["file", "up"], "left")  # a parent that hangs on nothing is a root and stays
         splice = (F.col("kids") == 1) & _coin("pos", turn) & (F.col("hangs").isNull() | ~_coin("up", turn))
         step = F.when(F.col("kids") == 0, 0).when(splice, 1).otherwise(2)
-        state = written(state.select("file", "pos", "up", "w", step.alias("step")), "round")
-        counts = {r["step"]: r["n"] for r in state.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not counts:
+        seen = Observation()
+        state = state.select("file", "pos", "up", "w", *extra, step.alias("step")).observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(F.col("step") > 0).alias("inner"))
+        state = written(state, "round")
+        if not seen.get["all"]:
             break
         records.append(state.where("step < 2"))
-        if not counts.get(1) and not counts.get(2):
+        if not seen.get["inner"]:
             break
-        gone = state.where("step = 1").select("file", F.col("pos").alias("up"), F.col("up").alias("up2"), F.col("w").alias("w2"))
+        gone = state.where("step = 1").select("file", F.col("pos").alias("up"), F.col("up").alias("up2"), F.col("w").alias("w2"), *[F.concat("leapt", F.array("pos")).alias("leapt2")] * with_path)
         rest = state.where("step = 2").join(gone, ["file", "up"], "left")
-        alive = written(rest.select("file", "pos", F.coalesce("up2", "up").alias("up"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")), "alive")
+        alive = written(rest.select("file", "pos", F.coalesce("up2", "up").alias("up"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), *[F.concat(F.coalesce("leapt2", no_nodes), "leapt").alias("leapt")] * with_path), "alive")
         turn += 1
-    done = written(cores.select("file", "pos", F.lit(-1).alias("root_pos"), F.lit(-1).alias("depth")), "resolved")
+    done = written(cores.select("file", "pos", F.lit(-1).alias("root_pos"), F.lit(-1).alias("depth"), *[F.lit(None).cast("array<int>").alias("path")] * with_path), "resolved")
     for state in reversed(records):
         for step in (1, 0):
-            known = done.select("file", F.col("pos").alias("up"), F.col("root_pos").alias("r"), F.col("depth").alias("d"))
+            known = done.select("file", F.col("pos").alias("up"), F.col("root_pos").alias("r"), F.col("depth").alias("d"), *[F.col("path").alias("p")] * with_path)
             got = state.where(F.col("step") == step).join(known, ["file", "up"], "left")
             root = F.coalesce("r", "up")
             depth = F.when(F.col("d") == -1, -1).otherwise(F.coalesce("d", F.lit(0)) + F.col("w"))
-            done = done.unionByName(got.select("file", "pos", root.alias("root_pos"), depth.cast("int").alias("depth")))
+            path = F.when(depth != -1, F.concat(F.coalesce("p", F.array("up")), "leapt", F.array("pos"))) if with_path else None
+            done = done.unionByName(got.select("file", "pos", root.alias("root_pos"), depth.cast("int").alias("depth"), *([path.alias("path")] if with_path else [])))
         done = written(done, "resolved")
     return done
 
@@ -103,3 +110,37 @@ def deep_or_cyclic(symbols: DataFrame) -> DataFrame:
     known = top.select("file", F.col("pos").alias("up"), "root_pos", "depth")
     depth = F.when(F.col("depth") == -1, -1).otherwise(F.col("depth") + 1).cast("int")
     return links.join(known, ["file", "up"]).select("file", "pos", "root_pos", depth.alias("depth")).distinct()
+
+
+def _node_paths(symbols: DataFrame) -> DataFrame:
+    """(file, pos, depth, path) of every symbol: the array of pos from the root down to it, null on or below a cycle."""
+    links = written(parent_links(symbols).dropDuplicates(["file", "pos"]), "links")
+    inner = links.select("file", F.col("up").alias("pos")).distinct()
+    top = contract(links.join(inner, ["file", "pos"], "left_semi"), with_path=True)
+    known = top.select("file", F.col("pos").alias("up"), F.col("depth").alias("d"), F.col("path").alias("p"))
+    under = links.join(inner, ["file", "pos"], "left_anti").join(known, ["file", "up"], "left")
+    depth = F.when(F.col("d") == -1, -1).otherwise(F.coalesce("d", F.lit(0)) + 1).cast("int")
+    leaves = under.select("file", "pos", depth.alias("depth"), F.when(depth != -1, F.concat(F.coalesce("p", F.array("up")), F.array("pos"))).alias("path"))
+    placed = top.select("file", "pos", "depth", "path").unionByName(leaves)
+    every = symbols.where(F.col("file").isNotNull() & F.col("pos").isNotNull()).select("file", "pos").distinct()
+    roots = every.join(links.select("file", "pos"), ["file", "pos"], "left_anti").select("file", "pos", F.lit(0).alias("depth"), F.array("pos").alias("path"))
+    return written(placed.unionByName(roots), "paths")
+
+
+def paths(symbols: DataFrame) -> DataFrame:
+    """(file, pos, path, depth, root_pos, n_descendants) of every symbol; the path holds names, with a slash between."""
+    nodes = _node_paths(symbols)
+    names = symbols.where(F.col("file").isNotNull() & F.col("pos").isNotNull()).groupBy("file", "pos").agg(F.min(clean("name")).alias("name"))
+    steps = nodes.select("file", "pos", F.posexplode("path").alias("i", "at"))
+    named = steps.join(names.select("file", F.col("pos").alias("at"), "name"), ["file", "at"])
+    text = named.groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("name", F.lit("")).alias("n")))).alias("s"))
+    text = text.select("file", "pos", F.array_join(F.transform("s", lambda x: x["n"]), "/").alias("path"))
+    below = steps.where("at <> pos").groupBy("file", F.col("at").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    root = F.when(F.col("depth") == -1, -1).otherwise(F.try_element_at(nodes["path"], F.lit(1)))
+    return nodes.select("file", "pos", "depth", root.alias("root_pos")).join(text, ["file", "pos"], "left").join(below, ["file", "pos"], "left").select("file", "pos", "path", "depth", "root_pos", F.coalesce("n", F.lit(0)).alias("n_descendants"))
+
+
+def descendants(symbols: DataFrame) -> DataFrame:
+    """(file, pos, descendant, distance): every symbol inside another, at whatever depth."""
+    steps = _node_paths(symbols).select("file", F.col("pos").alias("descendant"), "depth", F.posexplode("path").alias("i", "pos"))
+    return steps.where("pos <> descendant").select("file", "pos", "descendant", (F.col("depth") - F.col("i")).alias("distance"))

@@ -60,7 +60,10 @@ def changed_records(current: DataFrame, stored: DataFrame, key: str, content: st
         kept = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(content).alias("_c"), part.alias("_part"))
         sides.append(written(kept.sortWithinPartitions("_part"), f"records-{side}"))
     now, was = sides
-    changed = written(changed_partitions(fingerprints(now, "_part", ["_k", "_c"]), fingerprints(was, "_part", ["_k", "_c"]), "_part"), "changed")
+    # a null content is known on neither side, so it must not make two partitions equal
+    marked = [df.withColumn("_c", F.coalesce("_c", F.lit(f"\0{side}"))) for side, df in (("now", now), ("was", was))]
+    prints = [fingerprints(df, "_part", ["_k", "_c"]) for df in marked]
+    changed = written(changed_partitions(*prints, "_part"), "changed")
     # At most ``partitions`` numbers: a proven bound, so they go into the scan as a filter on row groups.
     ids = [r[0] for r in changed.collect()]
     if not ids:

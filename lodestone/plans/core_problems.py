@@ -148,3 +148,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent, root and depth of every symbol that has a parent."""
     return H.hierarchy(table(spark, sf_dir, "symbols")).distinct()
+
+
+_NAMED = "(select file, pos, min(name) nm from s group by file, pos)"
+
+
+@REGISTRY.query(
+    "p5_paths",
+    _TREE
+    + f""", up2 as (select w.file, w.pos, w.anc, w.depth from walk w join tree t on w.file = t.file and w.pos = t.pos where t.depth <> -1),
+    txt as (select u.file, u.pos, string_agg(coalesce(n.nm, ''), '/' order by u.depth desc) p from up2 u join {_NAMED} n on n.file = u.file and n.pos = u.anc group by u.file, u.pos),
+    below as (select file, anc pos, count(*) n from up2 group by file, anc)
+    select n.file, n.pos, case when t.depth = -1 then null else concat_ws('/', txt.p, coalesce(n.nm, '')) end path, coalesce(t.depth, 0)::int depth, case when t.depth is null then n.pos else t.root_pos end::int root_pos, coalesce(b.n, 0)::bigint n_descendants
+    from {_NAMED} n left join tree t on n.file = t.file and n.pos = t.pos left join txt on n.file = txt.file and n.pos = txt.pos left join below b on n.file = b.file and n.pos = b.pos""",
+)
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full path, depth, outermost symbol and number of symbols inside of every symbol."""
+    return H.paths(table(spark, sf_dir, "symbols"))
+
+
+@REGISTRY.query("p5_descendants", _TREE + "select w.file, w.anc::int pos, w.pos::int descendant, w.depth::int distance from walk w join tree t on w.file = t.file and w.pos = t.pos where t.depth <> -1")
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols inside every symbol."""
+    return H.descendants(table(spark, sf_dir, "symbols"))

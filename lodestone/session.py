@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
+_own: dict[str, str] = {}
 
 
-def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
+def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benches. On a cluster the caller brings the session."""
     spark = (
         SparkSession.builder.master(master)
@@ -21,6 +22,7 @@ def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=conf)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="lodestone-"))
     return folder.rstrip("/")
 
 
