@@ -38,18 +38,20 @@ class Items:
     """The items' words as numbers from 1, their windows, and the keys of words before a colon."""
 
     def __init__(self, rows: list[tuple[int, str]], words: int = WORDS, shingle: int = SHINGLE):
-        self.size, self.shingle = words, shingle
+        self.shingle = shingle
         self.number: dict[str, int] = {}
         self.keep: set[str] = set()
         self.windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for item, text in rows:
             own = [w for w in (text or "").split() if _WORD.search(w)]
             self.keep |= {k for w in own if w.rstrip("\"'»").endswith(":") and (k := MEMO[w])}
-            keys = [k for k in (MEMO[w] for w in own) if k]
-            if len(keys) >= words:
-                n = [self.number.setdefault(k, len(self.number) + 1) for k in keys]
-                for i in range(len(n) - words + 1):
-                    self.windows[tuple(n[i : i + words])].add(item)
+            keys = [MEMO[w] for w in own]
+            for i in range(len(keys) - words + 1):
+                window = tuple(self.number.setdefault(k, len(self.number) + 1) for k in keys[i : i + words] if k)
+                if len(window) >= shingle:
+                    self.windows[window].add(item)
+        #: Words without a key are left out on both sides, so some windows are shorter.
+        self.least = min(map(len, self.windows), default=words)
 
     def shingles(self) -> np.ndarray:
         found = [shingle_ids(np.array(w, dtype=np.uint32), self.shingle) for w in self.windows]
@@ -123,7 +125,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _leaks_of(spark, docs: DataFrame, held: Items) -> DataFrame:
-    number, keep, size, k = held.number, frozenset(held.keep), held.size, held.shingle
+    number, keep, size, k = held.number, frozenset(held.keep), held.least, held.shingle
 
     def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

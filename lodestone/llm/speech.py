@@ -63,6 +63,8 @@ _LETTERS = re.compile("[a-z]")
 def word_key(word: str) -> str:
     """The key of one word; empty if nothing of it is a letter that survives damage. Digits alone stay as they are."""
     w = word
+    if len(alone := w.strip(_MARKS)) == 1 and not alone.isascii():
+        return ""  # one letter that a wrong decoding turns into another or destroys
     western = len(WESTERN.findall(w))
     if western and (western > 2 or western == len(w.strip(_MARKS))) and western > len(_LETTERS.findall(w.lower())):
         w = w.encode("latin-1", "ignore").decode("cp1251", "ignore")
