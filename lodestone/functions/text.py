@@ -38,8 +38,14 @@ def subtokens(raw: Column, folded: Column | None = None) -> Column:
     f = raw if folded is None else folded
     apart = F.regexp_replace(F.regexp_replace(f, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     whole = F.when(~F.trim(raw).rlike(r"\s"), F.regexp_replace(F.lower(f), "[^a-z0-9_]+", "")).otherwise("")
-    parts = F.transform(F.split(apart, "[^A-Za-z0-9]+"), F.lower)
-    return F.array_distinct(F.filter(F.concat(F.array(whole), parts), lambda t: F.length(t) >= 2))
+    return F.filter(F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+"))), lambda t: F.length(t) >= 2)
+
+
+def exploded_subtokens(raw: Column) -> Column:
+    """As ``subtokens``, for explode: short parts are still in it, so that no lambda keeps it out of generated code."""
+    apart = F.regexp_replace(F.regexp_replace(raw, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    whole = F.when(~F.trim(raw).rlike(r"\s"), F.regexp_replace(F.lower(raw), "[^a-z0-9_]+", "")).otherwise("")
+    return F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+")))
 
 
 def keywords(question: str) -> list[str]:

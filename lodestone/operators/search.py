@@ -12,8 +12,9 @@ from ..session import written
 
 def postings(docs: DataFrame, doc: str, content: Column) -> DataFrame:
     """(doc, term, tf): the subtokens of each word of the content, counted."""
-    words = docs.select(F.col(doc).alias("doc"), F.explode(F.split(content, r"\s+")).alias("word"))
-    return words.select("doc", F.explode(text.subtokens(F.col("word"))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select(F.col(doc).alias("doc"), F.explode(F.split(content, r"\s+")).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
+    terms = words.select("doc", "n", F.explode(text.exploded_subtokens(F.col("word"))).alias("term")).where(F.length("term") >= 2)
+    return terms.groupBy("doc", "term").agg(F.sum("n").alias("tf"))
 
 
 def query_terms(question: str) -> list[str]:
