@@ -15,9 +15,9 @@ a few bytes more; repeated texts are cut alike; columns with other names are not
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .tokens import VOCABULARY, Tokenizer, tokenizer
 
 LIMIT, OVERLAP = 2048, 64
-#: Boundaries from strong to weak; the cut falls at the end of the match.
-BOUNDARIES = [re.compile(p) for p in (r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+|\s(?=\d+\s+\d\d?:\d\d)", r"\r\n|\r|\n|\s{2,}", r"[.!?…]+[\"'»)\]]*\s+", r"\s+")]
+#: Boundaries in UTF-8 bytes from strong to weak: cues, lines, sentences, words; the cut falls at the end of the match.
+BOUNDARIES = [re.compile(p) for p in (rb"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+|\s(?=\d+\s+\d\d?:\d\d)", rb"\r\n|\r|\n|\s{2,}", rb"(?:[.!?]|\xe2\x80\xa6)+[\"')\]]*\s+", rb"\s+")]
 #: Tokens that a piece read by itself may have more than its share of the whole text.
 SLACK = 8
 
@@ -38,21 +38,16 @@ def bisect(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP
     n = len(ends)
     if n <= limit:
         return [(0, 0, n)]
-    starts = [0, *ends[:-1]]
-    whole = [i for i in range(n) if i == 0 or raw[starts[i]] & 0xC0 != 0x80]  # tokens that begin with a character
-    strength = {}
-    if text.isascii():
-        at = None
-    else:
-        at = [0]
-        for c in text:
-            at.append(at[-1] + len(c.encode("utf-8", "surrogatepass")))
+    data = np.frombuffer(raw, dtype=np.uint8)
+    starts = np.concatenate(([0], ends[:-1]))
+    whole = (data[starts] & 0xC0) != 0x80  # tokens that begin with a character
+    strength = np.full(n, len(BOUNDARIES))
     for level in range(len(BOUNDARIES) - 1, -1, -1):
-        for m in BOUNDARIES[level].finditer(text):
-            e = m.end() if at is None else at[m.end()]
-            i = bisect_left(starts, e)
-            if 0 < i < n and (starts[i] == e or raw[starts[i] - 1 : e].isspace() or starts[i] - e <= 1):
-                strength[i] = level
+        e = np.fromiter((m.end() for m in BOUNDARIES[level].finditer(raw)), dtype=np.int64)
+        i = np.searchsorted(starts, e, side="right") - 1
+        # a token may begin with the blank that ends the match
+        strength[i[(starts[i] == e) | (starts[i] == e - 1)]] = level
+    strength[~whole] = len(BOUNDARIES) + 1
     room = max(1, limit - overlap - SLACK)
     cuts: list[int] = []
     stack = [(0, n)]
@@ -61,18 +56,19 @@ def bisect(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP
         if b - a <= room:
             continue
         mid, reach = (a + b) // 2, max(1, (b - a) // 4)
-        lo, hi = bisect_left(whole, max(a + 1, mid - reach)), bisect_left(whole, min(b, mid + reach + 1))
-        near = whole[lo:hi] or [i for i in whole if a < i < b]
-        if not near:
-            continue
-        cut = min(near, key=lambda i: (strength.get(i, len(BOUNDARIES)), abs(i - mid), i))
-        cuts.append(cut)
-        stack += [(a, cut), (cut, b)]
+        for lo, hi in ((max(a + 1, mid - reach), min(b, mid + reach + 1)), (a + 1, b)):
+            near = strength[lo:hi]
+            if len(near) and near.min() <= len(BOUNDARIES):
+                at = np.flatnonzero(near == near.min()) + lo
+                cut = int(at[np.argmin(np.abs(at - mid))])
+                cuts.append(cut)
+                stack += [(a, cut), (cut, b)]
+                break
     cuts = [0, *sorted(cuts), n]
     out = []
     for a, b in zip(cuts, cuts[1:]):
         first = max(0, a - overlap)
-        while first > 0 and raw[starts[first]] & 0xC0 == 0x80:
+        while first > 0 and not whole[first]:
             first -= 1
         out.append((first, a, b))
     return out
@@ -95,7 +91,7 @@ def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lim
                 if not whole and tok.count(t) <= limit:
                     continue
                 raw = t.encode("utf-8", "surrogatepass")
-                ends = [0, *tok.ends(t)]
+                ends = [0, *tok.ends(t).tolist()]
                 parts = bisect(t, tok, limit, overlap)
                 for i, (first, own, end) in enumerate(parts):
                     row = [d, i, len(parts), ends[first], ends[own], ends[end], end - first, own - first]

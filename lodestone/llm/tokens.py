@@ -11,6 +11,7 @@ import base64
 import os
 import re
 
+import numpy as np
 import tiktoken
 
 #: Fixed value: the pattern that belongs to the byte-level vocabularies.
@@ -26,7 +27,9 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.exact = tiktoken.Encoding("exact", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._fast = tiktoken.Encoding("fast", pat_str=PATTERN.replace(r"\s+(?!\S)|\s+", r"\s"), mergeable_ranks=ranks, special_tokens={})
-        self._length = {r: len(b) for b, r in ranks.items()}
+        self._length = np.zeros(max(ranks.values()) + 1, np.int64)
+        for b, r in ranks.items():
+            self._length[r] = len(b)
         self._more: dict[str, int] = {}
 
     def count(self, text: str) -> int:
@@ -41,13 +44,9 @@ class Tokenizer:
             d = self._more[run] = len(self.exact.encode_ordinary(run)) - sum(len(self.exact.encode_ordinary(c)) for c in run)
         return d
 
-    def ends(self, text: str) -> list[int]:
+    def ends(self, text: str) -> np.ndarray:
         """For each token the byte where it ends."""
-        out, at = [], 0
-        for t in self.exact.encode_ordinary(text):
-            at += self._length[t]
-            out.append(at)
-        return out
+        return np.cumsum(self._length[self.exact.encode_ordinary(text)])
 
 
 def tokenizer(path: str = VOCABULARY) -> Tokenizer:
