@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -30,15 +30,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = K.DAMPING, ite
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    state = written(ids.join(out.select("id", F.lit(True).alias("links")), "id", "left").select("id", F.coalesce("links", F.lit(False)).alias("links"), F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("moved")), "rank")
-    for _ in range(iterations):
-        loose = state.agg(F.sum(F.when(~F.col("links"), F.col("rank"))).alias("x")).first()["x"] or 0.0
-        base = (1 - damping + damping * loose) / n
+    links = F.coalesce("links", F.lit(False)).alias("links")
+    state = ids.join(out.select("id", F.lit(True).alias("links")), "id", "left").select("id", links, F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("moved"))
+    for turn in range(iterations + 1):
+        seen = Observation()  # what the next round needs is summed while the round is written
+        state = written(state.observe(seen, F.sum(F.when(~F.col("links"), F.col("rank"))).alias("loose"), F.sum("moved").alias("moved")), "rank")
+        if turn == iterations or (seen.get["moved"] or 0.0) < stop:
+            break
+        base = (1 - damping + damping * (seen.get["loose"] or 0.0)) / n
         got = e.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
-        state = written(state.join(got, "id", "left").select("id", "links", new.alias("new"), F.abs(new - F.col("rank")).alias("moved")).withColumnRenamed("new", "rank"), "rank")
-        if (state.agg(F.sum("moved").alias("x")).first()["x"] or 0.0) < stop:
-            break
+        state = state.join(got, "id", "left").select("id", "links", new.alias("new"), F.abs(new - F.col("rank")).alias("moved")).withColumnRenamed("new", "rank")
     return state.select("id", (F.col("rank") * n).alias("rank"))
 
 

@@ -115,12 +115,10 @@ def enclosing(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Ties go to the later start, then the earlier end, then the greater pos.
     """
-    s = definitions(symbols).select("file", F.col("line").alias("s_line"), F.col("end_line").alias("s_end"), F.col("pos").alias("s_pos"), F.col("name").alias("enclosing"))
-    keys = sites.columns
-    hit = sites.join(s, "file").where((F.col("s_line") <= F.col("line")) & (F.col("s_end").isNull() | (F.col("line") <= F.col("s_end"))))
-    rank = F.struct("s_line", (-F.coalesce("s_end", F.lit(2147483647))).alias("e"), "s_pos")
-    inner = hit.groupBy(*keys).agg(F.max_by("enclosing", rank).alias("enclosing"))
-    return sites.join(inner, keys, "left")
+    s = definitions(symbols).select(F.col("file").alias("s_file"), F.col("line").alias("s_line"), F.col("end_line").alias("s_end"), F.col("pos").alias("s_pos"), F.col("name").alias("enclosing"))
+    near = (F.col("file") == F.col("s_file")) & (F.col("s_line") <= F.col("line")) & (F.col("s_end").isNull() | (F.col("line") <= F.col("s_end")))
+    rank = F.when(F.col("s_file").isNotNull(), F.struct("s_line", (-F.coalesce("s_end", F.lit(2147483647))).alias("e"), "s_pos"))
+    return sites.join(s, near, "left").groupBy(*sites.columns).agg(F.max_by("enclosing", rank).alias("enclosing"))
 
 
 def tests_map(edges: DataFrame) -> DataFrame:
