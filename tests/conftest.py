@@ -5,6 +5,6 @@ from lodestone.session import session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = session("local[4]", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+    s = session("local[4]", 2, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
     s.stop()
