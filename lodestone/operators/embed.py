@@ -61,6 +61,17 @@ class Model:
         return [0] * self.dim if norm == 0 else np.clip(np.rint(mean / norm * K.QUANTUM), -K.QUANTUM, K.QUANTUM).astype(int).tolist()
 
 
+def letter_model(dim: int = 32, seed: int = 1) -> Model:
+    """A model that knows every word of letters and digits: a fixed random vector for each one or two of them.
+
+    It has learned nothing; words are alike as far as they share pairs. It stands in where no trained model is at hand.
+    """
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    short = [*signs, *(a + b for a in signs for b in signs)]
+    vocab = ["[UNK]", *short, *("##" + x for x in short)]
+    return Model(f"letters-{dim}", vocab, np.random.RandomState(seed).standard_normal((len(vocab), dim)).tolist())
+
+
 def units(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """What gets a vector: each named symbol of a file once, and files without symbols under their title or name."""
     s = symbols.where("name is not null").groupBy("file", "name").agg(F.min("line").alias("line")).select("file", F.col("name").alias("symbol"), "line", F.col("name").alias("text"))
@@ -77,7 +88,8 @@ def build_index(unit_rows: DataFrame, model: Model | None = None, encoder: Calla
             if encoder:
                 vecs = [v for i in range(0, len(texts), batch) for v in encoder(texts[i : i + batch])]
             else:
-                vecs = [model.encode(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t)) for t in texts]
+                known = {t: model.encode(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", t)) for t in dict.fromkeys(texts)}
+                vecs = [known[t] for t in texts]
             yield b.drop(columns="text").assign(vec=vecs)
 
     return unit_rows.select("file", "symbol", "line", "text").mapInPandas(run, "file string, symbol string, line int, vec array<int>")

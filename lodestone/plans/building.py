@@ -1,4 +1,4 @@
-"""Queries over a small tree that is built in full: extraction, resolution, callers, artifacts, workspaces, diffs."""
+"""Queries over a small tree that is built in full: extraction, resolution, callers, workspaces, diffs; artifacts and vectors over the tables."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from ..sinks import artifacts
 from ..sources import git
 from ..streaming import refresh
 from .fixture import DIFF, FILES
-from .reference import edges, idents, module_edges, nodes, symbols
+from .reference import edges, files, idents, module_edges, nodes, symbols, vectors
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -166,10 +166,8 @@ def sk8_symbol_ids(spark, d):
 
 @query("sk7_scip_documents")
 def sk7_scip_documents(spark, d):
-    t = tree(spark)
-    s = extract.child(t, "symbols")
-    occ = artifacts.occurrences(s, extract.child(t, "calls").select("file", "name", "line"), texts(spark))
-    return artifacts.scip_documents(occ, t.select("rel", "lang")).select("file", F.length("document").alias("bytes"))
+    """Definitions of all files of the table; it tells no lines of names in use, so calls are placed in trees only."""
+    return artifacts.scip_documents(artifacts.occurrences(symbols(spark, d, by_file=True)), files(spark, d).select("rel", "lang")).select("file", F.length("document").alias("bytes"))
 
 
 _MODEL = embed.Model("tiny", ["[UNK]", "crane", "driver", "cargo", "weigh", "log", "stack", "##s", "tow", "##er", "empty"], [[1.0, 0, 0, 0], [0, 1, 0, 0], [0, 1, 1, 0], [0, 0, 1, 0], [0, 0, 1, 1], [1, 0, 0, 1], [0, 0, 0, 1], [0.5, 0, 0, 0], [0, 0, 0, 2], [0, 1, 0, 1], [1, 0, 1, 0]])
@@ -182,24 +180,49 @@ def q5_encode(spark, d):
     return spark.createDataFrame(rows, "text string, vec string")
 
 
+def _encoded(spark, d):
+    """(text, vec) of all texts of files and symbols that get a vector, each text once."""
+    t = embed.units(files(spark, d), symbols(spark, d)).select(F.lit("").alias("file"), F.col("text").alias("symbol"), F.lit(None).cast("int").alias("line"), "text").distinct()
+    return embed.build_index(t, embed.letter_model()).select(F.col("symbol").alias("text"), "vec")
+
+
+@query("q5_encode_tables")
+def q5_encode_tables(spark, d):
+    return _encoded(spark, d).select("text", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
+
+
+def _units(spark, d):
+    s = written(symbols(spark, d, by_file=True), "symbols")
+    return written(embed.units(files(spark, d), s), "units")
+
+
+def _lexical(spark, d, units):
+    """What the tables tell of a file in words: path, title, first comment, each name defined and used. Once gathered by file, postings need no shuffle."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), " ").alias("content")
+    f = files(spark, d).select("rel", F.concat_ws(" ", "rel", "title", "summary").alias("content"))
+    s = units.where("symbol is not null").groupBy(F.col("file").alias("rel")).agg(joined("symbol"))
+    i = idents(spark, d, by_file=True).groupBy(F.col("file").alias("rel")).agg(joined("ident"))
+    words = written(f.unionByName(s).unionByName(i), "words").repartition("rel")
+    return search.bm25(words, "rel", F.col("content"), "crane driver", limit=50)
+
+
 @query("q8_semantic")
 def q8_semantic(spark, d):
-    t = tree(spark)
-    index = written(embed.build_index(embed.units(t.select("rel", "title", "summary"), extract.child(t, "symbols")), _MODEL), "vectors")
-    lexical = search.bm25(texts(spark), "rel", F.col("content"), "crane driver", limit=50)
-    return embed.semantic(index, _MODEL.encode("crane driver"), lexical)
+    """The question against the vectors and the words of all files and symbols."""
+    model, u = embed.letter_model(), _units(spark, d)
+    return embed.semantic(embed.build_index(u, model), model.encode("crane driver"), _lexical(spark, d, u))
 
 
 @query("q16_degraded")
 def q16_degraded(spark, d):
-    return embed.semantic(None, None, search.bm25(texts(spark), "rel", F.col("content"), "crane driver", limit=50), reason="no model")
+    return embed.semantic(None, None, _lexical(spark, d, _units(spark, d)), reason="no model")
 
 
 @query("sk6_packed_vectors")
 def sk6_packed_vectors(spark, d):
-    rows = [({"file": f"f{i}"}, _MODEL.encode(t)) for i, t in enumerate(("crane", "cargo", "log"))]
-    head, vecs = artifacts.unpack_vectors(artifacts.pack_vectors(rows, "tiny", 4))
-    return spark.createDataFrame([(r["file"], ",".join(map(str, v))) for r, v in zip(head["records"], vecs)], "file string, vec string")
+    """All vectors packed into files of some thousand each, and read back from them."""
+    blocks = written(artifacts.packed_blocks(vectors(spark, d), "vec_id", "q", "embeddings"), "packed")
+    return artifacts.unpacked_blocks(blocks, "vec_id").select("vec_id", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
 
 
 @query("sk11_diagram")

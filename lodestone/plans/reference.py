@@ -43,12 +43,15 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return latest(f.where("rel is not null"), "rel", "built_at", ["file_kind", "module", "symbols", "deg_in", "deg_out", "pagerank"])
 
 
-def symbols(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "symbols").where("file is not null").select("file", "pos", clean("name").alias("name"), "kind", "line", "end_line", clean("parent").alias("parent"), "exported", clean("lang").alias("lang")).distinct()
+def symbols(spark: SparkSession, d: str, by_file: bool = False) -> DataFrame:
+    """``by_file``: shuffled by file alone, so that what follows by file needs no second shuffle."""
+    s = table(spark, d, "symbols").where("file is not null").select("file", "pos", clean("name").alias("name"), "kind", "line", "end_line", clean("parent").alias("parent"), "exported", clean("lang").alias("lang"))
+    return (s.repartition("file") if by_file else s).distinct()
 
 
-def idents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "idents").select("file", clean("ident").alias("ident")).where("ident is not null and file is not null").distinct()
+def idents(spark: SparkSession, d: str, by_file: bool = False) -> DataFrame:
+    i = table(spark, d, "idents").select("file", clean("ident").alias("ident")).where("ident is not null and file is not null")
+    return (i.repartition("file") if by_file else i).distinct()
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

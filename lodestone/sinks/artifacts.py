@@ -72,6 +72,32 @@ def unpack_vectors(data: bytes) -> tuple[dict, list[list[int]]]:
     return head, [list(struct.unpack(f"{dim}b", body[i * dim : (i + 1) * dim])) for i in range(head["count"])]
 
 
+def packed_blocks(vectors: DataFrame, key: str, vec: str, model: str, per_block: int = 4096) -> DataFrame:
+    """(block, data): packed files of a bounded number of vectors each, made where the rows lie. ``key``: a number."""
+    import pandas as pd
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(key)
+        rows = [({key: int(k)}, v.tolist()) for k, v in zip(g[key], g[vec])]
+        return pd.DataFrame({"block": [g["block"].iloc[0]], "data": [pack_vectors(rows, model, len(rows[0][1]))]})
+
+    blocks = vectors.select(F.floor(F.col(key) / per_block).cast("bigint").alias("block"), key, vec)
+    return blocks.groupBy("block").applyInPandas(pack, "block bigint, data binary")
+
+
+def unpacked_blocks(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, vec) of all packed files."""
+    import pandas as pd
+
+    def unpack(batches):
+        for b in batches:
+            for data in b["data"]:
+                head, vecs = unpack_vectors(bytes(data))
+                yield pd.DataFrame({key: [r[key] for r in head["records"]], "vec": vecs})
+
+    return blocks.select("data").mapInPandas(unpack, f"{key} bigint, vec array<int>")
+
+
 # protobuf of a code index: documents with occurrences and symbols
 
 
@@ -110,13 +136,13 @@ def symbol_ids(symbols: DataFrame) -> DataFrame:
     return x.select("file", "pos", "name", "line", F.concat(F.col("base"), mark).alias("symbol"))
 
 
-def occurrences(symbols: DataFrame, calls: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def occurrences(symbols: DataFrame, calls: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(file, line, start, stop, symbol, role): definitions, and calls of names that one file alone defines."""
     ids = symbol_ids(symbols)
-    one = ids.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("symbol").alias("symbol")).where("n = 1").drop("n")
-    d = ids.select("file", "line", "name", "symbol", F.lit(1).alias("role"))
-    c = calls.join(one, "name").select("file", "line", "name", "symbol", F.lit(0).alias("role"))
-    x = d.unionByName(c)
+    x = ids.select("file", "line", "name", "symbol", F.lit(1).alias("role"))
+    if calls is not None:
+        one = ids.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("symbol").alias("symbol")).where("n = 1").drop("n")
+        x = x.unionByName(calls.join(one, "name").select("file", "line", "name", "symbol", F.lit(0).alias("role")))
     if texts is None:
         start, stop = F.lit(0), F.length("name")
     else:
@@ -132,18 +158,24 @@ def scip_documents(rows: DataFrame, languages: DataFrame) -> DataFrame:
     """(file, document): the protobuf of each file, encoded where its rows lie; a file's occurrences are bounded by the caps on extraction."""
     import pandas as pd
 
-    def encode(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["line", "start", "stop", "role", "symbol"])
-        doc = tagged(1, g["file"].iloc[0]) + tagged(4, g["lang"].iloc[0] or "")
-        for r in g.itertuples(index=False):
-            where = b"".join(varint(x) for x in (r.line, r.start, r.stop))
-            doc += tagged(2, tagged(1, where) + tagged(2, r.symbol) + (tagged(3, int(r.role)) if r.role else b""))
-        for s in sorted(set(g.loc[g["role"] == 1, "symbol"])):
-            doc += tagged(3, tagged(1, s))
-        return pd.DataFrame({"file": [g["file"].iloc[0]], "document": [doc]})
-
-    joined = rows.join(languages.select(F.col("rel").alias("file"), "lang"), "file", "left")
-    return joined.groupBy("file").applyInPandas(encode, "file string, document binary")
+    parts = ["line", "start", "stop", "role", "symbol"]
+
+    def encode(batches):
+        for b in batches:
+            docs = []
+            for file, lang, *occ in zip(b["file"], b["lang"], *(b[p] for p in parts)):
+                doc = tagged(1, file) + tagged(4, lang or "")
+                for line, start, stop, role, symbol in zip(*(x.tolist() for x in occ)):
+                    where = varint(line) + varint(start) + varint(stop)
+                    doc += tagged(2, tagged(1, where) + tagged(2, symbol) + (tagged(3, role) if role else b""))
+                for s in sorted({s for s, r in zip(occ[4], occ[3]) if r == 1}):
+                    doc += tagged(3, tagged(1, s))
+                docs.append(doc)
+            yield pd.DataFrame({"file": b["file"], "document": docs})
+
+    x = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("o"))
+    x = x.join(languages.select(F.col("rel").alias("file"), "lang"), "file", "left")
+    return x.select("file", "lang", *[F.col(f"o.{p}").alias(p) for p in parts]).mapInPandas(encode, "file string, document binary")
 
 
 def scip_index(documents: DataFrame, root: str, version: str = "1") -> bytes:

@@ -1,6 +1,14 @@
 """Queries that do the whole of their job: no bound on names, every query vector, every module."""
 
+import re
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from lodestone.operators import embed, extract, search
+from lodestone.plans import building
+from lodestone.plans.reference import symbols
+from lodestone.sinks import artifacts
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +23,39 @@ def test_the_symbol_index_keeps_hot_names(spark, tmp_path):
     spark.createDataFrame(rows, "file string, pos int, name string, kind string, line int, end_line int, parent string, signature string, exported boolean, lang string").write.parquet(f"{tmp_path}/symbols.parquet")
     got = [(r["name"], r["file"], r["line"], r["kind"], r["parent"]) for r in run(spark, "sk2_symbol_index", str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([("run", f"f{i:02}.ts", 1, "function", None) for i in range(30)] + [("run", "f00.ts", 5, "method", "Crane")], key=str)
+
+
+def test_vectors_and_words_over_the_tables(spark, tmp_path):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    packed = {(r["vec_id"], r["vec"]) for r in run(spark, "sk6_packed_vectors").collect()}
+    assert len(packed) == n > 3 and packed == {(r["vec_id"], r["q"]) for r in run(spark, "a15_int8").collect()}
+    s = symbols(spark, SF).where("name is not null")
+    assert {r["file"] for r in run(spark, "sk7_scip_documents").collect()} == {r["file"] for r in s.select("file").distinct().collect()}
+    names = {r["name"] for r in s.select("name").distinct().collect()}
+    encoded = {r["text"]: r["vec"] for r in run(spark, "q5_encode_tables").collect()}
+    assert names <= set(encoded) and all(encoded[x] == ",".join(map(str, embed.letter_model().encode(re.sub("([a-z0-9])([A-Z])", r"\1 \2", x)))) for x in sorted(names)[:50])
+    listed = {r["rel"] for r in building.files(spark, SF).collect()}
+    found = run(spark, "q8_semantic").collect()
+    assert len(found) == 20 and {r["file"] for r in found} <= listed and {r["tier"] for r in found} == {"static"}
+    assert {r["file"] for r in run(spark, "q16_degraded").collect()} <= listed
+
+
+def test_small_packing_across_blocks(spark):
+    v = spark.createDataFrame([(i, [i - 5, -i]) for i in range(10)], "vec_id bigint, q array<int>")
+    blocks = artifacts.packed_blocks(v, "vec_id", "q", "m", per_block=4)
+    assert blocks.count() == 3
+    assert {(r[0], *r[1]) for r in artifacts.unpacked_blocks(blocks, "vec_id").collect()} == {(i, i - 5, -i) for i in range(10)}
+
+
+def test_constant_cases_of_vectors(spark):
+    tiny = building._MODEL
+    t = building.tree(spark)
+    lexical = search.bm25(building.texts(spark), "rel", F.col("content"), "crane driver", limit=50)
+    index = embed.build_index(embed.units(t.select("rel", "title", "summary"), extract.child(t, "symbols")), tiny)
+    assert {r["file"] for r in embed.semantic(index, tiny.encode("crane driver"), lexical).take(2)} == {"docs/crane.md", "web/src/crane.ts"}
+    assert {(r["tier"], r["degraded_reason"]) for r in embed.semantic(None, None, lexical, reason="no model").collect()} == {("lexical", "no model")}
+    head, vecs = artifacts.unpack_vectors(artifacts.pack_vectors([({"file": x}, tiny.encode(x)) for x in ("crane", "cargo", "log")], "tiny", 4))
+    assert head["count"] == 3 and vecs == [tiny.encode(x) for x in ("crane", "cargo", "log")]
+    occ = artifacts.occurrences(extract.child(t, "symbols"), extract.child(t, "calls").select("file", "name", "line"), building.texts(spark))
+    docs = {r["file"]: bytes(r["document"]) for r in artifacts.scip_documents(occ, t.select("rel", "lang")).collect()}
+    assert "web/src/crane.ts" in docs and b"emptyCargo" in docs["web/src/crane.test.ts"] and b"typescript" in docs["web/src/crane.ts"]
