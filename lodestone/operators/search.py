@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +86,62 @@ def nearest(vectors: DataFrame, query: list[int], key: str, vec: str) -> DataFra
     return vectors.select(key, text.dot(F.col(vec), q).alias("dot"))
 
 
-def best_per_group(scored: DataFrame, group: str, score: str, item: str) -> DataFrame:
-    return scored.groupBy(group).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"))).alias("b")).select(group, (-F.col("b.i")).alias(item), F.col("b.s").alias(score))
+def _query_blocks(queries: DataFrame, key: str, vec: str, block: int):
+    """The query set as (ids, matrix), ``block`` rows at a time, so that the driver never holds more of it."""
+    ids, rows = [], []
+    for r in queries.select(key, vec).orderBy(key).toLocalIterator():
+        ids.append(r[key])
+        rows.append(r[vec])
+        if len(ids) == block:
+            yield ids, np.array(rows, dtype=np.float64)
+            ids, rows = [], []
+    if ids:
+        yield ids, np.array(rows, dtype=np.float64)
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, key: str, vec: str, group: str | None, most: int, block: int) -> DataFrame:
+    """(query_id, group if any, key, dot): from each batch of vectors, the ``most`` best of each query and group.
+
+    Dots of 8-bit steps are whole numbers far below 2^53, so doubles hold them exactly.
+    """
+    cols = [key] + ([group] if group else [])
+    types = dict(vectors.dtypes)
+    schema = ", ".join(["query_id bigint", *(f"{c} {types[c]}" for c in cols), "dot bigint"])
+
+    def scorer(ids, matrix):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b = b.sort_values(key)  # the sort below is stable: of equal dots the smallest key comes first
+                parts = b.groupby(group, sort=False, dropna=False) if group else [(None, b)]
+                for _, g in parts:
+                    dots = matrix @ np.array(g[vec].tolist(), dtype=np.float64).T
+                    at = np.argsort(-dots, axis=1, kind="stable")[:, :most]
+                    out = g[cols].iloc[at.ravel()].reset_index(drop=True)
+                    out.insert(0, "query_id", np.repeat(ids, at.shape[1]))
+                    out["dot"] = np.take_along_axis(dots, at, axis=1).ravel().astype(np.int64)
+                    yield out
+
+        return run
+
+    out = None
+    for ids, matrix in _query_blocks(queries, key, vec, block):
+        part = vectors.select(*cols, vec).mapInPandas(scorer(ids, matrix), schema)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def nearest_of_set(vectors: DataFrame, queries: DataFrame, key: str, vec: str, most: int = K.SEARCH_LIMIT, block: int = 256) -> DataFrame:
+    """(query_id, key, dot): for each vector of a query set its nearest ``most`` of all vectors, ties to the smallest key."""
+    s = _scored(vectors, queries, key, vec, None, most, block)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dot"), key))
+    return s.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+
+
+def best_of_set(vectors: DataFrame, queries: DataFrame, group: str, key: str, vec: str, block: int = 256) -> DataFrame:
+    """(query_id, group, key, dot): for each vector of a query set the best of each group, ties to the smallest key."""
+    s = _scored(vectors, queries, key, vec, group, 1, block)
+    best = F.max(F.struct(F.col("dot").alias("s"), (-F.col(key)).alias("i"))).alias("b")
+    return s.groupBy("query_id", group).agg(best).select("query_id", group, (-F.col("b.i")).alias(key), F.col("b.s").alias("dot"))
 
 
 def fused(lists: list[DataFrame], key: str, rank: str, k: int = K.RRF_K) -> DataFrame:

@@ -2,15 +2,17 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.operators import embed, extract, search
 from lodestone.plans import building
-from lodestone.plans.reference import symbols
+from lodestone.plans.reference import symbols, vectors
 from lodestone.sinks import artifacts
 
 SF = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.1"
 
 
 def run(spark, name, d=SF):
@@ -59,3 +61,26 @@ def test_constant_cases_of_vectors(spark):
     occ = artifacts.occurrences(extract.child(t, "symbols"), extract.child(t, "calls").select("file", "name", "line"), building.texts(spark))
     docs = {r["file"]: bytes(r["document"]) for r in artifacts.scip_documents(occ, t.select("rel", "lang")).collect()}
     assert "web/src/crane.ts" in docs and b"emptyCargo" in docs["web/src/crane.test.ts"] and b"typescript" in docs["web/src/crane.ts"]
+
+
+def test_every_query_vector_is_searched(spark):
+    v = {r["vec_id"]: (r["label"], np.array(r["q"], dtype=np.int64)) for r in vectors(spark, SF01).collect()}
+    asked = [i for i in v if i % 100 == 0]
+    near, best = set(), set()
+    for q in asked:
+        dots = sorted((-int(x @ v[q][1]), i) for i, (_, x) in v.items())
+        near |= {(q, i, -s) for s, i in dots[:20]}
+        seen = {}
+        for s, i in dots:
+            seen.setdefault(v[i][0], (q, v[i][0], i, -s))
+        best |= set(seen.values())
+    assert len(asked) > 1
+    assert {tuple(r) for r in run(spark, "q8_knn", SF01).select("query_id", "vec_id", "dot").collect()} == near
+    assert {tuple(r) for r in run(spark, "a17_best_per_group", SF01).select("query_id", "label", "vec_id", "dot").collect()} == best
+
+
+def test_query_blocks_are_joined(spark):
+    v = spark.createDataFrame([(i, i % 2, [i, -1]) for i in range(7)], "vec_id bigint, label int, q array<int>")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(search.nearest_of_set(v, v, "vec_id", "q", most=3, block=2)) == rows(search.nearest_of_set(v, v, "vec_id", "q", most=3))
+    assert rows(search.best_of_set(v, v, "label", "vec_id", "q", block=2)) == rows(search.best_of_set(v, v, "label", "vec_id", "q"))
