@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..session import written
 
 #: Edges of a module graph that one task may hold.
 MODULE_EDGES = 5_000_000
+#: Sources of shortest paths that one task sweeps.
+SOURCES = 64
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = K.DAMPING, iterations: int = K.ITERATIONS, stop: float = K.L1_STOP) -> DataFrame:
@@ -50,52 +53,63 @@ def _bounded(edges: DataFrame) -> pd.DataFrame:
     return edges.toPandas()
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, betweenness), undirected and unweighted, normalised, 6 places; 0 below 3 nodes and above the guard.
+def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = K.BETWEENNESS_NODES) -> DataFrame:
+    """(id, betweenness), undirected and unweighted, normalised, 6 places; 0 below 3 nodes and above ``most`` (None: no guard).
 
-    One shortest-path sweep for each source, spread over the tasks; sums are partial before the shuffle.
+    One shortest-path sweep for each source, spread over the tasks by source; sums are partial before the shuffle.
     """
-    ids = [r[0] for r in nodes.select("id").distinct().orderBy("id").limit(K.BETWEENNESS_NODES + 1).collect()]
+    every = nodes.select("id").distinct().orderBy("id")
+    ids = [r[0] for r in (every if most is None else every.limit(most + 1)).collect()]
     n = len(ids)
-    if n < 3 or n > K.BETWEENNESS_NODES:
+    if n < 3 or (most is not None and n > most):
         return nodes.select("id").distinct().withColumn("betweenness", F.lit(0.0))
-    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().toPandas()  # below the guard squared
-    near: dict[str, set[str]] = {i: set() for i in ids}
-    for a, b in zip(pairs["a"], pairs["b"]):
-        if a in near and b in near:
-            near[a].add(b)
-            near[b].add(a)
-    sent = nodes.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in near.items()})
+    pairs = _bounded(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    place = {x: i for i, x in enumerate(ids)}
+    a, b = pairs["a"].map(place), pairs["b"].map(place)
+    known = a.notna() & b.notna()
+    a, b = a[known].to_numpy(np.int64), b[known].to_numpy(np.int64)
+    tails, heads = np.concatenate([a, b]), np.concatenate([b, a])
+    spark = nodes.sparkSession
+    sent = spark.sparkContext.broadcast((np.bincount(tails, minlength=n), heads[np.argsort(tails, kind="stable")]))
 
     def sweep(batches):
-        g = sent.value
+        degree, near = sent.value
+        first = np.cumsum(degree) - degree
+        total = np.zeros(n)
         for batch in batches:
-            total: dict[str, float] = defaultdict(float)
             for s in batch["id"]:
-                order, before, paths, depth = [], defaultdict(list), {s: 1.0}, {s: 0}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in g[v]:
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            paths[w] = 0.0
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share: dict[str, float] = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-            yield pd.DataFrame({"id": list(total), "x": list(total.values())})
-
-    sums = nodes.select("id").distinct().mapInPandas(sweep, "id string, x double").groupBy("id").agg(F.sum("x").alias("x"))
+                total += _dependencies(int(s), degree, first, near)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"at": some, "x": total[some]})
+
+    sums = spark.range(0, n, 1, -(-n // SOURCES)).mapInPandas(sweep, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
+    named = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "id": ids}), "at bigint, id string")
     scale = (n - 1) * (n - 2) / 2
-    return nodes.select("id").distinct().join(sums, "id", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)) / 2 / scale, 6).alias("betweenness"))
+    return named.join(sums, "at", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)) / 2 / scale, 6).alias("betweenness"))
+
+
+def _dependencies(s: int, degree: np.ndarray, first: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """How much each node lies on the shortest paths from ``s`` to all others, a level of distance at a time."""
+    n = len(degree)
+    seen, paths = np.zeros(n, bool), np.zeros(n)
+    seen[s], paths[s] = True, 1.0
+    at, steps = np.array([s]), []
+    while len(at):
+        d = degree[at]
+        v = np.repeat(at, d)
+        w = near[np.repeat(first[at] - (np.cumsum(d) - d), d) + np.arange(len(v))]
+        new = ~seen[w]
+        v, w = v[new], w[new]
+        seen[w] = True
+        more = np.bincount(w, weights=paths[v], minlength=n)
+        paths += more
+        at = np.flatnonzero(more)
+        steps.append((v, w))
+    share = np.zeros(n)
+    for v, w in reversed(steps):
+        share += np.bincount(v, weights=paths[v] / paths[w] * (1 + share[w]), minlength=n)
+    share[s] = 0.0
+    return share
 
 
 def _louvain(ids: list[str], near: dict[str, dict[str, float]]) -> dict[str, int]:

@@ -507,21 +507,14 @@ def g4_module_pagerank(spark, d):
 
 @query("g3_betweenness")
 def g3_betweenness(spark, d):
-    """Over folders of the second level, which stay below the guard."""
-    n, e = _package_graph(spark, d)
-    return G.betweenness(n, e)
-
-
-def _package_graph(spark, d):
-    pkg = lambda c: F.array_join(F.slice(F.split(c, "/"), 1, 2), "/")
-    e = edges(spark, d).where("not dangling").select(pkg("src").alias("src"), pkg("dst").alias("dst"), "weight", "kind").where("src <> dst")
-    e = written(e.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "package-edges")
-    return nodes(spark, d).select(pkg("rel").alias("id")).distinct(), e
+    """Of every module; the guard of the operator is off, above which all would be 0."""
+    n, e = _module_graph(spark, d)
+    return G.betweenness(n, e, most=None)
 
 
 @query("g5_communities")
 def g5_communities(spark, d):
-    n, e = _package_graph(spark, d)
+    n, e = _module_graph(spark, d)
     return G.communities(n, e)
 
 

@@ -1,5 +1,7 @@
 """Queries that do the whole of their job: no bound on names, every query vector, every module."""
 
+import itertools
+import random
 import re
 
 import numpy as np
@@ -7,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.operators import embed, extract, search
+from lodestone.operators import graph as G
 from lodestone.plans import building
-from lodestone.plans.reference import symbols, vectors
+from lodestone.plans.reference import nodes, symbols, vectors
 from lodestone.sinks import artifacts
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +87,34 @@ def test_query_blocks_are_joined(spark):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(search.nearest_of_set(v, v, "vec_id", "q", most=3, block=2)) == rows(search.nearest_of_set(v, v, "vec_id", "q", most=3))
     assert rows(search.best_of_set(v, v, "label", "vec_id", "q", block=2)) == rows(search.best_of_set(v, v, "label", "vec_id", "q"))
+
+
+def test_every_module_gets_a_community_and_a_betweenness(spark):
+    modules = {r["module"] for r in nodes(spark, SF).where("module is not null").select("module").distinct().collect()}
+    assert {r["id"] for r in run(spark, "g5_communities").collect()} == modules
+    assert {r["id"] for r in run(spark, "g3_betweenness").collect()} == modules
+
+
+def test_betweenness_against_all_shortest_paths(spark):
+    rng = random.Random(3)
+    ids = [f"n{i:02}" for i in range(14)]
+    pairs = sorted({tuple(sorted(rng.sample(ids, 2))) for _ in range(20)})
+    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in ids}
+
+    def shortest(s, t):
+        level, found = [[s]], []
+        while level and not found:
+            found = [p for p in level if p[-1] == t]
+            level = [[*p, w] for p in level for w in near[p[-1]] if w not in p]
+        return found
+
+    want = dict.fromkeys(ids, 0.0)
+    for s, t in itertools.combinations(ids, 2):
+        found = shortest(s, t)
+        for p in found:
+            for v in p[1:-1]:
+                want[v] += 1 / len(found) / (13 * 12 / 2)
+    n, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([*pairs, ("n00", "gone")], "src string, dst string")
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(n, e, most=None).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in ids) and max(want.values()) > 0
+    assert {r["betweenness"] for r in G.betweenness(n, e, most=13).collect()} == {0.0}
