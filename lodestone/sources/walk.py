@@ -34,8 +34,8 @@ def _extension(name: str) -> str:
     return f".{ext.lower()}" if dot and stem.strip(".") else ""
 
 
-def walk(root: str, max_bytes: int = K.MAX_FILE_BYTES, max_files: int = K.MAX_FILES, gitignore: bool = True, ignored: list[str] | None = None) -> Walk:
-    """Kept files as (rel, size, ext, mtime in ms) and how many were left out. The order is that of a stack."""
+def walk(root: str, max_bytes: int = K.MAX_FILE_BYTES, max_files: int | None = K.MAX_FILES, gitignore: bool = True, ignored: list[str] | None = None) -> Walk:
+    """Kept files as (rel, size, ext, mtime in ms) and how many were left out. The order is that of a stack; ``max_files`` of None lists all."""
     skip = set(K.IGNORED_DIRS if ignored is None else ignored)
     top = os.path.realpath(root)
     out = Walk()
@@ -68,7 +68,7 @@ def walk(root: str, max_bytes: int = K.MAX_FILE_BYTES, max_files: int = K.MAX_FI
             if stat.st_size > max_bytes or low in K.LOCKFILES or ext in K.BINARY_EXTENSIONS or low.endswith((".min.js", ".min.css")) or gitignore and is_ignored(rules, rel):
                 out.excluded += 1
                 continue
-            if len(out.files) >= max_files:
+            if max_files is not None and len(out.files) >= max_files:
                 out.capped = True
                 return out
             out.files.append((rel, stat.st_size, ext, stat.st_mtime * 1000))
@@ -84,7 +84,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["root"]
         self.max_bytes = int(options.get("maxfilebytes", K.MAX_FILE_BYTES))
-        self.max_files = int(options.get("maxfiles", K.MAX_FILES))
+        self.max_files = int(options["maxfiles"]) if "maxfiles" in options else None  # a cap only where it is asked for
         self.gitignore = options.get("gitignore", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:

@@ -13,6 +13,7 @@ from lodestone.operators import graph as G
 from lodestone.plans import building
 from lodestone.plans.reference import nodes, symbols, vectors
 from lodestone.sinks import artifacts
+from lodestone.sources import walk
 
 SF = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.1"
@@ -118,3 +119,10 @@ def test_betweenness_against_all_shortest_paths(spark):
     got = {r["id"]: r["betweenness"] for r in G.betweenness(n, e, most=None).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in ids) and max(want.values()) > 0
     assert {r["betweenness"] for r in G.betweenness(n, e, most=13).collect()} == {0.0}
+
+
+def test_the_repository_source_lists_every_file(tmp_path):
+    for i in range(20_005):
+        (tmp_path / f"f{i}.ts").touch()
+    listed = lambda **o: sum(len(p.files) for p in walk._Reader({"root": str(tmp_path), **o}).partitions())
+    assert listed() == 20_005 and listed(maxfiles="7") == 7
