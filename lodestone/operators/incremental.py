@@ -13,115 +13,262 @@ duplicates count once; columns beyond those named are carried by ``PartitionStor
 from __future__ import annotations
 
 import json
+import math
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import hadoop_path, latest, written
 
-#: Partitions by hash of the key. A constant, so that the list of changed partitions has a proven size bound.
-PARTITIONS = 1024
+LEAST_PARTITIONS = 16
+#: A folder with more rows than so many usual partitions gets partitions of its own.
+HOT = 4
+#: A layout is made anew when there are so many times the rows it was made for.
+GROWTH = 4
 _WIDE = T.DecimalType(38, 0)
 
 
-def by_hash(key: str, partitions: int = PARTITIONS) -> Column:
+def partitions_for(rows: int) -> int:
+    """As many partitions as a partition has rows, to a power of two: the list of them grows as the root of the table."""
+    return max(LEAST_PARTITIONS, 1 << math.ceil(math.log2(max(1.0, math.sqrt(rows)))))
+
+
+def by_hash(key: str, partitions: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(partitions)).cast("int")
 
 
+def folder_of(key: str) -> Column:
+    """The folder of a path, empty for none."""
+    return F.regexp_extract(F.col(key), "^(.*)/", 1)
+
+
 def fingerprints(df: DataFrame, partition: str, columns: list[str]) -> DataFrame:
-    """(partition, n, a, b): number of rows and two additive hashes over ``columns`` of each partition."""
+    """(partition, n, a, b, nulls): rows, two additive hashes over ``columns`` and rows with a null in them, of each partition."""
     mark = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns]
     return df.groupBy(partition).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.xxhash64(*mark).cast(_WIDE)).alias("a"),
         F.sum(F.xxhash64(F.lit("b"), *reversed(mark)).cast(_WIDE)).alias("b"),
+        F.count_if(reduce(Column.__or__, [F.col(c).isNull() for c in columns])).alias("nulls"),
     )
 
 
 def changed_partitions(now: DataFrame, stored: DataFrame, partition: str) -> DataFrame:
-    """The partitions whose fingerprints differ, or that are on one side only."""
+    """The partitions whose fingerprints differ, that are on one side only, or that hold a null content."""
     s = stored.select(F.col(partition).alias("_p"), F.col("n").alias("_n"), F.col("a").alias("_a"), F.col("b").alias("_b"))
     joined = now.join(s, now[partition].eqNullSafe(s["_p"]), "full_outer")
-    same = now["n"].eqNullSafe(s["_n"]) & now["a"].eqNullSafe(s["_a"]) & now["b"].eqNullSafe(s["_b"])
+    same = now["n"].eqNullSafe(s["_n"]) & now["a"].eqNullSafe(s["_a"]) & now["b"].eqNullSafe(s["_b"]) & now["nulls"].eqNullSafe(F.lit(0))
     return joined.where(~same).select(F.coalesce(now[partition], s["_p"]).alias(partition))
 
 
-def changed_records(current: DataFrame, stored: DataFrame, key: str, content: str, partitions: int = PARTITIONS) -> DataFrame:
-    """Keys of ``current`` whose content differs from the stored one or that have none.
+def _unchanged(content: list[str]) -> Column:
+    """Whether a record has the content that is stored as ``_w0``, ``_w1``, ...; a null is known on neither side."""
+    return F.coalesce(reduce(Column.__and__, [F.col(c) == F.col(f"_w{i}") for i, c in enumerate(content)]), F.lit(False))
 
-    Both inputs have one row per key. They are written once, clustered by partition; fingerprints are read from
-    there, and only the changed partitions are read again and compared.
+
+def changed_records(current: DataFrame, stored: DataFrame, key: str, content: str, partitions: int | None = None) -> DataFrame:
+    """Keys of ``current`` whose content differs from the one in ``stored`` or that have none there, without a store.
+
+    Both inputs have one row per key. They are written once, partitioned by hash of the key; only the folders of
+    the changed partitions are read again and compared.
     """
-    part = by_hash(key, partitions)
+    count = partitions or partitions_for(current.count())
     sides = []
     for side, df in (("now", current), ("was", stored)):
-        kept = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(content).alias("_c"), part.alias("_part"))
-        sides.append(written(kept.sortWithinPartitions("_part"), f"records-{side}"))
+        kept = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(content).alias("_c"), by_hash(key, count).alias("_part"))
+        sides.append(written(kept.repartition("_part"), f"records-{side}", ["_part"]))
     now, was = sides
-    # a null content is known on neither side, so it must not make two partitions equal
-    marked = [df.withColumn("_c", F.coalesce("_c", F.lit(f"\0{side}"))) for side, df in (("now", now), ("was", was))]
-    prints = [fingerprints(df, "_part", ["_k", "_c"]) for df in marked]
-    changed = written(changed_partitions(*prints, "_part"), "changed")
-    # At most ``partitions`` numbers: a proven bound, so they go into the scan as a filter on row groups.
-    ids = [r[0] for r in changed.collect()]
-    if not ids:
-        return now.select(F.col("_k").alias(key)).limit(0)
+    ids = [r[0] for r in changed_partitions(*[fingerprints(df, "_part", ["_k", "_c"]) for df in sides], "_part").collect()]  # ``count`` numbers at most
     near = now.where(F.col("_part").isin(ids))
-    far = was.where(F.col("_part").isin(ids)).select(F.col("_k"), F.col("_c").alias("_w"))
-    return near.join(far, "_k", "left").where(F.col("_c").isNull() | F.col("_w").isNull() | (F.col("_c") != F.col("_w"))).select(F.col("_k").alias(key))
+    far = was.where(F.col("_part").isin(ids)).select("_k", F.col("_c").alias("_w0"))
+    return near.join(far, "_k", "left").where(~_unchanged(["_c"])).select(F.col("_k").alias(key))
+
+
+class Run(dict):
+    """``run``: its number; ``partitions``: how many it replaced. The attribute ``pending`` has the records it processed."""
+
+    pending: DataFrame
 
 
 class PartitionStore:
     """Results kept per partition and refreshed only where the input changed.
 
-    ``refresh`` reads the fingerprints of the last run that ended, computes those of the input, recomputes the
-    changed partitions and replaces each of them through dynamic partition overwrite, and last of all writes the
-    new fingerprints under the number of the run. A run that fails anywhere before that last write leaves the
-    older fingerprints in force, so the next run recomputes the same partitions and replaces them again: nothing
-    is skipped and nothing stands twice. A partition that left the input is emptied the same way.
+    ``refresh`` compares the fingerprints of the input with those that the last run that ended has stored, finds in
+    the changed partitions the records that are new or have another content, gives only these to ``work``, and
+    replaces each changed partition, made up of what ``work`` returns and of the records that stay, through dynamic
+    partition overwrite. What a run writes carries its number; the last thing it writes is the table of fingerprints
+    with the run that holds each partition, under its own number and by one rename. A run that fails anywhere before
+    that leaves the older table in force and with it every row of the older runs: the next run sees the same changes
+    or, if the input has gone back, none. Nothing is skipped and nothing stands twice.
+
+    Partitions are folders of the key where ``folder`` is given, so that what changes together lies together; small
+    folders share one by hash, a folder of many rows is spread over several by hash of its keys. Their number grows
+    as the root of the number of rows unless ``partitions`` sets it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, content: list[str], partitions: int = PARTITIONS):
-        self.spark, self.path, self.key, self.content, self.partitions = spark, path.rstrip("/"), key, content, partitions
-        jvm = spark._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, key: str, content: list[str], partitions: int | None = None, folder: Callable[[str], Column] | None = None):
+        self.spark, self.path, self.key, self.content, self.partitions, self.folder = spark, path.rstrip("/"), key, list(content), partitions, folder
+        self._fs, _ = hadoop_path(spark, self.path)
+
+    def _at(self, *parts: str):
+        return hadoop_path(self.spark, "/".join([self.path, *parts]))[1]
 
     def runs(self) -> list[int]:
-        at = self._p(f"{self.path}/fingerprints")
-        if not self._fs.exists(at):
+        """The numbers of the runs that have ended, in order."""
+        if not self._fs.exists(self._at("fingerprints")):
             return []
-        names = [s.getPath() for s in self._fs.listStatus(at)]
-        return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith("run=") and self._fs.exists(self._p(f"{p.toString()}/_SUCCESS")))
+        names = [s.getPath() for s in self._fs.listStatus(self._at("fingerprints"))]
+        return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith("run=") and self._fs.exists(self._at("fingerprints", p.getName(), "_SUCCESS")))
+
+    def _manifest(self, run: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/fingerprints/run={run}")
+
+    def _read(self, slots: list[str]) -> DataFrame | None:
+        """The rows of some slots; a slot is one partition as one run wrote it, and one folder of the data."""
+        if not self._fs.exists(self._at("data")):
+            return None
+        data = self.spark.read.schema(self._schema()).parquet(f"{self.path}/data")
+        return data.where(F.col("_slot").isin(slots) & F.col(self.key).isNotNull()).drop("_slot")
+
+    def _schema(self) -> T.StructType:
+        lines = self.spark.read.text(f"{self.path}/schema").collect()
+        return T.StructType.fromJson(json.loads(lines[0][0]))
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data").where(F.col(self.key).isNotNull())
+        """The rows of the last run that ended: a list of slots, of which there are as many as partitions."""
+        runs = self.runs()
+        slots = [r[0] for r in self._manifest(runs[-1]).select("slot").collect()] if runs else []
+        found = self._read(slots)
+        return found if found is not None else self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [self.key, *self.content]))
 
-    def refresh(self, source: DataFrame, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None = None) -> dict:
-        """Bring the store to the state of ``source``. Gives the run's number and how many partitions it computed.
+    # layout
+
+    def _layout(self, rows: DataFrame | None) -> DataFrame:
+        """(number, folder, start, parts, made_for): a row without folder for all small ones, one for each hot folder."""
+        at, old = f"{self.path}/layout", None
+        if self._fs.exists(self._at("layout", "_SUCCESS")):
+            old = self.spark.read.parquet(at)
+            if rows is None or self.partitions:
+                return old
+        n = rows.count()
+        number = 0
+        if old is not None:
+            head = old.where("folder is null").first()
+            if n <= GROWTH * head["made_for"]:
+                return old
+            number = head["number"] + 1
+        parts = self.partitions or partitions_for(n)
+        made = [(number, None, 0, parts, n)]
+        if self.folder is not None:
+            sizes = rows.groupBy(self.folder(self.key).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+            start = parts
+            # at most n / (HOT * n / parts) = parts / HOT folders
+            for r in sizes.where(F.col("n") > F.lit(HOT * max(1, n // parts))).orderBy("folder").collect():
+                own = 1 << math.ceil(math.log2(r["n"] * parts / n))
+                made.append((number, r["folder"], start, own, n))
+                start += own
+        self.spark.createDataFrame(made, "number int, folder string, start int, parts int, made_for bigint").coalesce(1).write.mode("overwrite").parquet(at)
+        return self.spark.createDataFrame(made, "number int, folder string, start int, parts int, made_for bigint")
+
+    def _placed(self, rows: DataFrame, layout: DataFrame) -> DataFrame:
+        """Rows with the number of their partition, which tells the layout as well."""
+        head = layout.where("folder is null").first()
+        base = F.lit(head["number"] << 40).cast("bigint")
+        if self.folder is None:
+            return rows.withColumn("_part", base + by_hash(self.key, head["parts"]))
+        hot = layout.where("folder is not null").select(F.col("folder").alias("_f"), F.col("start").alias("_start"), F.col("parts").alias("_own"))
+        x = rows.withColumn("_f", self.folder(self.key)).join(F.broadcast(hot), "_f", "left")  # a quarter of the partitions at most
+        spread = F.col("_start") + F.pmod(F.xxhash64(F.col(self.key)), F.col("_own"))
+        return x.withColumn("_part", base + F.coalesce(spread, F.pmod(F.xxhash64("_f"), F.lit(head["parts"])))).drop("_f", "_start", "_own")
+
+    # runs
+
+    def refresh(self, source: DataFrame, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None = None) -> Run:
+        """Bring the store to the state of ``source``, which has one row per key.
 
         ``before_commit`` is called between the data and the commit; tests make it raise.
         """
-        part = by_hash(self.key, self.partitions)
-        src = source.where(F.col(self.key).isNotNull()).dropDuplicates().withColumn("_part", part)
-        now = written(fingerprints(src, "_part", [self.key, *self.content]), "fingerprints")
+        src = written(source.where(F.col(self.key).isNotNull()).dropDuplicates(), "source")
+        layout = self._layout(src)
+        return self._advance(self._placed(src, layout), layout, None, work, before_commit)
+
+    def upsert(self, rows: DataFrame, by: str, work: Callable[[DataFrame], DataFrame] = lambda df: df, before_commit: Callable[[], None] | None = None) -> Run:
+        """Take up some rows: of each key the row with the greatest ``by`` stays, whatever the order they come in.
+
+        Only the partitions that the rows fall into are read. The layout stays as the first rows have made it.
+        """
+        columns = list(dict.fromkeys([*self.content, by]))
+        best = lambda df: latest(df.select(self.key, *columns, F.col(by).alias("_by")), self.key, "_by", columns)
+        new = written(best(rows.where(F.col(self.key).isNotNull())), "batch")
+        layout = self._layout(None if self.runs() else new)
+        touched = [r[0] for r in self._placed(new, layout).select("_part").distinct().collect()]
+        old = self._read(self._slots(touched)) if self.runs() else None
+        both = new if old is None else best(new.select(self.key, *columns).unionByName(old.select(self.key, *columns)))
+        return self._advance(self._placed(written(both, "merged"), layout), layout, touched, work, before_commit)
+
+    def _slots(self, parts: list[int]) -> list[str]:
+        m = self._manifest(self.runs()[-1])
+        return [r[0] for r in m.where(F.col("_part").isin(parts)).select("slot").collect()]
+
+    def _advance(self, src: DataFrame, layout: DataFrame, only: list[int] | None, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None) -> Run:
         runs = self.runs()
-        stored = self.spark.read.schema(now.schema).parquet(f"{self.path}/fingerprints/run={runs[-1]}") if runs else now.limit(0)
-        ids = [r[0] for r in changed_partitions(now, stored, "_part").collect()]  # at most ``partitions`` numbers
         run = runs[-1] + 1 if runs else 1
-        if ids:
-            done = work(src.where(F.col("_part").isin(ids)))
-            # one null row for each changed partition: a partition without rows is overwritten as well
-            empty = self.spark.createDataFrame([(i,) for i in ids], "_part int")
-            out = done.unionByName(empty, allowMissingColumns=True).repartition(min(len(ids), int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "_part")
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{self.path}/data")
+        now = written(fingerprints(src, "_part", [self.key, *self.content]), "fingerprints")
+        stored = self._manifest(runs[-1]) if runs else now.withColumn("slot", F.lit("")).limit(0)
+        scope = stored if only is None else stored.where(F.col("_part").isin(only))
+        ids = [r[0] for r in changed_partitions(now, scope, "_part").collect()]  # as many as there are partitions at most
+        done = Run(run=run if ids else (runs[-1] if runs else 0), partitions=len(ids))
+        near = src.where(F.col("_part").isin(ids)).drop("_part")
+        if not ids:
+            done.pending = near
+            return done
+        old = self._read(self._slots(ids)) if runs else None
+        if old is None:
+            done.pending, kept = near, None
+        else:
+            far = old.select(F.col(self.key).alias("_k"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(self.content)])
+            done.pending = written(near.join(far, near[self.key] == far["_k"], "left").where(~_unchanged(self.content)).select(near.columns), "pending")
+            same = near.select(F.col(self.key).alias("_k"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(self.content)])
+            kept = old.join(same, (old[self.key] == same["_k"]) & reduce(Column.__and__, [old[c] == same[f"_w{i}"] for i, c in enumerate(self.content)]), "left_semi")
+        out = work(done.pending)
+        out = out if kept is None else out.unionByName(kept, allowMissingColumns=True)
+        self._write(self._placed(out, layout), ids, run)
         if before_commit:
             before_commit()
-        if ids:
-            now.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fingerprints/run={run}")
-        return {"run": run if ids else (runs[-1] if runs else 0), "partitions": len(ids)}
+        slot = F.concat(F.lit(f"r{run}p"), F.col("_part").cast("string"))
+        fresh = now.where(F.col("_part").isin(ids)).withColumn("slot", slot)
+        rest = stored.where(~F.col("_part").isin(ids))
+        self._commit(fresh.unionByName(rest), run)
+        return done
 
-    def describe(self) -> str:
-        return json.dumps({"path": self.path, "runs": self.runs(), "partitions": self.partitions})
+    def _write(self, out: DataFrame, ids: list[int], run: int) -> None:
+        # one null row for each changed partition: what a failed attempt left in it is overwritten in any case
+        empty = self.spark.createDataFrame([(i,) for i in ids], "_part bigint")
+        out = out.unionByName(empty, allowMissingColumns=True).withColumn("_slot", F.concat(F.lit(f"r{run}p"), F.col("_part").cast("string"))).drop("_part")
+        self.spark.createDataFrame([(out.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
+        tasks = min(len(ids), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        out.repartition(tasks, "_slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_slot").parquet(f"{self.path}/data")
+
+    def _commit(self, manifest: DataFrame, run: int) -> None:
+        part = f".run={run}-{uuid.uuid4().hex}"
+        manifest.coalesce(1).write.parquet(f"{self.path}/fingerprints/{part}")
+        if not self._fs.rename(self._at("fingerprints", part), self._at("fingerprints", f"run={run}")):
+            raise RuntimeError(f"run {run} was committed by another writer")
+        self._tidy()
+
+    def _tidy(self, keep: int = 2) -> None:
+        """Removes the slots that none of the last runs names; readers of the run before may still be at work."""
+        runs = self.runs()
+        if len(runs) <= keep:
+            return
+        held = {r[0] for run in runs[-keep:] for r in self._manifest(run).select("slot").collect()}
+        for s in self._fs.listStatus(self._at("data")):
+            name = s.getPath().getName()
+            if name.startswith("_slot=") and name[6:] not in held:
+                self._fs.delete(s.getPath(), True)
+        for run in runs[:-keep]:
+            self._fs.delete(self._at("fingerprints", f"run={run}"), True)

@@ -48,24 +48,23 @@ def modes(freq: DataFrame, value: str = "v0") -> DataFrame:
     return freq.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.when(known, 1)).alias("n_distinct"), best.alias("_b")).select("key", F.col("_b.v").alias("mode"), (-F.col("_b.w")).alias("mode_count"), "n", "n_distinct")
 
 
-def percentiles(freq: DataFrame, shares: dict[str, float], value: str = "v0", buckets: int = 256) -> DataFrame:
-    """Lower percentiles of each key from weighted numeric values, without a window over a hot key's values.
+def percentiles(freq: DataFrame, shares: dict[str, float], value: str = "v0") -> DataFrame:
+    """Lower percentiles of each key from weighted values of any type that has an order.
 
-    The values of a key are spread over ``buckets`` ranges between its least and greatest value. Ranges hold sums,
-    which find the range of each percentile; only that range's values are then put in order.
+    The weighted values are put in order of (key, value) by ranges of about equal size, so a hot key lies in as many
+    ranges as it fills. Sums of each range and key, of which a key has no more than there are ranges, say what comes
+    before; within a range the weights are added up in order. No task ever holds all values of a key.
     """
-    known = freq.where(F.col(value).isNotNull()).select("key", F.col(value).cast("double").alias("v"), "w")
-    ends = known.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"))
-    placed = known.join(ends, "key").withColumn("b", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets).cast("int"))).otherwise(0))
-    sums = placed.groupBy("key", "b").agg(F.sum("w").alias("bw"), F.first("n").alias("n"))
-    run = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # at most ``buckets`` rows a key
-    sums = sums.withColumn("upto", F.sum("bw").over(run))
-    out = None
+    known = freq.where(F.col(value).isNotNull() & F.col("key").isNotNull()).select("key", F.col(value).alias("v"), "w")
+    parts = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(known.repartitionByRange(parts, "key", "v").withColumn("range", F.spark_partition_id()), "placed")
+    of_key = Window.partitionBy("key")
+    sums = placed.groupBy("range", "key").agg(F.sum("w").alias("rw"))
+    sums = sums.select("range", "key", F.coalesce(F.sum("rw").over(of_key.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rw").over(of_key).alias("n"))
+    inside = Window.partitionBy("range", "key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    x = placed.join(sums, ["range", "key"]).withColumn("upto", F.col("before") + F.sum("w").over(inside))
+    picked = []
     for name, share in shares.items():
-        need = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
-        hit = sums.where((F.col("upto") >= need) & (F.col("upto") - F.col("bw") < need)).select("key", "b", (need - (F.col("upto") - F.col("bw"))).alias("left"))
-        inside = placed.select("key", "b", "v", "w").join(hit, ["key", "b"])
-        w = Window.partitionBy("key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        got = inside.withColumn("cum", F.sum("w").over(w)).where(F.col("cum") >= F.col("left")).groupBy("key").agg(F.min("v").alias(name))
-        out = got if out is None else out.join(got, "key")
-    return out
+        need = F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 9)))
+        picked.append(F.max(F.when((F.col("upto") >= need) & (F.col("upto") - F.col("w") < need), F.col("v"))).alias(name))
+    return x.groupBy("key").agg(*picked)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
 from ..operators import incremental, skew
-from ..session import clean, latest, table, written
+from ..session import clean, latest, shared_dir, table, written
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -41,28 +43,26 @@ def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.changed_records(current_files(spark, sf_dir), stored_files(spark, sf_dir), "rel", "hash")
-
-
-@REGISTRY.query("p1_refresh")
-def p1_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs of a partition store: the first over what is stored, the second over the current files.
-
-    The store's rows after the second run: each current file once, under its current hash.
-    """
-    import uuid
+    """What the run over the current files processes in a store that holds what the runs that ended well have left."""
+    return _two_runs(spark, sf_dir)[1].pending.select("rel")
 
-    from ..session import shared_dir
 
-    store = incremental.PartitionStore(spark, f"{shared_dir(spark)}/stores/p1-{uuid.uuid4().hex}", "rel", ["hash"], partitions=64)
-    store.refresh(stored_files(spark, sf_dir), lambda df: df)
-    store.refresh(current_files(spark, sf_dir), lambda df: df)
-    return store.rows().select("rel", "hash")
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[incremental.PartitionStore, incremental.Run]:
+    store = incremental.PartitionStore(spark, f"{shared_dir(spark)}/stores/p1-{uuid.uuid4().hex}", "rel", ["hash"], folder=incremental.folder_of)
+    indexed = lambda df: df.withColumn("mark", F.sha1(F.concat_ws(":", "rel", "hash")))
+    store.refresh(stored_files(spark, sf_dir), indexed)
+    return store, store.refresh(current_files(spark, sf_dir), indexed)
 
 
-REGISTRY.sql["p1_refresh"] = r"""
-    select trim(rel, E' \t') rel, lower(nullif(trim(hash, E' \t'), '')) hash from (select *, row_number() over (partition by trim(rel, E' \t') order by seen_at desc) n from files where nullif(trim(rel, E' \t'), '') is not null) where n = 1
-    """
+@REGISTRY.query(
+    "p1_refresh",
+    r"""
+    select trim(rel, E' \t') rel, lower(nullif(trim(hash, E' \t'), '')) hash, sha1(concat_ws(':', trim(rel, E' \t'), lower(nullif(trim(hash, E' \t'), '')))) mark from (select *, row_number() over (partition by trim(rel, E' \t') order by seen_at desc) n from files where nullif(trim(rel, E' \t'), '') is not null) where n = 1
+    """,
+)
+def p1_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after both runs: each current file once, under its current hash, with what was worked out for it."""
+    return _two_runs(spark, sf_dir)[0].rows().select("rel", "hash", "mark")
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -108,6 +108,7 @@ def p4_symbol_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = base.groupBy("key", "v0").agg(F.sum("w").alias("w")).groupBy("key").agg(F.sum("w").alias("n_rows"), F.count("v0").alias("n_files"))
     kinds = skew.modes(base.groupBy("key", F.col("v1").alias("v0")).agg(F.sum("w").alias("w"))).select("key", F.col("mode").alias("top_kind"))
     spans = skew.percentiles(base.groupBy("key", F.col("v2").alias("v0")).agg(F.sum("w").alias("w")), {"median_span": 0.5, "p90_span": 0.9})
+    spans = spans.select("key", F.col("median_span").cast("double").alias("median_span"), F.col("p90_span").cast("double").alias("p90_span"))
     return files.join(kinds, "key", "left").join(spans, "key", "left").select(F.col("key").alias("key_value"), "n_rows", "n_files", "top_kind", "median_span", "p90_span")
 
 
@@ -147,7 +148,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p5_hierarchy", _TREE + "select tree.file, tree.pos, link.up::int up, root_pos::int root_pos, depth::int depth from tree join link using (file, pos)")
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent, root and depth of every symbol that has a parent."""
-    return H.hierarchy(table(spark, sf_dir, "symbols")).distinct()
+    return H.hierarchy(table(spark, sf_dir, "symbols"))
 
 
 _NAMED = "(select file, pos, min(name) nm from s group by file, pos)"

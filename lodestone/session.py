@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -30,20 +32,47 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Only in local mode may it be unset; then it is one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="lodestone-"))
     return folder.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, to look at and remove what lies in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+_tables: list[tuple] = []
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """The DataFrame written as a table in the shared folder and read again: it survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    """The DataFrame written as a table in the shared folder and read again: it survives the loss of executors.
+
+    Results may depend on it as long as the process runs; ``release`` removes it, at the end of the process at the latest.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _tables.append(hadoop_path(spark, path))
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Removes the tables that ``written`` has made. Nothing that depends on them may be used afterwards."""
+    while _tables:
+        files, path = _tables.pop()
+        try:
+            files.delete(path, True)
+        except Exception:  # noqa: BLE001 the JVM may have ended before
+            return
 
 
 def clean(column: Column | str) -> Column:

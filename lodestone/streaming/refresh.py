@@ -1,7 +1,8 @@
 """Incremental re-index as a stream: new listing files are taken up batch by batch and put into a partition store.
 
-The state is the store itself; no watermark is needed, as a file's latest sighting wins whatever its order. Each
-batch is idempotent: a batch that is replayed after a failure finds its rows there and changes nothing.
+The state is the store itself, which keeps the time of each file's latest sighting; no watermark is needed, as a
+sighting that comes late is older than the one that is stored and changes nothing. Each batch reads and replaces
+only the partitions its rows fall into, and is idempotent: replayed after a failure it finds its rows there.
 """
 
 from __future__ import annotations
@@ -11,19 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.incremental import PartitionStore
-from ..session import latest, written
 
 
 def follow(spark: SparkSession, folder: str, schema: StructType, store: PartitionStore, checkpoint: str, by: str, name_filter: str | None = None) -> None:
     """Take up all listing files that have come since the last call, at most 100 a batch."""
-    key, content = store.key, store.content
+    if by not in store.content:
+        store.content.append(by)  # the time is part of the fingerprint: a newer sighting is stored even if nothing else is new
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = batch.select(key, *content, by).where(F.col(key).isNotNull())
-        if store.runs():
-            rows = rows.unionByName(store.rows().select(key, *content, by))
-        current = latest(rows.withColumn("_by", F.col(by)), key, "_by", [*content, by])
-        store.refresh(written(current, "current"), lambda df: df)
+        store.upsert(batch.select(store.key, *store.content).where(F.col(store.key).isNotNull()), by)
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
     if name_filter:

@@ -157,3 +157,87 @@ def test_paths_and_descendants(spark):
     assert got == {("f", 0): ("A", 0, 3), ("f", 1): ("A/B", 1, 1), ("f", 2): ("A/B/C", 2, 0), ("f", 3): ("A/D", 1, 0), ("g", 0): (None, -1, 0), ("g", 1): (None, -1, 0)}
     below = {(r["file"], r["pos"], r["descendant"], r["distance"]) for r in H.descendants(df).collect()}
     assert below == {("f", 0, 1, 1), ("f", 0, 2, 2), ("f", 0, 3, 1), ("f", 1, 2, 1)}
+
+
+def test_large_files_are_contracted_in_rounds(spark):
+    rows = [("big", i, f"c{i}", f"c{i - 1}" if i % 7 else f"c{i // 2}") for i in range(60)] + [("big", 100 + i, f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("small", i, f"s{i}", f"s{i - 1}") for i in range(8)]
+    df = spark.createDataFrame(rows, "file string, pos int, name string, parent string")
+    key = lambda d: sorted((r["file"], r["pos"], r["up"], r["root_pos"], r["depth"], r["path"] and tuple(r["path"])) for r in d.collect())
+    assert key(H.placed(df, True, file_rows=20)) == key(H.placed(df, True))
+    assert {tuple(r) for r in H.deep_or_cyclic(df).collect()} == brute_tree(rows)[0]
+
+
+def test_a_file_that_spans_batches_is_contracted_whole(spark, monkeypatch):
+    rows = [(f"f{f:02}", i, f"c{i}", f"c{i - 1}" if i else None) for f in range(40) for i in range(f)]
+    df = spark.createDataFrame(rows, "file string, pos int, name string, parent string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {tuple(r) for r in H.deep_or_cyclic(df).collect()} == brute_tree(rows)[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_failed_run_leaves_nothing_behind(spark, tmp_path):
+    store = I.PartitionStore(spark, str(tmp_path / "store"), "k", ["c"], folder=I.folder_of)
+    make = lambda tag, n=40: spark.createDataFrame([(f"d{i % 5}/k{i}", tag if i % 9 == 0 else "same") for i in range(n)], "k string, c string")
+    keep = lambda df: df
+    store.refresh(make("a"), keep)
+
+    def fail():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        store.refresh(make("b"), keep, before_commit=fail)
+    assert store.refresh(make("a"), keep) == {"run": 1, "partitions": 0}
+    assert sorted(map(tuple, store.rows().collect())) == sorted(map(tuple, make("a").collect()))
+    with pytest.raises(RuntimeError):
+        store.refresh(make("c", 50), keep, before_commit=fail)
+    seen = []
+    store.refresh(make("b"), lambda df: seen.append(df.count()) or df)
+    assert seen == [5] and sorted(map(tuple, store.rows().collect())) == sorted(map(tuple, make("b").collect()))
+    for tag in "def":
+        store.refresh(make(tag), keep)
+    assert len(store.runs()) == 2 and sorted(map(tuple, store.rows().collect())) == sorted(map(tuple, make("f").collect()))
+
+
+def test_only_folders_with_changes_are_replaced(spark, tmp_path):
+    store = I.PartitionStore(spark, str(tmp_path / "store"), "k", ["c"], folder=I.folder_of)
+    rows = [(f"p{d}/src/f{i}", "1") for d in range(300) for i in range(20)] + [(f"hot/f{i}", "1") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, c string")
+    all_of_it = store.refresh(df, lambda d: d)["partitions"]
+    near = F.col("k").rlike("^p(7|8)/") | (F.col("k") == "hot/f5")  # 41 of 9,000 records
+    run = store.refresh(df.withColumn("c", F.when(near, "2").otherwise("1")), lambda d: d)
+    assert run.pending.count() == 41 and run["partitions"] <= 3 < all_of_it / 40
+    hot = store.rows().where("k like 'hot/%'").count()
+    assert hot == 3000 and store.rows().where("c = '2'").count() == 41
+
+
+def test_null_contents_are_processed_again_and_empty_inputs_are_no_records(spark, tmp_path):
+    store = I.PartitionStore(spark, str(tmp_path / "store"), "k", ["c"], folder=I.folder_of)
+    assert store.rows().count() == 0
+    store.refresh(spark.createDataFrame([], "k string, c string"), lambda d: d)
+    df = spark.createDataFrame([("a/1", None, 1), ("a/2", "x", 2), (None, "y", 3), ("a/2", "x", 2)], "k string, c string, _part int").drop("_part")
+    store.refresh(df, lambda d: d.withColumn("extra", F.lit(1)))
+    assert [r["k"] for r in store.refresh(df, lambda d: d.withColumn("extra", F.lit(2))).pending.collect()] == ["a/1"]
+    assert sorted((r["k"], r["extra"]) for r in store.rows().collect()) == [("a/1", 2), ("a/2", 1)]
+
+
+def test_late_rows_of_a_stream_change_nothing(spark, tmp_path):
+    from lodestone.streaming import refresh
+
+    store = I.PartitionStore(spark, str(tmp_path / "store"), "rel", ["hash"], folder=I.folder_of)
+    batch = lambda rows, n: spark.createDataFrame(rows, "rel string, hash string, at int").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    schema = spark.createDataFrame([], "rel string, hash string, at int").schema
+    take = lambda: refresh.follow(spark, f"{tmp_path}/in/*", schema, store, f"{tmp_path}/progress", "at")
+    for n, rows in enumerate([[("a", "h1", 1), ("b/x", "u", 1)], [("a", "h1", 10)], [("a", "h2", 5), ("c", "v", 2)]]):
+        batch(rows, n)
+        take()
+    assert sorted(map(tuple, store.rows().select("rel", "hash", "at").collect())) == [("a", "h1", 10), ("b/x", "u", 1), ("c", "v", 2)]
+
+
+def test_percentiles_of_a_hot_key_and_of_text(spark):
+    rows = [("hot", i) for i in range(1, 1001)] + [("k", 5)] + [(None, 3)]
+    freq = skew.weighted(spark.createDataFrame(rows, "k string, v int"), F.col("k"), [F.col("v")])
+    assert {r["key"]: (r["a"], r["b"]) for r in skew.percentiles(freq, {"a": 0.5, "b": 0.07}).collect()} == {"hot": (500, 70), "k": (5, 5)}
+    words = skew.weighted(spark.createDataFrame([("k", w) for w in "abcde"], "k string, v string"), F.col("k"), [F.col("v")])
+    assert skew.percentiles(words, {"m": 0.5}).first()["m"] == "c"
