@@ -173,7 +173,10 @@ def ignore_rules(content: str, folder: str = "") -> list[IgnoreRule]:
             else:
                 body += _segment(p) + ("" if last else "/")
         prefix = re.escape(folder.rstrip("/") + "/") if folder else ""
-        rules.append(IgnoreRule(f"^{prefix}{'' if anchored else '(?:.*/)?'}{body}$", negated, dir_only))
+        try:
+            rules.append(IgnoreRule(f"^{prefix}{'' if anchored else '(?:.*/)?'}{body}$", negated, dir_only))
+        except re.error:
+            continue  # a line that is no pattern ignores nothing
     return rules
 
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import constants as K
 
@@ -24,32 +22,49 @@ def short_hash(s: Column, n: int = 8) -> Column:
     return F.substring(F.sha1(s), 1, n)
 
 
-@F.pandas_udf(StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """Letters without their marks."""
-    return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not "̀" <= c <= "ͯ"))
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
 
 
-def subtokens(raw: Column, folded: Column | None = None) -> Column:
-    """Lower-case parts of an identifier and itself, of two letters at least, in order and once each.
+def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """By rule: letters that fold to one, then the marks, which fold to none; and letters that fold to several."""
+    letters = [(c, p) for i in range(0x80, 0x2E80) if (p := _plain(c := chr(i))) != c]
+    ligatures = [(c, p) for i in range(0x80, 0xFB07) if not 0xD800 <= i < 0xE000 and unicodedata.category(c := chr(i)) in ("Lu", "Ll", "Lt") and (p := _plain(c)).isascii() and len(p) > 1]
+    one = [(c, p) for c, p in letters if len(p) == 1]
+    marks = "".join(chr(i) for i in range(0x300, 0x370))
+    return "".join(c for c, _ in one) + marks, "".join(p for _, p in one), ligatures
 
-    ``folded``: the same without marks; by default the text is taken as it is.
-    """
-    f = raw if folded is None else folded
+
+FROM, TO, _LIGATURES = _fold_tables()
+
+
+def folded(s: Column) -> Column:
+    """Letters without their marks, compatibility letters as plain ones. ASCII texts are left alone."""
+    out = F.translate(s, FROM, TO)
+    for c, p in _LIGATURES:
+        out = F.replace(out, F.lit(c), F.lit(p))
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.when(s.rlike("[" + "".join(c for c, _ in _LIGATURES) + "]"), out).otherwise(F.translate(s, FROM, TO))).otherwise(s)
+
+
+def _parts(raw: Column) -> Column:
+    f = folded(raw)
     apart = F.regexp_replace(F.regexp_replace(f, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     whole = F.when(~F.trim(raw).rlike(r"\s"), F.regexp_replace(F.lower(f), "[^a-z0-9_]+", "")).otherwise("")
-    return F.filter(F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+"))), lambda t: F.length(t) >= 2)
+    return F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+")))
+
+
+def subtokens(raw: Column) -> Column:
+    """Lower-case parts of an identifier and itself, without marks, of two letters at least, in order and once each."""
+    return F.filter(_parts(raw), lambda t: F.length(t) >= 2)
 
 
 def exploded_subtokens(raw: Column) -> Column:
     """As ``subtokens``, for explode: short parts are still in it, so that no lambda keeps it out of generated code."""
-    apart = F.regexp_replace(F.regexp_replace(raw, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    whole = F.when(~F.trim(raw).rlike(r"\s"), F.regexp_replace(F.lower(raw), "[^a-z0-9_]+", "")).otherwise("")
-    return F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+")))
+    return _parts(raw)
 
 
 def keywords(question: str) -> list[str]:
-    text = "".join(c for c in unicodedata.normalize("NFKD", question) if not "̀" <= c <= "ͯ")
+    text = _plain(question)
     out: dict[str, str] = {}
     word = ""
     for c in text + " ":
@@ -63,7 +78,7 @@ def keywords(question: str) -> list[str]:
 
 
 def keyword_weight(word: Column) -> Column:
-    """How distinctive a keyword is: digits, mixed case, underscores and length count."""
+    """How distinctive a keyword is: digits, mixed case, underscores and length count. The weights are fixed values."""
     mixed = word.rlike("[A-Z]") & ~word.rlike("^[A-Z0-9]+$")
     size = F.when(F.length(word) >= 8, 1.5).when(F.length(word) >= 5, 0.5).otherwise(0.0)
     return F.when(word.rlike("[0-9]"), 3.0).otherwise(0.0) + F.when(mixed, 2.0).otherwise(0.0) + F.when(word.contains("_"), 2.0).otherwise(0.0) + size
@@ -78,21 +93,6 @@ def clip(s: Column, most: int) -> Column:
     return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most), F.lit("\n… [truncated "), (F.length(s) - most).cast("string"), F.lit(" chars]")))
 
 
-def clip_inline(s: Column, most: int) -> Column:
-    """One line, cut at a word, without half-open code spans and links."""
-    flat = F.trim(F.regexp_replace(s, r"\s+", " "))
-    head = F.substring(flat, 1, most)
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
-    cut = F.when(cut == "", head).otherwise(cut)
-    cut = F.when(F.pmod(F.length(cut) - F.length(F.replace(cut, F.lit("`"), F.lit(""))), F.lit(2)) == 1, F.regexp_replace(cut, "`[^`]*$", "")).otherwise(cut)
-    cut = F.regexp_replace(cut, r"\[[^\]]*$", "")
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
-
-
-def escaped(s: Column) -> Column:
-    return F.regexp_replace(s, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-
-
 def distinctive(name: Column) -> Column:
     return (F.length(name) >= 5) & name.rlike("[a-z][A-Z]|[A-Z]{2}|_|[0-9]")
 

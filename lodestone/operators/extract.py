@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ RULES: dict[str, list[tuple[str, str]]] = {
         (rf"^\s*(?:export\s+)?(?:declare\s+)?namespace\s+{_ID}", "namespace"),
         (rf"^(?:export\s+)?(?:const|let|var)\s+{_ID}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>", "function"),
         (rf"^(?:export\s+)?(?:const|let|var)\s+{_ID}", "const"),
+        (r"^\s*(?:module\.)?exports\.([\w$]+)\s*=(?!=)", "const"),
+        (rf"^\s*export\s+default\s+(?!(?:async|function|class|abstract|new)\b){_ID}\s*;?\s*$", "default"),
     ],
     "go": [(r"^func\s+\([^)]*\)\s*(\w+)\s*[(\[]", "method"), (r"^func\s+(\w+)\s*[(\[]", "function"), (r"^type\s+(\w+)\s+struct\b", "struct"), (r"^type\s+(\w+)\s+interface\b", "interface"), (r"^type\s+(\w+)\b", "type")],
     "ruby": [(r"^\s*class\s+([A-Z]\w*)", "class"), (r"^\s*module\s+([A-Z]\w*)", "module"), (r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", "method")],
@@ -46,7 +49,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
 }
 GROUP = {"typescript": "js", "javascript": "js", "cpp": "c"}
 VISIBLE: dict[str, Callable[[str, str], bool]] = {
-    "js": lambda line, name: re.match(r"\s*export\b", line) is not None,
+    "js": lambda line, name: re.match(r"\s*(?:export\b|(?:module\.)?exports\.)", line) is not None,
     "go": lambda line, name: name[:1].isupper(),
     "python": lambda line, name: not name.startswith("_") or name.startswith("__"),
     "rust": lambda line, name: re.search(r"\bpub\b", line) is not None,
@@ -66,9 +69,43 @@ EXTRA: dict[str, Callable[[str], list[dict]]] = {}
 
 
 def register_extractor(ext: str, extractor: Callable[[str], list[dict]]) -> None:
+    """``extracted`` sends the function to the workers with the job."""
     EXTRA[ext] = extractor
 
 
+@dataclass(frozen=True)
+class Caps:
+    """The most that is kept of one file; None keeps all. What a cap has cut is named in the row's column ``cut``."""
+
+    symbols: int | None = None
+    reexports: int | None = None
+    calls: int | None = None
+    idents: int | None = None
+    imported: int | None = None
+
+
+#: The caps of an index that is to have them.
+CAPPED = Caps(K.MAX_SYMBOLS, K.MAX_REEXPORTS, K.MAX_CALLS, K.MAX_IDENTS, K.MAX_IDENTS)
+
+_QUOTED = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+_BLOCK = r"/\*.*?(?:\*/|\Z)|//[^\n]*"
+#: What is no code, by language group: comments and strings.
+_NO_CODE = {
+    "js": re.compile(_BLOCK + "|" + _QUOTED, re.S),
+    "python": re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|#[^\n]*|" + _QUOTED, re.S),
+    "hash": re.compile("#[^\n]*|" + _QUOTED, re.S),
+    "lua": re.compile(r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*|" + _QUOTED, re.S),
+    "quote": re.compile(_BLOCK + r"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", re.S),
+}
+_COMMENTS = {"js": "js", "python": "python", "ruby": "hash", "shell": "hash", "elixir": "hash", "lua": "lua", "php": "js"}
+
+
+def code_only(content: str, group: str) -> str:
+    """The content with comments and strings blanked out, every line and column where it was."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m.group())
+    return _NO_CODE[_COMMENTS.get(group, "quote")].sub(blank, content)
+
+
 def _end(lines: list[str], i: int, group: str) -> int | None:
     if group in _BRACES:
         depth = 0
@@ -106,14 +143,15 @@ def _python(content: str) -> list[dict]:
     return out
 
 
-def symbols(lang: str, ext: str, content: str) -> tuple[str, list[dict]]:
-    """The tier that read the file and its symbols, at most a bounded number of them, in order of lines."""
+def symbols(lang: str, ext: str, content: str, rel: str = "", extra: dict[str, Callable[[str], list[dict]]] | None = None) -> tuple[str, list[dict]]:
+    """The tier that read the file and its symbols in order of lines."""
     try:
-        if ext in EXTRA:
-            return "extra", EXTRA[ext](content)[: K.MAX_SYMBOLS]
+        extra = EXTRA if extra is None else extra
+        if ext in extra:
+            return "extra", extra[ext](content)
         if lang == "python":
             try:
-                return "ast", _python(content)[: K.MAX_SYMBOLS]
+                return "ast", _python(content)
             except (SyntaxError, ValueError, RecursionError):
                 pass
         group = GROUP.get(lang, lang)
@@ -123,43 +161,62 @@ def symbols(lang: str, ext: str, content: str) -> tuple[str, list[dict]]:
         lines = re.split(r"\r?\n", content)
         visible = VISIBLE.get(group, lambda line, name: True)
         out: list[dict] = []
+        around: list[dict] = []
         for i, line in enumerate(lines):
             for p, kind in rules:
                 if m := p.match(line):
                     name = m.group(m.lastindex or 0)
                     end = _end(lines, i, group)
-                    around = [s for s in out if s["end_line"] and s["line"] < i + 1 <= s["end_line"] and s["kind"] in ("class", "struct", "module", "interface", "trait", "object", "namespace")]
+                    around = [x for x in around if i + 1 <= x["end_line"]]
                     out.append({"name": name, "kind": kind, "line": i + 1, "end_line": end, "parent": around[-1]["name"] if around else None, "signature": line.strip()[: K.SIGNATURE], "exported": visible(line, name)})
+                    if end and kind in ("class", "struct", "module", "interface", "trait", "object", "namespace"):
+                        around.append(out[-1])
                     break
-            if len(out) >= K.MAX_SYMBOLS:
-                break
         if group == "js":
-            out = _js_exports(content, out)
+            out = _js_exports(content, out, rel)
         return "regex", out
     except Exception:  # noqa: BLE001 a file that cannot be read has no symbols
         return "failed", []
 
 
-def _js_exports(content: str, out: list[dict]) -> list[dict]:
-    """Marks what export lists name, and adds re-exports."""
+def _names(listed: str) -> list[tuple[str, str]]:
+    """(local name, name outside) of a list such as ``a, b as c`` or ``a, b: c``."""
+    out = []
+    for item in filter(None, (x.strip() for x in listed.split(","))):
+        if ":" in item:
+            new, _, old = (x.strip() for x in item.partition(":"))
+        else:
+            old, _, new = (x.strip().removeprefix("type ") for x in item.partition(" as "))
+        out.append((old, new or old))
+    return out
+
+
+def _js_exports(content: str, out: list[dict], rel: str) -> list[dict]:
+    """Marks what export lists and exported objects name, and adds re-exports and default exports without a name."""
     names: set[str] = set()
     more: list[dict] = []
     local = {s["name"]: s for s in out}
+    line_of = lambda m: content.count("\n", 0, m.start()) + 1
+    entry = lambda m, name, kind: {"name": name, "kind": kind, "line": line_of(m), "end_line": None, "parent": None, "signature": m.group().strip()[: K.SIGNATURE], "exported": True}
     for m in re.finditer(r"export\s*(?:type\s*)?\{([^}]*)\}\s*(from\s*['\"]([^'\"]+)['\"])?", content):
-        line = content.count("\n", 0, m.start()) + 1
-        for item in filter(None, (x.strip() for x in m.group(1).split(","))):
-            old, _, new = item.partition(" as ")
-            old, new = old.strip().removeprefix("type "), (new or old).strip().removeprefix("type ")
+        for old, new in _names(m.group(1)):
             if m.group(2):
-                more.append({"name": new, "kind": "reexport", "line": line, "end_line": None, "parent": None, "signature": m.group()[: K.SIGNATURE], "exported": True})
+                more.append(entry(m, new, "reexport"))
             elif new == old or old not in local:
                 names.add(old)
             else:
                 more.append(local[old] | {"name": new, "exported": True})
     for m in re.finditer(r"export\s*\*\s*(?:as\s+([\w$]+)\s+)?from\s*['\"]([^'\"]+)['\"]", content):
-        more.append({"name": m.group(1) or m.group(2), "kind": "reexport-all", "line": content.count("\n", 0, m.start()) + 1, "end_line": None, "parent": None, "signature": m.group()[: K.SIGNATURE], "exported": True})
+        more.append(entry(m, m.group(1) or m.group(2), "reexport-all"))
+    for m in re.finditer(r"\bmodule\.exports\s*=\s*\{([^}]*)\}", content):
+        names.update(x for pair in _names(m.group(1)) for x in pair)
+    if m := re.search(r"\bmodule\.exports\s*=\s*([A-Za-z_$][\w$]*)\s*;?\s*$", content, re.M):
+        names.add(m.group(1))
+    for m in re.finditer(r"(?m)^\s*export\s+default\s+(?:(?:async\s+)?(?:function|class)\b\s*\*?\s*(?=[({]|extends\b)|[({\[]|async\s*\(|[\w$]+\s*=>)", content):
+        more.append(entry(m, re.sub(r"\.[^.]+$", "", rel.split("/")[-1]) or "default", "default"))
+    names |= {s["name"] for s in out if s["kind"] == "default"}
     out = [s | {"exported": s["exported"] or s["name"] in names} for s in out]
-    return out + [m for m in more[: K.MAX_REEXPORTS] if m["name"] not in local or m["kind"] not in ("reexport",)]
+    return out + [m for m in more if m["name"] not in local or m["kind"] != "reexport"]
 
 
 def use_group(path: str, most: int = 16) -> list[str]:
@@ -180,7 +237,8 @@ def use_group(path: str, most: int = 16) -> list[str]:
             parts.append(path[start:i])
             start = i + 1
     head = path[:open_at].strip()
-    return [p for part in parts if part.strip() for p in use_group(head + part.strip(), most)][:most]
+    inner = [head.removesuffix("::") if part.strip() == "self" else p for part in parts if part.strip() for p in use_group(head + part.strip(), most)]
+    return inner[:most]
 
 
 def imports(lang: str, content: str) -> list[str]:
@@ -222,27 +280,62 @@ def imports(lang: str, content: str) -> list[str]:
 _CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::|->)\s*)?([A-Za-z_$][\w$]*)\s*\(")
 _NO_CALL = set("if for while switch catch return function func def fn class new typeof sizeof await elif else in not and or with assert match when until unless foreach lambda print".split())
 _INTRODUCES = re.compile(r"\b(?:function|func|def|fn|class|fun|sub)\s*\*?\s*$")
+#: In C a name behind a type at the left margin, with nothing but a list in brackets before the semicolon, is declared.
+_DECLARES = re.compile(r"^(?!return\b|else\b|goto\b|case\b)[A-Za-z_][\w\s*&:<>,]*[\s*&]([A-Za-z_]\w*)\s*\([^{}]*\)\s*(?:const\s*)?;\s*$")
+
+
+def _python_calls(content: str) -> list[tuple[str, int, str | None]]:
+    out = []
+    for n in ast.walk(ast.parse(content)):
+        if isinstance(n, ast.Call):
+            f = n.func
+            if isinstance(f, ast.Name):
+                out.append((f.id, n.lineno, None))
+            elif isinstance(f, ast.Attribute):
+                v = f.value
+                out.append((f.attr, n.lineno, v.id if isinstance(v, ast.Name) else v.attr if isinstance(v, ast.Attribute) else None))
+    return out
 
 
-def calls(content: str, defined: list[dict]) -> list[dict]:
-    """Call sites (name, line, receiver), once a line, sorted; comments, keywords and definitions are left out."""
-    own = {(s["name"], s["line"]) for s in defined}
+def calls(lang: str, content: str, defined: list[dict]) -> list[dict]:
+    """Call sites (name, line, receiver), a name once a line, in order of lines; keywords, definitions and what is no code are left out."""
     seen: dict[tuple[str, int], str | None] = {}
-    for i, line in enumerate(re.split(r"\r?\n", content), 1):
-        if line.lstrip().startswith(("//", "#", "*", "/*", "--")):
-            continue
+    group = GROUP.get(lang, lang)
+    if lang == "python":
+        try:
+            for name, i, receiver in _python_calls(content):
+                if len(name) >= 2:
+                    seen.setdefault((name, i), receiver)
+            return [{"name": n, "line": i, "receiver": r} for (n, i), r in sorted(seen.items(), key=lambda x: (x[0][1], x[0][0]))]
+        except (SyntaxError, ValueError, RecursionError):
+            seen.clear()
+    own = {(s["name"], s["line"]) for s in defined}
+    for i, line in enumerate(re.split(r"\r?\n", code_only(content, group)), 1):
+        declared = _DECLARES.match(line) if group == "c" else None
         for m in _CALL.finditer(line):
             name = m.group(2)
-            if len(name) >= 2 and name not in _NO_CALL and (name, i) not in own and not _INTRODUCES.search(line[: m.start(2)]):
+            if len(name) >= 2 and name not in _NO_CALL and (name, i) not in own and not _INTRODUCES.search(line[: m.start(2)]) and not (declared and declared.group(1) == name):
                 seen.setdefault((name, i), m.group(1))
     rows = [{"name": n, "line": i, "receiver": r} for (n, i), r in seen.items()]
-    return sorted(rows, key=lambda c: (c["line"], c["name"]))[: K.MAX_CALLS]
+    return sorted(rows, key=lambda c: (c["line"], c["name"]))
 
 
-def identifiers(content: str, defined: list[dict]) -> list[str]:
-    """Names of five letters and more that the file uses and does not define, sorted."""
+def identifiers(lang: str, content: str, defined: list[dict]) -> list[str]:
+    """Names of five letters and more that the file's code uses and does not define, sorted."""
     own = {s["name"] for s in defined}
-    return sorted({x for x in re.findall(r"[A-Za-z_$][\w$]{4,}", content) if x not in own})[: K.MAX_IDENTS]
+    return sorted({x for x in re.findall(r"[A-Za-z_$][\w$]{4,}", code_only(content, GROUP.get(lang, lang))) if x not in own})
+
+
+def imported_names(lang: str, content: str) -> list[str]:
+    """What a script or a Python file imports by name, under the name it has there, sorted."""
+    found: set[str] = set()
+    if GROUP.get(lang, lang) == "js":
+        for m in re.finditer(r"\bimport\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\b", content):
+            found |= {old for old, _ in _names(m.group(1))}
+    elif lang == "python":
+        for m in re.finditer(r"(?m)^\s*from\s+[\w.]+\s+import\s+(?:\(([^)]*)\)|([^\n#]+))", content):
+            found |= {x.split(" as ")[0].strip() for x in (m.group(1) or m.group(2)).split(",")} - {"", "*"}
+    return sorted(found)
 
 
 def summary(content: str) -> str | None:
@@ -303,29 +396,40 @@ def markdown(content: str) -> dict:
 SCHEMA = (
     "rel string, lang string, tier string, title string, summary string, pkg string, "
     "symbols array<struct<name:string,kind:string,line:int,end_line:int,parent:string,signature:string,exported:boolean>>, "
-    "refs array<struct<kind:string,spec:string>>, calls array<struct<name:string,line:int,receiver:string>>, idents array<string>, headings array<string>"
+    "refs array<struct<kind:string,spec:string>>, calls array<struct<name:string,line:int,receiver:string>>, idents array<string>, imported array<string>, headings array<string>, cut array<string>"
 )
 
 
-def extract(rel: str, ext: str, content: str) -> dict:
+_COLUMNS = ["rel", "lang", "tier", "title", "summary", "pkg", "symbols", "refs", "calls", "idents", "imported", "headings", "cut"]
+
+
+def extract(rel: str, ext: str, content: str, caps: Caps = Caps(), extra: dict[str, Callable[[str], list[dict]]] | None = None) -> dict:
+    """All that is taken from one file; ``cut`` names the lists of which ``caps`` has left something out."""
     lang = K.LANGUAGE_OF.get(ext, "other")
-    row = {"rel": rel, "lang": lang, "tier": "none", "title": None, "summary": None, "pkg": None, "symbols": [], "refs": [], "calls": [], "idents": [], "headings": []}
+    row = dict.fromkeys(_COLUMNS) | {"rel": rel, "lang": lang, "tier": "none"} | {c: [] for c in _COLUMNS[6:]}
     if lang == "markdown":
         m = markdown(content)
         return row | {"title": m["title"], "summary": m["summary"], "headings": m["headings"], "refs": [{"kind": "doc-link", "spec": x} for x in m["links"]]}
-    if lang in K.NOT_CODE:
+    if lang in K.NOT_CODE and ext not in (EXTRA if extra is None else extra):
         return row
-    tier, own = symbols(lang, ext, content)
+    tier, own = symbols(lang, ext, content, rel, extra)
     pkg = re.search(r"(?m)^\s*(?:package|namespace)\s+([\w.]+)\s*[;{]?", content) if lang in ("java", "csharp", "kotlin") else None
-    return row | {"tier": tier, "symbols": own, "summary": summary(content), "pkg": pkg.group(1) if pkg else None, "refs": [{"kind": "import", "spec": x} for x in imports(lang, content)], "calls": calls(content, own), "idents": identifiers(content, own)}
+    again = [s for s in own if s["kind"] in ("reexport", "reexport-all")]
+    first = [s for s in own if s["kind"] not in ("reexport", "reexport-all")]
+    lists = {"symbols": first, "reexports": again, "calls": calls(lang, content, own), "idents": identifiers(lang, content, own), "imported": imported_names(lang, content)}
+    kept = {k: v if getattr(caps, k) is None else v[: getattr(caps, k)] for k, v in lists.items()}
+    kept["symbols"] = kept["symbols"] + kept.pop("reexports")
+    cut = [k for k, v in lists.items() if getattr(caps, k) is not None and len(v) > getattr(caps, k)]
+    return row | kept | {"tier": tier, "summary": summary(content), "pkg": pkg.group(1) if pkg else None, "refs": [{"kind": "import", "spec": x} for x in imports(lang, content)], "cut": cut}
 
 
-def extracted(texts: DataFrame) -> DataFrame:
+def extracted(texts: DataFrame, caps: Caps = Caps()) -> DataFrame:
     """One row for each text (rel, ext, content) with all that is taken from it."""
+    extra = dict(EXTRA)  # goes to the workers with the function below
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([extract(r, e or "", c or "") for r, e, c in zip(b["rel"], b["ext"], b["content"])], columns=[c.split()[0] for c in re.sub(r"<.*?>(?=,|$)", "", re.sub(r"struct<[^>]*>", "struct", SCHEMA)).split(", ")])
+            yield pd.DataFrame([extract(r, e or "", c or "", caps, extra) for r, e, c in zip(b["rel"], b["ext"], b["content"])], columns=_COLUMNS)
 
     return texts.select("rel", "ext", "content").mapInPandas(run, SCHEMA)
 

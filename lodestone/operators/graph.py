@@ -1,13 +1,16 @@
 """Graph analytics: PageRank, betweenness, communities, cycles, topological order.
 
 PageRank and the cores of cycles are DataFrame loops over the whole graph; every round is written to the shared
-folder. Betweenness is spread over its sources. Communities depend on the order of moves and run as one group over
-the module graph, whose size is checked.
+folder. A graph that is counted and found to have at most ``TASK_EDGES`` edges is ranked by one task instead, which
+comes to the same ranks. Betweenness is spread over its sources. Communities and the paths of cycles depend on the
+order of moves and run in one task, never in the driver, over a graph of at most ``MODULE_EDGES`` edges; a larger one
+is refused.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,22 +20,24 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..session import written
 
-#: Edges of a module graph that one task may hold.
-MODULE_EDGES = 5_000_000
+#: Edges of a module graph that one task may hold; edges of a graph that one task ranks.
+MODULE_EDGES, TASK_EDGES = 5_000_000, 1_000_000
 #: Sources of shortest paths that one task sweeps.
 SOURCES = 64
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = K.DAMPING, iterations: int = K.ITERATIONS, stop: float = K.L1_STOP) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = K.DAMPING, iterations: int = K.ITERATIONS, stop: float = K.L1_STOP, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, rank) of weighted PageRank scaled by the number of nodes. ``nodes``: id; ``edges``: src, dst, weight."""
-    ids = nodes.select("id").distinct()
+    ids = written(nodes.select("id").distinct(), "ids")
     e = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w"))
-    e = e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    out = e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("out"))
-    e = written(e.join(out.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "edges")
+    e = written(e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi"), "edges")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
+    if n <= task_edges and e.count() <= task_edges:
+        return _ranked_in_one_task(ids, e, damping, iterations, stop)
+    out = e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("out"))
+    e = written(e.join(out.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")), "shares")
     links = F.coalesce("links", F.lit(False)).alias("links")
     state = ids.join(out.select("id", F.lit(True).alias("links")), "id", "left").select("id", links, F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("moved"))
     for turn in range(iterations + 1):
@@ -47,14 +52,52 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = K.DAMPING, ite
     return state.select("id", (F.col("rank") * n).alias("rank"))
 
 
-def _bounded(edges: DataFrame) -> pd.DataFrame:
-    if edges.limit(MODULE_EDGES + 1).count() > MODULE_EDGES:
+def _in_one_task(nodes: DataFrame, edges: DataFrame, schema: str, work: Callable[[list, pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``work`` on the sorted ids and the edges (src, dst, w) of a graph whose size has been checked, in one task of an executor."""
+    kind = dict(nodes.dtypes)["id"]
+    both = nodes.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("w")).unionByName(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if rows:
+            every = pd.concat(rows)
+            alone = every["dst"].isna()
+            yield work(sorted(every["src"][alone].unique()), every[~alone].sort_values(["src", "dst"]))
+
+    return both.coalesce(1).mapInPandas(run, schema)
+
+
+def _ranked_in_one_task(ids: DataFrame, edges: DataFrame, damping: float, iterations: int, stop: float) -> DataFrame:
+    def work(names: list, e: pd.DataFrame) -> pd.DataFrame:
+        n = len(names)
+        place = pd.Index(names)
+        a, b = place.get_indexer(e["src"]), place.get_indexer(e["dst"])
+        out = np.bincount(a, weights=e["w"], minlength=n)
+        share = e["w"].to_numpy() / out[a]
+        loose = np.bincount(a, minlength=n) == 0
+        rank = np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            new = (1 - damping + damping * rank[loose].sum()) / n + damping * np.bincount(b, weights=rank[a] * share, minlength=n)
+            moved = np.abs(new - rank).sum()
+            rank = new
+            if moved < stop:
+                break
+        return pd.DataFrame({"id": names, "rank": rank * n})
+
+    return _in_one_task(ids, edges, f"id {dict(ids.dtypes)['id']}, rank double", work)
+
+
+def _checked(edges: DataFrame) -> DataFrame:
+    kept = written(edges, "bounded")
+    if kept.count() > MODULE_EDGES:
         raise ValueError(f"the module graph has more than {MODULE_EDGES} edges; lift to coarser modules")
-    return edges.toPandas()
+    return kept
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = K.BETWEENNESS_NODES) -> DataFrame:
-    """(id, betweenness), undirected and unweighted, normalised, 6 places; 0 below 3 nodes and above ``most`` (None: no guard).
+    """(id, betweenness, computed), undirected and unweighted, normalised, 6 places; 0 below 3 nodes.
+
+    Above ``most`` nodes (None: no guard) all are 0 and ``computed`` is false.
 
     One shortest-path sweep for each source, spread over the tasks by source; sums are partial before the shuffle.
     """
@@ -62,8 +105,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = K.BETWEEN
     ids = [r[0] for r in (every if most is None else every.limit(most + 1)).collect()]
     n = len(ids)
     if n < 3 or (most is not None and n > most):
-        return nodes.select("id").distinct().withColumn("betweenness", F.lit(0.0))
-    pairs = _bounded(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+        return nodes.select("id").distinct().withColumn("betweenness", F.lit(0.0)).withColumn("computed", F.lit(n < 3))
+    pairs = _checked(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()).toPandas()
     place = {x: i for i, x in enumerate(ids)}
     a, b = pairs["a"].map(place), pairs["b"].map(place)
     known = a.notna() & b.notna()
@@ -85,7 +128,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = K.BETWEEN
     sums = spark.range(0, n, 1, -(-n // SOURCES)).mapInPandas(sweep, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
     named = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "id": ids}), "at bigint, id string")
     scale = (n - 1) * (n - 2) / 2
-    return named.join(sums, "at", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)) / 2 / scale, 6).alias("betweenness"))
+    return named.join(sums, "at", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)) / 2 / scale, 6).alias("betweenness"), F.lit(True).alias("computed"))
 
 
 def _dependencies(s: int, degree: np.ndarray, first: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -173,30 +216,30 @@ def _numbered(home: dict[str, str]) -> dict[str, int]:
 def communities(nodes: DataFrame, edges: DataFrame, previous: dict[str, int] | None = None) -> DataFrame:
     """(id, community) of the module graph; oversized communities are split once; ids of a previous build are kept
     where most members agree, within 0 to n-1."""
-    spark = nodes.sparkSession
-    ids = sorted(r[0] for r in nodes.select("id").distinct().collect())  # modules, checked below with their edges
-    pairs = _bounded(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").cast("double").alias("w")))
-    near: dict[str, dict[str, float]] = {i: {} for i in ids}
-    for a, b, w in zip(pairs["a"], pairs["b"], pairs["w"]):
-        if a in near and b in near:
-            near[a][b] = near[b][a] = w
-    of = _louvain(ids, near)
-    members: dict[int, list[str]] = defaultdict(list)
-    for i, c in of.items():
-        members[c].append(i)
-    home: dict[str, str] = {}
-    for c, own in members.items():
-        if len(own) >= K.OVERSIZE_MIN and len(own) > K.OVERSIZE_SHARE * len(ids):
-            inside = set(own)
-            part = _louvain(sorted(own), {i: {j: w for j, w in near[i].items() if j in inside} for i in own})
-            home.update({i: f"{c}/{p}" for i, p in part.items()})
-        else:
-            home.update({i: str(c) for i in own})
-    of = _numbered(home)
-    if previous:
-        of = _kept(of, previous)
-    rows = [(i, of[i]) for i in ids]
-    return spark.createDataFrame(rows, "id string, community int")
+    pairs = _checked(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").cast("double").alias("w")))
+    before = dict(previous or {})
+
+    def work(ids: list, e: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, dict[str, float]] = {i: {} for i in ids}
+        for a, b, w in zip(e["src"], e["dst"], e["w"]):
+            if a in near and b in near:
+                near[a][b] = near[b][a] = w
+        members: dict[int, list[str]] = defaultdict(list)
+        for i, c in _louvain(ids, near).items():
+            members[c].append(i)
+        home: dict[str, str] = {}
+        for c, own in members.items():
+            if len(own) >= K.OVERSIZE_MIN and len(own) > K.OVERSIZE_SHARE * len(ids):
+                inside = set(own)
+                part = _louvain(sorted(own), {i: {j: w for j, w in near[i].items() if j in inside} for i in own})
+                home.update({i: f"{c}/{p}" for i, p in part.items()})
+            else:
+                home.update({i: str(c) for i in own})
+        of = _numbered(home)
+        of = _kept(of, before) if before else of
+        return pd.DataFrame({"id": ids, "community": [of[i] for i in ids]})
+
+    return _in_one_task(nodes.select("id").distinct(), pairs, "id string, community int", work)
 
 
 def _kept(now: dict[str, int], before: dict[str, int]) -> dict[str, int]:
@@ -216,11 +259,8 @@ def _kept(now: dict[str, int], before: dict[str, int]) -> dict[str, int]:
     return {i: name[c] for i, c in now.items()}
 
 
-def cycles(edges: DataFrame) -> list[list[str]]:
-    """For each strongly connected set of modules a shortest cycle through its smallest member.
-
-    Modules that no cycle can hold are trimmed away first, as DataFrame rounds: those without an edge in or out.
-    """
+def _cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) among nodes that a cycle can hold: those without an edge in or out are trimmed away in rounds."""
     e = written(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges")
     n = e.count()
     while n:
@@ -230,33 +270,61 @@ def cycles(edges: DataFrame) -> list[list[str]]:
         e, n, same = e2, m, m == n
         if same:
             break
-    if not n:
-        return []
-    rows = _bounded(e)
+    return e
+
+
+def _neighbours(e: pd.DataFrame) -> dict[str, list[str]]:
     g: dict[str, list[str]] = defaultdict(list)
-    for a, b in zip(rows["src"], rows["dst"]):
+    for a, b in zip(e["src"], e["dst"]):
         g[a].append(b)
-    found = []
-    for part in _strong(g):
-        if len(part) > 1:
-            start, inside = min(part), set(part)
-            back = {start: ""}
-            queue, end = deque([start]), None
-            while queue and end is None:
-                v = queue.popleft()
-                for w in sorted(g[v]):
-                    if w == start:
-                        end = v
-                        break
-                    if w in inside and w not in back:
-                        back[w] = v
-                        queue.append(w)
-            path = []
-            while end:
-                path.append(end)
-                end = back[end]
-            found.append(path[::-1])
-    return sorted(found)
+    return g
+
+
+def strong_sets(edges: DataFrame) -> DataFrame:
+    """(id, least) of each node on a cycle, with the least member of its strongly connected set."""
+
+    def work(_: list, e: pd.DataFrame) -> pd.DataFrame:
+        rows = [(v, min(part)) for part in _strong(_neighbours(e)) if len(part) > 1 for v in part]
+        return pd.DataFrame(rows, columns=["id", "least"])
+
+    e = _checked(_cyclic_core(edges))
+    return _in_one_task(e.select(F.col("src").alias("id")).limit(0), e.withColumn("w", F.lit(1.0)), "id string, least string", work)
+
+
+def cycle_rows(edges: DataFrame) -> DataFrame:
+    """(least, length, path): for each strongly connected set of modules a shortest cycle through its least member."""
+
+    def work(_: list, e: pd.DataFrame) -> pd.DataFrame:
+        g = _neighbours(e)
+        found = []
+        for part in _strong(g):
+            if len(part) > 1:
+                start, inside = min(part), set(part)
+                back = {start: ""}
+                queue, end = deque([start]), None
+                while queue and end is None:
+                    v = queue.popleft()
+                    for w in sorted(g[v]):
+                        if w == start:
+                            end = v
+                            break
+                        if w in inside and w not in back:
+                            back[w] = v
+                            queue.append(w)
+                path = []
+                while end:
+                    path.append(end)
+                    end = back[end]
+                found.append((start, len(path), path[::-1]))
+        return pd.DataFrame(found, columns=["least", "length", "path"])
+
+    e = _checked(_cyclic_core(edges))
+    return _in_one_task(e.select(F.col("src").alias("id")).limit(0), e.withColumn("w", F.lit(1.0)), "least string, length int, path array<string>", work)
+
+
+def cycles(edges: DataFrame) -> list[list[str]]:
+    """The paths of ``cycle_rows`` in order, for documents that are read whole."""
+    return sorted(r["path"] for r in cycle_rows(edges).collect())
 
 
 def _strong(g: dict[str, list[str]]) -> list[list[str]]:

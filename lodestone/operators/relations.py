@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import paths, text
+from . import sweep
 
 
 def family(lang: Column) -> Column:
@@ -79,53 +80,123 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_position(same, F.lit(False)) - F.when(F.array_contains(same, False), 1).otherwise(F.lit(0) - n), n)
 
 
-def call_candidates(calls: DataFrame, symbols: DataFrame, import_pairs: DataFrame) -> DataFrame:
-    """(src, name, n, dst, imported) of calls and the exported definitions in other files that they may mean.
+def _callable(calls: DataFrame, symbols: DataFrame, import_pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls that definitions elsewhere may answer, with how many do; those definitions; and per call what its imports offer.
 
-    ``calls`` has src, name, family, n. Names that the calling file declares itself are its own.
+    ``calls`` has src, name, family, n. Names that the calling file declares itself are its own. Nothing here pairs
+    the callers of a name with its definers: a call meets the imports of its file, an import the names of its target.
     """
     d = definitions(symbols)
     exported = d.where("exported").select("name", F.col("file").alias("dst"), family(F.col("lang")).alias("family")).distinct()
     own = d.select("name", F.col("file").alias("src")).distinct()
-    c = calls.join(own, ["src", "name"], "left_anti").join(exported, ["name", "family"]).where("src <> dst")
-    c = c.join(import_pairs.select("src", "dst", F.lit(True).alias("imported")).distinct(), ["src", "dst"], "left")
-    c = c.withColumn("imported", F.coalesce("imported", F.lit(False)))
-    some = F.max("imported").over(Window.partitionBy("src", "name"))
-    # scripts bind only what they import; the other families prefer it
-    return c.withColumn("some", some).where(F.when((F.col("family") == "js") | F.col("some"), F.col("imported")).otherwise(True)).drop("some")
+    per_name = exported.groupBy("name", "family").agg(F.count(F.lit(1)).alias("defs"), F.min("dst").alias("only"))
+    c = calls.join(per_name, ["name", "family"]).join(own, ["src", "name"], "left_anti")
+    called = exported.join(c.select("name", "family").distinct(), ["name", "family"], "left_semi")
+    pairs = import_pairs.where("src <> dst").select("src", "dst").distinct()
+    offered = pairs.join(called, "dst").join(c.select("src", "name", "family"), ["src", "name", "family"])
+    near = shared_prefix(F.col("src"), F.col("dst"))
+    hi, lo = F.max(F.struct(near.alias("near"), "dst")).alias("hi"), F.min(F.struct((-near).alias("near"), "dst")).alias("lo")
+    imported = offered.groupBy("src", "name").agg(F.count(F.lit(1)).alias("offers"), hi, lo)
+    return c, exported, imported
+
+
+def call_candidates(calls: DataFrame, symbols: DataFrame, import_pairs: DataFrame) -> DataFrame:
+    """(src, name, candidates, imported): how many definitions a call may mean, and whether imports say so.
+
+    Scripts bind only what they import; the other families prefer it.
+    """
+    c, _, imported = _callable(calls, symbols, import_pairs)
+    x = c.join(imported.select("src", "name", "offers"), ["src", "name"], "left")
+    x = x.where(F.col("offers").isNotNull() | (F.col("family") != "js"))
+    return x.select("src", "name", F.coalesce("offers", "defs").alias("candidates"), F.col("offers").isNotNull().alias("imported"))
+
 
+def nearest_target(calls: DataFrame, symbols: DataFrame, import_pairs: DataFrame, recall: bool = False) -> DataFrame:
+    """(src, name, n, dst, imported): of each call's candidates the one that shares most leading folders, none where two do.
 
-def nearest_target(candidates: DataFrame) -> DataFrame:
-    """Of each (src, name) the candidate that shares most leading folders; none where two share as many."""
-    c = candidates.withColumn("near", shared_prefix(F.col("src"), F.col("dst")))
-    best = c.groupBy("src", "name").agg(F.max("near").alias("near"))
-    top = c.join(best, ["src", "name", "near"])
-    return top.withColumn("rivals", F.count(F.lit(1)).over(Window.partitionBy("src", "name"))).where("rivals = 1").drop("rivals", "near")
+    Where imports decide, the best of the few they offer is an aggregate. Otherwise definitions are counted by
+    (name, family, folder above them), the folders above the caller are looked up there, and the deepest one that
+    holds a definition decides: if it holds one only, that is the target. ``recall``: scripts also bind a name that
+    one file alone defines.
+    """
+    c, exported, imported = _callable(calls, symbols, import_pairs)
+    c = c.join(imported.select("src", "name", "hi", "lo"), ["src", "name"], "left")
+    by_import = c.where(F.col("hi").isNotNull() & (F.col("hi.dst") == F.col("lo.dst"))).select("src", "name", "n", F.col("hi.dst").alias("dst"), F.lit(True).alias("imported"))
+    rest = c.where(F.col("hi").isNull() & ((F.col("family") != "js") | F.lit(recall) & (F.col("defs") == 1)))
+    alone = rest.where("defs = 1").select("src", "name", "n", F.col("only").alias("dst"), F.lit(False).alias("imported"))
+    several = rest.where("defs > 1").select("src", "name", "family", "n")
+    wanted = exported.join(several.select("name", "family").distinct(), ["name", "family"], "left_semi")
+    held = wanted.select("name", "family", "dst", F.explode(paths.ancestors(F.col("dst"))).alias("folder")).groupBy("name", "family", "folder").agg(F.count(F.lit(1)).alias("held"), F.min("dst").alias("dst"))
+    up = several.select("src", "name", "family", "n", F.explode(paths.ancestors(F.col("src"))).alias("folder"))
+    met = up.join(held, ["name", "family", "folder"]).groupBy("src", "name", "n").agg(F.max_by(F.struct("held", "dst"), F.length("folder")).alias("best"))
+    near = met.where("best.held = 1").select("src", "name", "n", F.col("best.dst").alias("dst"), F.lit(False).alias("imported"))
+    return by_import.unionByName(alone).unionByName(near)
 
 
 def call_edges(calls: DataFrame, symbols: DataFrame, import_pairs: DataFrame) -> DataFrame:
     """(src, dst, weight, confidence): counts summed and capped, the stronger confidence kept."""
-    t = nearest_target(call_candidates(calls, symbols, import_pairs))
+    t = nearest_target(calls, symbols, import_pairs)
     conf = F.when(F.max("imported"), "extracted").otherwise("inferred")
     return t.groupBy("src", "dst").agg(F.least(F.sum("n"), F.lit(K.WEIGHT_CAP)).alias("weight"), conf.alias("confidence"))
 
 
+def bindings(calls: DataFrame, symbols: DataFrame, import_pairs: DataFrame, recall: bool = False) -> DataFrame:
+    """(src, name, n, dst, confidence): what each call binds to; a definition in the caller's own file comes first."""
+    own = definitions(symbols).select("name", F.col("file").alias("src")).distinct()
+    local = calls.join(own, ["src", "name"], "left_semi").select("src", "name", "n", F.col("src").alias("dst"), F.lit(True).alias("imported"))
+    every = local.unionByName(nearest_target(calls, symbols, import_pairs, recall))
+    return every.select("src", "name", "n", "dst", F.when(F.col("imported"), "corroborated").otherwise("unique-name").alias("confidence"))
+
+
+def caller_index(bound: DataFrame) -> DataFrame:
+    """(key, name, def_file, callers, sites, first_caller): the first file that defines a called name has the name as key, others name@file.
+
+    The sites themselves are the rows of ``bindings`` or of ``caller_sites``: a hot name needs no list.
+    """
+    x = bound.groupBy("name", F.col("dst").alias("def_file")).agg(F.count(F.lit(1)).alias("callers"), F.sum("n").alias("sites"), F.min("src").alias("first_caller"))
+    first = x.groupBy("name").agg(F.min("def_file").alias("first"))
+    key = F.when(F.col("def_file") == F.col("first"), F.col("name")).otherwise(F.concat("name", F.lit("@"), "def_file"))
+    return x.join(first, "name").select(key.alias("key"), "name", "def_file", "callers", "sites", "first_caller")
+
+
+def caller_sites(sites: DataFrame, bound: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(name, def_file, file, line, confidence): each call site of what it binds to; the line of a definition itself is no call of it."""
+    at = definitions(symbols).groupBy(F.col("file").alias("def_file"), "name").agg(F.min_by("line", "pos").alias("def_line"))
+    x = sites.select(F.col("file").alias("src"), "name", "line").join(bound.select("src", "name", F.col("dst").alias("def_file"), "confidence"), ["src", "name"])
+    x = x.join(at, ["def_file", "name"], "left").where((F.col("src") != F.col("def_file")) | (F.col("line") != F.col("def_line")))
+    return x.select("name", "def_file", F.col("src").alias("file"), "line", "confidence")
+
+
 def enclosing(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each site (file, line, ...) with the innermost symbol around it, null if none: an interval join within files.
+    """Each site (file, line, ...) with the innermost symbol around it and its line, null if none.
 
-    Ties go to the later start, then the earlier end, then the greater pos.
+    Ties go to the later start, then the earlier end, then the greater pos. Sites and symbols of a file meet in one
+    shuffle and are swept in order of lines, as arrays and many files at a time; nothing is joined.
     """
-    s = definitions(symbols).select(F.col("file").alias("s_file"), F.col("line").alias("s_line"), F.col("end_line").alias("s_end"), F.col("pos").alias("s_pos"), F.col("name").alias("enclosing"))
-    near = (F.col("file") == F.col("s_file")) & (F.col("s_line") <= F.col("line")) & (F.col("s_end").isNull() | (F.col("line") <= F.col("s_end")))
-    rank = F.when(F.col("s_file").isNotNull(), F.struct("s_line", (-F.coalesce("s_end", F.lit(2147483647))).alias("e"), "s_pos"))
-    return sites.join(s, near, "left").groupBy(*sites.columns).agg(F.max_by("enclosing", rank).alias("enclosing"))
+    names = [c for c in sites.columns if c != "file"]
+    d = definitions(symbols).where("line is not null")
+    one = lambda c: F.lit(None).cast(c)
+    types = dict(sites.dtypes)
+    rows = d.select("file", F.col("line").cast("int").alias("_at"), F.col("end_line").cast("int").alias("_end"), F.col("pos").cast("int").alias("_pos"), F.col("name").alias("_name"), *[one(types[c]).alias(c) for c in names])
+    asked = sites.where("file is not null and line is not null").select("file", F.col("line").cast("int").alias("_at"), one("int").alias("_end"), F.lit(-1).alias("_pos"), one("string").alias("_name"), *names)
+    lone = sites.where("file is null or line is null").select(*sites.columns, one("string").alias("enclosing"), one("int").alias("enclosing_line"))
+    spec = ", ".join([f"`{c}` {types[c]}" for c in sites.columns] + ["enclosing string", "enclosing_line int"])
+    swept = rows.unionByName(asked).repartition("file").sortWithinPartitions("file").mapInArrow(sweep.innermost(sites.columns), spec)
+    return swept.unionByName(lone)
+
+
+def symbol_complexity(symbols: DataFrame, texts: DataFrame, limit: int | None = K.TOP_COMPLEXITY) -> DataFrame:
+    """(file, name, line, complexity) of the symbols with most branches in their lines. ``texts``: file, content."""
+    s = symbols.where(~F.coalesce("kind", F.lit("")).isin("reexport", "reexport-all")).join(texts, "file")
+    out = s.select("file", "name", "line", text.complexity(text.body(F.col("content"), F.col("line"), F.col("end_line"))).alias("complexity"))
+    return out if limit is None else out.orderBy(F.desc("complexity"), "file", "line").limit(limit)
 
 
 def tests_map(edges: DataFrame) -> DataFrame:
-    """(rel, tests): the test files that reach each file that is no test."""
+    """(rel, test): the test files that reach each file that is no test, one row each: a hot target needs no list."""
     e = edges.where(F.col("kind").isin("import", "use", "call") & ~F.coalesce("dangling", F.lit(False)))
-    e = e.where(paths.is_test(F.col("src")) & ~paths.is_test(F.col("dst"))).select("src", "dst").distinct()
-    return e.groupBy(F.col("dst").alias("rel")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("tests"))
+    e = e.where(paths.is_test(F.col("src")) & ~paths.is_test(F.col("dst")))
+    return e.select(F.col("dst").alias("rel"), F.col("src").alias("test")).distinct()
 
 
 def untested(nodes: DataFrame, covered: DataFrame) -> DataFrame:
@@ -138,11 +209,11 @@ def untested(nodes: DataFrame, covered: DataFrame) -> DataFrame:
 def dead_code(symbols: DataFrame, called: DataFrame, refs: DataFrame) -> DataFrame:
     """Exported definitions outside tests and entry points that nothing calls; tier 1 if nothing refers to them, else 2.
 
-    ``called``: names that have a caller; ``refs``: (name, file).
+    ``called``: (name, file) of the definitions that have a caller; ``refs``: (name, file).
     """
     d = definitions(symbols).where(F.col("exported") & ~paths.is_test(F.col("file")) & ~paths.is_entry_path(F.col("file"))).select("name", "file", "line", "kind").distinct()
     r = refs.select("name").distinct().withColumn("referred", F.lit(True))
-    return d.join(called.select("name").distinct(), "name", "left_anti").join(r, "name", "left").select("name", "file", "line", "kind", F.when(F.col("referred"), 2).otherwise(1).alias("tier"))
+    return d.join(called.select("name", "file").distinct(), ["name", "file"], "left_anti").join(r, "name", "left").select("name", "file", "line", "kind", F.when(F.col("referred"), 2).otherwise(1).alias("tier"))
 
 
 def orphans(nodes: DataFrame) -> DataFrame:
@@ -183,13 +254,6 @@ def nearest_scope(files: DataFrame, scopes: DataFrame) -> DataFrame:
     return up.join(scopes.select("scope").distinct(), "scope").groupBy("rel").agg(F.max_by("scope", F.length("scope")).alias("scope"))
 
 
-def resolved(refs: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
-    """Each ref (file, pos, spec) with the first of its candidate paths that is a file, null if none is."""
-    c = refs.select("file", "pos", "spec", F.posexplode(candidates).alias("prio", "rel"))
-    hit = c.join(files.select("rel").distinct(), "rel").groupBy("file", "pos", "spec").agg(F.min_by("rel", "prio").alias("target"))
-    return refs.join(hit, ["file", "pos", "spec"], "left").select("file", "pos", "spec", "target")
-
-
 def module_groups(nodes: DataFrame) -> DataFrame:
     """Modules by folder: members, slug (with a hash where two folders share one) and tier."""
     rel = F.col("rel")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import paths as P
 from ..operators import embed, extract, relations, resolve, search, workspaces
-from ..operators.incremental import PartitionStore
+from ..operators.incremental import PartitionStore, folder_of
 from ..session import shared_dir, table, written
 from ..sinks import artifacts
 from ..sources import git
@@ -104,18 +104,18 @@ def j17_import_pairs(spark, d):
 
 
 @query("g16_tree_callers", _values([
-    ("log", "packages/log/src/index.ts", "packages/ship/src/main.ts"), ("log", "packages/log/src/index.ts", "web/src/crane.ts"), ("weigh", "web/src/crane.ts", "web/src/crane.test.ts"), ("emptyCargo", "web/src/cargo.ts", "web/src/crane.test.ts"), ("measure_crate", "py/yard/crates.py", "py/yard/stack.py"), ("tie", "rs/src/rope.rs", "rs/src/lib.rs"),
-    ("Moon", "jv/src/main/java/org/quay/tide/Moon.java", "jv/src/main/java/org/quay/Berth.java"), ("drop", "c/anchor.c", "c/include/anchor.h"),
+    ("log", "packages/log/src/index.ts", "packages/ship/src/main.ts"), ("log", "packages/log/src/index.ts", "web/src/crane.ts"), ("weigh", "web/src/crane.ts", "web/src/crane.test.ts"), ("weigh", "web/src/crane.ts", "web/src/crane.ts"), ("emptyCargo", "web/src/cargo.ts", "web/src/crane.test.ts"), ("measure_crate", "py/yard/crates.py", "py/yard/stack.py"), ("tie", "rs/src/rope.rs", "rs/src/lib.rs"),
+    ("Moon", "jv/src/main/java/org/quay/tide/Moon.java", "jv/src/main/java/org/quay/Berth.java"), ("pull", "jv/src/main/java/org/quay/tide/Moon.java", "jv/src/main/java/org/quay/Berth.java"), ("Key", "dock/gate/gate.go", "dock/dock.go"),
+    ("Stack", "py/yard/stack.py", "py/yard/stack.py"),
 ], "name, def_file, file"))
 def g16_tree_callers(spark, d):
-    """Who calls what in the tree, bound through imports; read by rules, a C declaration looks like a call."""
+    """Who calls what in the tree: in the same file, through imports, or by nearness."""
     t = tree(spark)
     langs = t.select(F.col("rel").alias("src"), relations.family(F.col("lang")).alias("family"))
     calls = extract.child(t, "calls").groupBy(F.col("file").alias("src"), "name").agg(F.count(F.lit(1)).alias("n")).join(langs, "src")
     s = extract.child(t, "symbols").join(t.select(F.col("rel").alias("file"), "lang"), "file")
     r = resolved(spark).where("kind = 'import' and state = 'resolved'").select(F.col("file").alias("src"), F.col("target").alias("dst"))
-    bound = relations.nearest_target(relations.call_candidates(calls, s, r))
-    return bound.where(~F.col("name").isin("Key", "pull")).select("name", F.col("dst").alias("def_file"), F.col("src").alias("file"))
+    return relations.bindings(calls, s, r).select("name", F.col("dst").alias("def_file"), F.col("src").alias("file"))
 
 
 @query("g21_workspaces", _values([("@harbour/log", "packages/log", "npm", 0), ("@harbour/ship", "packages/ship", "npm", 1)], "name, dir, kind, place"))
@@ -246,6 +246,6 @@ def st1_stream_refresh(spark, d):
     source = table(spark, d, "files").select("rel", "hash", "seen_at").where("rel is not null")
     tidy = source.select(F.btrim("rel", F.lit(" \t")).alias("rel"), F.lower(F.nullif(F.btrim("hash", F.lit(" \t")), F.lit(""))).alias("hash"), "seen_at")
     tidy.write.parquet(f"{base}/in")
-    store = PartitionStore(spark, f"{base}/store", "rel", ["hash"], partitions=32)
+    store = PartitionStore(spark, f"{base}/store", "rel", ["hash", "seen_at"], folder=folder_of)
     refresh.follow(spark, f"{base}/in", tidy.schema, store, f"{base}/progress", "seen_at")
     return store.rows().select("rel", "hash")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 # paths
 
-_EXT_CASE = "case " + " ".join(f"when ext in ({_list(e.split())}) then '{lang}'" for lang, e in K.LANGUAGES.items()) + " else 'other' end"
+_EXT_CASE = "case ext " + " ".join(f"when '{e}' then '{lang}'" for e, lang in K.LANGUAGE_OF.items()) + " else 'other' end"
 _BASE = "lower(regexp_extract(rel, '[^/]*$'))"
 
 
@@ -204,8 +206,11 @@ def a1_languages(spark, d):
     return files(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
 
 
-_APART = "regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
-_SUBTOKENS = "list_distinct(list_filter([case when regexp_matches(trim({0}), '\\s') then '' else regexp_replace(lower({0}), '[^a-z0-9_]+', '', 'g') end] || list_transform(regexp_split_to_array(" + _APART + ", '[^A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) >= 2))"
+#: Letters that Unicode calls compatible with a plain one, such as raised digits: SQL strips marks, but keeps these.
+_COMPATIBLE = [(c, p) for c, p in zip(T.FROM, T.TO) if unicodedata.decomposition(c).startswith("<") and c > "\xa0"]
+_FOLDED = "case when length({0}) = strlen({0}) then {0} else strip_accents(translate({0}, '" + "".join(c for c, _ in _COMPATIBLE) + "', '" + "".join(p for _, p in _COMPATIBLE) + "')) end"
+_APART = "regexp_replace(regexp_replace(" + _FOLDED + ", '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+_SUBTOKENS = "list_distinct(list_filter([case when regexp_matches(trim({0}), '\\s') then '' else regexp_replace(lower(" + _FOLDED + "), '[^a-z0-9_]+', '', 'g') end] || list_transform(regexp_split_to_array(" + _APART + ", '[^A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) >= 2))"
 
 
 @query("ex23_subtokens", f"select name, array_to_string(list_sort({_SUBTOKENS.format('name')}), ' ') parts from (select distinct name from {SYMS} where name is not null)")
@@ -231,9 +236,16 @@ def ex25_slugs(spark, d):
     return h.select("heading", T.slug(F.col("heading")).alias("slug"), T.clip(F.col("heading"), 12).alias("clipped"))
 
 
-@query("ex30_complexity", r"select doc_id, (1 + len(regexp_extract_all(text, '\b(?:if|elif|elsif|else\s+if|for|foreach|while|until|unless|case|when|match|catch|rescue|except)\b|&&|\|\|')))::bigint complexity from documents where text is not null")
+def _complexity_sql(x: str) -> str:
+    """Branch words and signs by pattern; question marks that are ternaries by what stands at both sides of each."""
+    p = f"string_split({x}, '?')"
+    ternary = f"len(list_filter(range(1, len({p})), lambda i: ({p}[i] <> '' and right({p}[i], 1) <> ':' or {p}[i] = '' and i = 1) and ({p}[i + 1] <> '' and left({p}[i + 1], 1) not in ('.', ':') or {p}[i + 1] = '' and i + 1 = len({p}))))"
+    return f"(1 + len(regexp_extract_all({x}, '{T.BRANCHES}')) + {ternary})::bigint"
+
+
+@query("ex30_complexity", f"select doc_id, {_complexity_sql('text')} complexity from documents where text is not null")
 def ex30_complexity(spark, d):
-    return docs(spark, d).select("doc_id", T.complexity(F.col("text"), ternary=False).cast("bigint").alias("complexity"))
+    return docs(spark, d).select("doc_id", T.complexity(F.col("text")).cast("bigint").alias("complexity"))
 
 
 @query("ex31_body", r"select doc_id, array_to_string(string_split(text, E'\n')[3:5], E'\n') body from documents where text is not null")
@@ -288,18 +300,16 @@ def j24_use_edges(spark, d):
     return R.use_edges(idents(spark, d), R.unique_defs(symbols(spark, d)), covered)
 
 
-_TOKENS = "(select rel, unnest(regexp_split_to_array(heading, '[^A-Za-z0-9_]+')) tok from (select distinct rel, pos, heading from headings where heading is not null))"
+_TOKENS = f"(select file rel, unnest(regexp_split_to_array(signature, '[^A-Za-z0-9_]+')) tok from (select distinct * from symbols where file is not null and signature is not null) union all select file, ident from {IDS})"
 
 
-@query("j25_mention_edges", f"select rel src, def_file dst, sum(n)::bigint weight from (select t.rel, t.tok, u.def_file, least(count(*), 5) n from {_TOKENS} t join (select name, min(file) def_file from (select distinct name, file from {SYMS} where name is not null) group by name having count(*) = 1) u on lower(u.name) = lower(t.tok) where t.rel <> u.def_file group by all) group by rel, def_file")
+@query("j25_mention_edges", f"select rel src, def_file dst, sum(n)::bigint weight from (select t.rel, t.tok, u.def_file, least(count(*), 5) n from {_TOKENS} t join {_UNIQUE} u on u.name = t.tok where t.rel <> u.def_file group by all) group by rel, def_file")
 def j25_mention_edges(spark, d):
-    # headings are prose: names are compared without case here
-    h = table(spark, d, "headings").select("rel", "pos", "heading").where("heading is not null").distinct()
-    tokens = h.select("rel", F.explode(F.split("heading", "[^A-Za-z0-9_]+")).alias("token")).select("rel", "token", F.lower("token").alias("low"))
-    u = symbols(spark, d).where("name is not null").select("name", "file").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("def_file")).where("n = 1")
-    named = tokens.join(u.select(F.lower("name").alias("low"), "name"), "low").select("rel", "token", "name")
-    counted = named.groupBy("rel", "token", "name").agg(F.least(F.count(F.lit(1)), F.lit(K.WEIGHT_CAP)).alias("n"))
-    return counted.join(u.select("name", "def_file"), "name").where("rel <> def_file").groupBy(F.col("rel").alias("src"), F.col("def_file").alias("dst")).agg(F.sum("n").alias("weight"))
+    """Headings, the only words of documents in the tables, name no symbol; signatures and identifiers stand for words."""
+    lines = table(spark, d, "symbols").where("file is not null and signature is not null").distinct()
+    words = lines.select(F.col("file").alias("rel"), F.explode(F.split("signature", "[^A-Za-z0-9_]+")).alias("token"))
+    tokens = words.unionByName(idents(spark, d).select(F.col("file").alias("rel"), F.col("ident").alias("token")))
+    return R.mention_edges(tokens, R.unique_defs(symbols(spark, d)))
 
 
 _CALLS = f"(select i.file src, i.ident name, case when s.lang in ('typescript', 'javascript') then 'js' when s.lang in ('c', 'cpp') then 'c' else s.lang end family, 1 + length(i.ident) % 3 n from {IDS} i join {FILES} s on s.rel = i.file)"
@@ -319,14 +329,15 @@ def imports(spark, d):
     return edges(spark, d).where("kind = 'import' and not dangling").select("src", "dst").distinct()
 
 
-@query("j19_call_candidates", f"select src, name, dst, imported from {_CANDIDATES}")
+@query("j19_call_candidates", f"select src, name, count(*) candidates, bool_or(imported) imported from {_CANDIDATES} group by src, name")
 def j19_call_candidates(spark, d):
-    return R.call_candidates(calls(spark, d), symbols(spark, d), imports(spark, d)).select("src", "name", "dst", "imported")
+    """One row a call with the number of its candidates: pairs of all callers and definers of a name are never made."""
+    return R.call_candidates(calls(spark, d), symbols(spark, d), imports(spark, d))
 
 
 @query("j20_proximity_pick", f"select src, name, dst from {_TARGET}")
 def j20_proximity_pick(spark, d):
-    return R.nearest_target(R.call_candidates(calls(spark, d), symbols(spark, d), imports(spark, d))).select("src", "name", "dst")
+    return R.nearest_target(calls(spark, d), symbols(spark, d), imports(spark, d)).select("src", "name", "dst")
 
 
 @query("a4_call_edges", f"select src, dst, least(sum(n), 5)::bigint weight, case when max(imported::int) = 1 then 'extracted' else 'inferred' end confidence from {_TARGET} group by src, dst")
@@ -334,10 +345,28 @@ def a4_call_edges(spark, d):
     return R.call_edges(calls(spark, d), symbols(spark, d), imports(spark, d)).withColumn("weight", F.col("weight").cast("bigint"))
 
 
-@query("j21_caller_index", f"select name, dst def_file, count(*) callers, min(src) first_caller from {_TARGET} group by name, dst")
+_OWN = f"(select distinct name, file from {SYMS} where name is not null and coalesce(kind, '') not in ({_list(K.REFERENCE_KINDS)}))"
+_LOCAL = f"(select k.src, k.name, k.n, k.src dst, true imported from {_CALLS} k semi join {_OWN} o on k.name = o.name and k.src = o.file)"
+_BOUND = f"(select src, name, n, dst, imported from {_TARGET} union all select * from {_LOCAL})"
+
+
+def bound(spark, d, recall: bool = False):
+    return R.bindings(calls(spark, d), symbols(spark, d), imports(spark, d), recall)
+
+
+@query("j21_caller_index", f"select case when dst = min(dst) over (partition by name) then name else name || '@' || dst end key, name, dst def_file, callers, sites, first_caller from (select name, dst, count(*) callers, sum(n)::bigint sites, min(src) first_caller from {_BOUND} group by name, dst)")
 def j21_caller_index(spark, d):
-    t = R.nearest_target(R.call_candidates(calls(spark, d), symbols(spark, d), imports(spark, d)))
-    return t.groupBy("name", F.col("dst").alias("def_file")).agg(F.count(F.lit(1)).alias("callers"), F.min("src").alias("first_caller"))
+    return R.caller_index(bound(spark, d)).withColumn("sites", F.col("sites").cast("bigint"))
+
+
+@query("j21_caller_recall", f"""with d as (select distinct name, file dst, case when lang in ('typescript', 'javascript') then 'js' when lang in ('c', 'cpp') then 'c' else lang end family from {SYMS} where exported and name is not null and coalesce(kind, '') not in ({_list(K.REFERENCE_KINDS)})),
+    one as (select name, min(dst) dst from d where family = 'js' group by name having count(*) = 1)
+    select src, name, dst, case when imported then 'corroborated' else 'unique-name' end confidence from {_BOUND}
+    union all select k.src, k.name, one.dst, 'unique-name' from {_CALLS} k join one on one.name = k.name where k.family = 'js' and k.src <> one.dst
+      and not exists (select 1 from {_OWN} o where o.name = k.name and o.file = k.src) and not exists (select 1 from {EDGES} e where e.kind = 'import' and not e.dangling and e.src = k.src and e.dst = one.dst)""")
+def j21_caller_recall(spark, d):
+    """What each call binds to when scripts may also bind a name that one file alone defines."""
+    return bound(spark, d, recall=True).select("src", "name", "dst", "confidence")
 
 
 _SITES = f"(select file, ident name, 1 + (length(ident) * 13) % 200 line from {IDS})"
@@ -347,12 +376,15 @@ _SITES = f"(select file, ident name, 1 + (length(ident) * 13) % 200 line from {I
     from {_SITES} s left join {SYMS} d on s.file = d.file and d.name is not null and coalesce(d.kind, '') not in ({_list(K.REFERENCE_KINDS)}) and d.line <= s.line and (d.end_line is null or s.line <= d.end_line) group by s.file, s.name, s.line""")
 def j23_enclosing(spark, d):
     sites = idents(spark, d).select("file", F.col("ident").alias("name"), (F.lit(1) + (F.length("ident") * 13) % 200).alias("line"))
-    return R.enclosing(sites, symbols(spark, d))
+    return R.enclosing(sites, symbols(spark, d)).drop("enclosing_line")
 
 
-@query("j22_raw_callers", f"select ident name, count(*) sites, min(file) first_file from {IDS} group by ident")
+@query("j22_raw_callers", f"""select s.name, s.file, s.line::int line, arg_max(d.name, d.line::hugeint * 1000000000000000000 + (2147483647 - coalesce(d.end_line, 2147483647))::hugeint * 100000000 + d.pos) enclosing, coalesce(max(d.line), -1)::int enclosing_line
+    from {_SITES} s left join {SYMS} d on s.file = d.file and d.name is not null and coalesce(d.kind, '') not in ({_list(K.REFERENCE_KINDS)}) and d.line <= s.line and (d.end_line is null or s.line <= d.end_line) group by s.file, s.name, s.line""")
 def j22_raw_callers(spark, d):
-    return idents(spark, d).groupBy(F.col("ident").alias("name")).agg(F.count(F.lit(1)).alias("sites"), F.min("file").alias("first_file"))
+    """Every site of every name as it is written, bound to nothing, with the innermost symbol around it."""
+    sites = idents(spark, d).select("file", F.col("ident").alias("name"), (F.lit(1) + (F.length("ident") * 13) % 200).alias("line"))
+    return R.enclosing(sites, symbols(spark, d)).select("name", "file", "line", "enclosing", F.coalesce("enclosing_line", F.lit(-1)).alias("enclosing_line"))
 
 
 @query("a3_edge_dedupe", f"select src, dst, kind, sum(weight)::bigint weight, bool_or(dangling) dangling, min(reason) reason, min(confidence) confidence from {EDGES} group by src, dst, kind")
@@ -392,7 +424,7 @@ def g6_undirected(spark, d):
     return R.undirected(module_edges(spark, d), "src_module", "dst_module", "weight")
 
 
-@query("j27_tests_map", f"select dst rel, array_to_string(list_sort(list(distinct src)), ',') tests from {EDGES} where kind in ('import', 'use', 'call') and not dangling and {_IS_TEST.format('src')} and not {_IS_TEST.format('dst')} group by dst")
+@query("j27_tests_map", f"select distinct dst rel, src test from {EDGES} where kind in ('import', 'use', 'call') and not dangling and {_IS_TEST.format('src')} and not {_IS_TEST.format('dst')}")
 def j27_tests_map(spark, d):
     return R.tests_map(edges(spark, d))
 
@@ -405,16 +437,18 @@ def j28_untested(spark, d):
 
 
 @query("j29_dead_code", f"""select distinct d.name, d.file, d.line, d.kind, case when r.name is null then 1 else 2 end::int tier from {SYMS} d left join (select distinct i.ident name from {IDS} i join {_UNIQUE} u on i.ident = u.name where i.file <> u.def_file) r on d.name = r.name
-    where d.exported and d.name is not null and coalesce(d.kind, '') not in ({_list(K.REFERENCE_KINDS)}) and not {_IS_TEST.format('d.file')} and not regexp_matches(d.file, '{K.ENTRY_PATH}') and d.name not in (select name from {_TARGET})""")
+    where d.exported and d.name is not null and coalesce(d.kind, '') not in ({_list(K.REFERENCE_KINDS)}) and not {_IS_TEST.format('d.file')} and not regexp_matches(d.file, '{K.ENTRY_PATH}') and not exists (select 1 from {_BOUND} b where b.name = d.name and b.dst = d.file)""")
 def j29_dead_code(spark, d):
     s = written(symbols(spark, d), "symbols")
-    called = R.nearest_target(R.call_candidates(calls(spark, d), s, imports(spark, d)))
+    called = R.bindings(calls(spark, d), s, imports(spark, d)).select("name", F.col("dst").alias("file"))
     return R.dead_code(s, called, R.symbol_refs(idents(spark, d), R.unique_defs(s)))
 
 
-@query("j32_orphans", f"select rel from {NODES} where file_kind = 'code' and coalesce(deg_in, 0) = 0 and coalesce(deg_out, 0) = 0 and lower(string_split(regexp_extract(rel, '[^/]*$'), '.')[1]) not in ({_list(K.ENTRY_STEMS)})")
+@query("j32_orphans", f"select rel from {NODES} where file_kind = 'code' and rel not in (select src from {_ONE} where kind = 'import' union select dst from {_ONE} where kind = 'import' and not dangling) and lower(string_split(regexp_extract(rel, '[^/]*$'), '.')[1]) not in ({_list(K.ENTRY_STEMS)})")
 def j32_orphans(spark, d):
-    return R.orphans(nodes(spark, d))
+    """Over imports alone, of all kinds of links no file of the tables is without one."""
+    n = nodes(spark, d).select("rel", "file_kind")
+    return R.orphans(n.join(R.degrees(R.dedupe_edges(edges(spark, d).where("kind = 'import'")), n), "rel"))
 
 
 RULES = [
@@ -428,10 +462,10 @@ def j31_forbidden(spark, d):
     return R.forbidden(edges(spark, d), RULES).distinct()
 
 
-@query("a21_rule_counts", f"select 'error' severity, count(*) violations from (select distinct src, dst, kind from {EDGES} where not dangling and starts_with(src, 'packages/') and starts_with(dst, 'tools/'))")
+@query("a21_rule_counts", f"""select severity, count(*) violations from (select 'error' severity, src, dst, kind from {EDGES} where not dangling and starts_with(src, 'packages/') and starts_with(dst, 'tools/') group by all
+    union all select 'warn', src, dst, kind from {EDGES} where not dangling and kind = 'import' and regexp_matches(src, '^(.*/)?src/') and regexp_matches(dst, '^(.*/)?[^/]*\\.test\\.[^/]*$') group by all) group by severity""")
 def a21_rule_counts(spark, d):
-    v = R.forbidden(edges(spark, d), RULES).distinct()
-    return v.agg(F.count_if(F.col("severity") == "error").alias("violations")).select(F.lit("error").alias("severity"), "violations")
+    return R.forbidden(edges(spark, d), RULES).distinct().groupBy("severity").agg(F.count(F.lit(1)).alias("violations"))
 
 
 @query("j30_surprises", f"""with c as (select distinct module, ascii(module) % 7 community, case when contains(module, 'core') then 0 else 1 end tier from {NODES} where module is not null),
@@ -499,30 +533,64 @@ def g2_pagerank(spark, d):
     return G.pagerank(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), e, iterations=_PR_ROUNDS, stop=0.0).select("id", F.round("rank", 4).alias("pagerank"))
 
 
-@query("g4_module_pagerank")
+_MODULES = f"(select distinct module id from {NODES} where module is not null)"
+
+
+@query("g4_module_pagerank", f"""with recursive nat as materialized (select id, count(*) over () total from {_MODULES}), ed as materialized (select src_module src, dst_module dst, weight::double w from {_LIFT}),
+    share as materialized (select src, dst, w / sum(w) over (partition by src) s from ed), loose as materialized (select id from nat where id not in (select src from ed)),
+    pr as (select id, 1.0::double / total r, total, 0 turn from nat union all
+      select nat.id, (0.15 + 0.85 * coalesce((select sum(r) from pr where id in (select id from loose)), 0)) / nat.total + 0.85 * coalesce(g.x, 0), nat.total, (select max(turn) from pr) + 1
+      from nat left join (select dst, sum(pr.r * share.s) x from pr join share on pr.id = share.src group by dst) g on g.dst = nat.id where (select max(turn) from pr) < {K.ITERATIONS})
+    select id, round(r * total, 4) pagerank from pr where turn = {K.ITERATIONS}""")
 def g4_module_pagerank(spark, d):
     n, e = _module_graph(spark, d)
-    return G.pagerank(n, e, stop=1e-6, iterations=20).select("id", F.round("rank", 4).alias("pagerank"))
+    return G.pagerank(n, e).select("id", F.round("rank", 4).alias("pagerank"))
 
 
 @query("g3_betweenness")
 def g3_betweenness(spark, d):
-    """Of every module; the guard of the operator is off, above which all would be 0."""
+    """Of every module; the guard of the operator is off, above which none is computed."""
     n, e = _module_graph(spark, d)
     return G.betweenness(n, e, most=None)
 
 
+_AREAS = "(select distinct split_part(src, '/', 1) || '/' || left(split_part(src, '/', 2), 1) a, split_part(dst, '/', 1) || '/' || left(split_part(dst, '/', 2), 1) b from (select distinct src, dst from edges where src is not null and dst is not null and not coalesce(dangling, false)))"
+
+
+@query("g3_area_betweenness", f"""with recursive e as (select a, b from {_AREAS} where a <> b union select b, a from {_AREAS} where a <> b), n as (select a id from {_AREAS} union select b from {_AREAS}),
+    reach as (select id s, id t, 0 d from n union select reach.s, e.b, d + 1 from reach join e on reach.t = e.a where d < 4), dist as (select s, t, min(d) d from reach group by s, t),
+    step as (select s.s, s.t v, e.b w from dist s join e on s.t = e.a join dist t on t.s = s.s and t.t = e.b and t.d = s.d + 1), path as (select id s, id t from n union all select path.s, step.w from path join step on path.s = step.s and path.t = step.v),
+    sigma as (select s, t, count(*) c from path group by s, t), total as (select count(*) k from n),
+    score as (select x.t id, sum(a.c * b.c / z.c::double) x from dist x join sigma a on a.s = x.s and a.t = x.t join dist y on y.s = x.t join sigma b on b.s = y.s and b.t = y.t join dist w on w.s = x.s and w.t = y.t and w.d = x.d + y.d join sigma z on z.s = w.s and z.t = w.t where x.d > 0 and y.d > 0 group by x.t)
+    select n.id, round(coalesce(x, 0) / 2 / ((k - 1) * (k - 2) / 2.0), 6) betweenness from n left join score using (id), total""")
+def g3_area_betweenness(spark, d):
+    """Of the areas (first folder and first letter of the second), few enough for SQL to count all shortest paths."""
+    area = lambda c: F.concat_ws("/", F.split_part(c, F.lit("/"), F.lit(1)), F.substring(F.split_part(c, F.lit("/"), F.lit(2)), 1, 1))
+    e = edges(spark, d).where("not dangling").select(area(F.col("src")).alias("src"), area(F.col("dst")).alias("dst")).distinct()
+    return G.betweenness(e.select(F.col("src").alias("id")).union(e.select("dst")), e).select("id", "betweenness")
+
+
 @query("g5_communities")
 def g5_communities(spark, d):
     n, e = _module_graph(spark, d)
     return G.communities(n, e)
 
 
+def _import_modules(spark, d):
+    return module_edges(spark, d).where("kind = 'import'").select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
+
+
 @query("g12_import_cycles")
 def g12_import_cycles(spark, d):
-    e = edges(spark, d).where("kind = 'import' and not dangling").select("src", "dst")
-    found = G.cycles(e)
-    return spark.createDataFrame([(i, len(c), " > ".join(c)) for i, c in enumerate(found)], "cycle_no int, length int, path string")
+    """A shortest cycle through the least module of each set of modules that import each other."""
+    return G.cycle_rows(_import_modules(spark, d)).select("least", "length", F.array_join("path", " > ").alias("path"))
+
+
+@query("g12_cycle_members", f"""with recursive e as materialized (select distinct src_module a, dst_module b from {_LIFT} where kind = 'import'), reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a)
+    select x.a module, min(y.a) least from reach x join reach y on x.a = y.b and x.b = y.a where exists (select 1 from reach z where z.a = x.a and z.b = x.a) group by x.a""")
+def g12_cycle_members(spark, d):
+    """Each module that lies on a cycle of imports with the least module that it reaches and that reaches it."""
+    return G.strong_sets(_import_modules(spark, d)).select(F.col("id").alias("module"), "least")
 
 
 @query("g15_topological_order", "select row_number() over (order by lvl, pkg) - 1 position, pkg from (values ('app', 3), ('base', 0), ('core', 1), ('data', 1), ('ui', 2), ('util', 0)) v(pkg, lvl)")
@@ -587,16 +655,16 @@ def a15_int8(spark, d):
     return vectors(spark, d).select("vec_id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"))
 
 
-@query("q8_knn", f"with v as {_Q8}, q as (select q z from v where vec_id = (select min(vec_id) from v)) select vec_id, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::bigint * z[i]))::bigint dot from v, q order by dot desc, vec_id limit 20")
+@query("q8_knn", f"with v as materialized {_Q8}, s as (select q.vec_id query_id, v.vec_id, list_dot_product(v.q::double[], q.q::double[])::bigint dot from v, (select * from v where vec_id % 100 = 0) q) select query_id, vec_id, dot from (select *, row_number() over (partition by query_id order by dot desc, vec_id) r from s) where r <= 20")
 def q8_knn(spark, d):
-    """The nearest 20 of every vector of the query set, where the SQL above takes the first query alone."""
+    """The nearest 20 of every vector of the query set."""
     v = written(vectors(spark, d), "vectors")
     return S.nearest_of_set(v, v.where(QUERY_SET), "vec_id", "q")
 
 
-@query("a17_best_per_group", f"with v as {_Q8}, q as (select q z from v where vec_id = (select min(vec_id) from v)), s as (select vec_id, label, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i]::bigint * z[i]))::bigint dot from v, q) select label, vec_id, dot from (select *, row_number() over (partition by label order by dot desc, vec_id) r from s) where r = 1")
+@query("a17_best_per_group", f"with v as materialized {_Q8}, s as (select q.vec_id query_id, v.label, v.vec_id, list_dot_product(v.q::double[], q.q::double[])::bigint dot from v, (select * from v where vec_id % 100 = 0) q) select query_id, label, vec_id, dot from (select *, row_number() over (partition by query_id, label order by dot desc, vec_id) r from s) where r = 1")
 def a17_best_per_group(spark, d):
-    """The best of each label for every vector of the query set; the SQL above takes the first query alone."""
+    """The best of each label for every vector of the query set."""
     v = written(vectors(spark, d), "vectors")
     return S.best_of_set(v, v.where(QUERY_SET), "label", "vec_id", "q")
 
@@ -636,18 +704,18 @@ def q13_references(spark, d):
     return S.references(written(symbols(spark, d), "symbols"), idents(spark, d), "handle")
 
 
-@query("sk10_repo_map")
+@query("sk10_repo_map", f"""with r as (select file, pos, kind, name, row_number() over (partition by file order by exported desc nulls last, line nulls first, pos) r from {SYMS}),
+    l as (select file, string_agg('  ' || coalesce(kind, '') || ' ' || coalesce(name, ''), E'\\n' order by r) lines from r where r <= {K.MAP_SYMBOLS} group by file),
+    b as (select rel, row_number() over (order by pagerank desc nulls last, symbols desc nulls last, rel) rank, rel || E'\\n' || coalesce(lines || E'\\n', '') block from {NODES} n left join l on l.file = n.rel)
+    select rank::int rank, rel, block from (select *, sum(length(block)) over (order by rank) upto from b) where upto <= {K.MAP_TOKENS * K.CHARS_PER_TOKEN}""")
 def sk10_repo_map(spark, d):
     return S.repo_map(nodes(spark, d), symbols(spark, d))
 
 
-@query("sk2_symbol_index", f"select name, count(*) defs, array_to_string(list_sort(list(distinct file)), ',') files from {SYMS} where name is not null group by name having count(distinct file) <= 20")
+@query("sk2_symbol_index", f"select name, file, line, kind, pos, coalesce(end_line, -1) end_line, exported, lang, parent from {SYMS} where name is not null")
 def sk2_symbol_index(spark, d):
-    """Every definition of every name, one row each: a hot name needs no list of its own.
-
-    The SQL above still keeps names in 20 files at most, a bound the index does not have: the two differ in the rest.
-    """
-    return symbols(spark, d).where("name is not null").select("name", "file", "line", "kind", "pos", "end_line", "exported", "lang", "parent")
+    """Every definition of every name, one row each: a hot name needs no list of its own."""
+    return symbols(spark, d).where("name is not null").select("name", "file", "line", "kind", "pos", F.coalesce("end_line", F.lit(-1)).alias("end_line"), "exported", "lang", "parent")
 
 
 @query("sk11_mermaid", f"select src_module, dst_module, weight, kind from {_LIFT} order by weight desc, src_module, dst_module limit 80")
@@ -689,11 +757,15 @@ def g19_risk(spark, d):
     return H.risk(files(spark, d).select("rel").join(n, "rel"), c)
 
 
-@query("a20_complexity", f"select file, name, line, (coalesce(end_line, line) - line)::int span from {SYMS} where name is not null and coalesce(kind, '') not in ('reexport', 'reexport-all') order by span desc nulls last, file, line, name limit 50")
+@query("a20_complexity", f"""with l as (select doc_id, string_split(text, E'\\n') ls from documents where text is not null), b as (select doc_id, ls, unnest(range(0, len(ls), 10)) s from l), x as (select doc_id::varchar file, 'block' || s name, (s + 1)::int line, array_to_string(ls[s + 1:s + 10], E'\\n') body from b)
+    select file, name, line, {_complexity_sql('body')} complexity from x order by complexity desc, file, line limit {K.TOP_COMPLEXITY}""")
 def a20_complexity(spark, d):
-    """The longest symbols."""
-    s = symbols(spark, d).where("name is not null").where(~F.coalesce("kind", F.lit("")).isin("reexport", "reexport-all"))
-    return s.select("file", "name", "line", (F.coalesce("end_line", "line") - F.col("line")).alias("span")).orderBy(F.col("span").desc_nulls_last(), "file", "line", "name").limit(K.TOP_COMPLEXITY)
+    """The symbols with most branches; blocks of ten lines of the documents stand for symbols with a content."""
+    t = docs(spark, d).select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    n = F.size(F.split("content", "\n"))
+    s = t.select("file", F.explode(F.sequence(F.lit(0), n - 1, F.lit(10))).alias("s"))
+    s = s.select("file", F.concat(F.lit("block"), "s").alias("name"), F.lit("block").alias("kind"), (F.col("s") + 1).alias("line"), (F.col("s") + 10).alias("end_line"))
+    return R.symbol_complexity(s, t).withColumn("complexity", F.col("complexity").cast("bigint"))
 
 
 @query("j34_pairs_in_events", "select a.event_type a, b.event_type b, count(*) together from (select distinct user_id, event_type from events) a join (select distinct user_id, event_type from events) b on a.user_id = b.user_id and a.event_type < b.event_type group by 1, 2 having count(*) >= 3")

@@ -21,15 +21,38 @@ MANIFESTS = r"(^|/)(package\.json|[tj]sconfig[\w.-]*\.json|pnpm-workspace\.yaml|
 
 
 class Repository:
-    """``scope`` and ``globs`` restrict the files by path before any content is read twice."""
+    """``scope`` and ``globs`` restrict the files by path before any content is read twice.
 
-    def __init__(self, spark: SparkSession, root: str, scope: str | None = None, globs: list[str] | None = None, **options: str):
+    ``out_dirs``: folders of the tree that hold what the engine itself writes; they are never indexed.
+    ``previous``: files and rows of an earlier index (``saved`` of it): what has not changed is taken from there.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, scope: str | None = None, globs: list[str] | None = None, out_dirs: list[str] | None = None, previous: dict[str, DataFrame] | None = None, caps: extract.Caps = extract.Caps(), **options: str):
         walk.register(spark)
         self.spark, self.root = spark, root
         listing = spark.read.format("repository").options(root=root, **options).load()
-        wanted = [*(globs or []), *([f"{scope.rstrip('/')}/**"] if scope else [])]
+        wanted = [*(globs or []), *([f"{scope.rstrip('/')}/**"] if scope else []), *(f"!{d.strip('/')}/**" for d in out_dirs or [])]
+        self.options = options
         self.texts = written(listing.where(P.glob_filter(F.col("rel"), wanted)) if wanted else listing, "texts")
-        self.rows = written(extract.extracted(self.texts), "extracted")
+        self.reused = 0
+        if previous:
+            now = self.texts.select("rel", F.sha1("content").alias("hash"))
+            same = written(now.join(previous["files"].select("rel", "hash"), ["rel", "hash"], "left_semi").select("rel"), "unchanged")
+            self.reused = same.count()
+            kept = previous["rows"].join(same, "rel", "left_semi")
+            fresh = extract.extracted(self.texts.join(same, "rel", "left_anti"), caps)
+            self.rows = written(fresh.unionByName(kept), "extracted")
+        else:
+            self.rows = written(extract.extracted(self.texts, caps), "extracted")
+
+    @property
+    def saved(self) -> dict[str, DataFrame]:
+        """What ``previous`` of the next index takes; ``artifacts.save_index`` keeps it."""
+        return {"files": self.files, "rows": self.rows}
+
+    def left_out(self) -> DataFrame:
+        """(what, files): how many files the walk kept, left out for each reason, and whether its list was cut."""
+        return walk.left_out(self.spark, self.root, **self.options)
 
     @cached_property
     def files(self) -> DataFrame:
@@ -76,9 +99,15 @@ class Repository:
 
     @cached_property
     def bound_calls(self) -> DataFrame:
+        return written(relations.nearest_target(self._counted_calls(), self.symbols, self.import_pairs), "bound")
+
+    def _counted_calls(self) -> DataFrame:
         langs = self.rows.select(F.col("rel").alias("src"), relations.family(F.col("lang")).alias("family"))
-        counted = self.calls.groupBy(F.col("file").alias("src"), "name").agg(F.count(F.lit(1)).alias("n")).join(langs, "src")
-        return written(relations.nearest_target(relations.call_candidates(counted, self.symbols, self.import_pairs)), "bound")
+        return self.calls.groupBy(F.col("file").alias("src"), "name").agg(F.count(F.lit(1)).alias("n")).join(langs, "src")
+
+    def bindings(self, recall: bool = False) -> DataFrame:
+        """src, name, n, dst, confidence: calls and what they bind to, definitions of the same file first."""
+        return relations.bindings(self._counted_calls(), self.symbols, self.import_pairs, recall)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -149,23 +178,28 @@ class Repository:
     def references(self, name: str) -> DataFrame:
         return search.references(self.symbols, self.idents, name)
 
-    def callers(self) -> DataFrame:
-        """name, def_file, file, line: the sites behind the bound calls."""
-        return self.bound_calls.select("name", F.col("dst").alias("def_file"), F.col("src").alias("file")).join(self.calls.select("file", "name", "line"), ["file", "name"])
+    def callers(self, recall: bool = False) -> DataFrame:
+        """name, def_file, file, line, confidence: every call site of every definition, in order."""
+        return relations.caller_sites(self.calls, self.bindings(recall), self.symbols).orderBy("name", "def_file", "file", "line")
+
+    def caller_index(self, recall: bool = False) -> DataFrame:
+        return relations.caller_index(self.bindings(recall)).orderBy("key")
 
     def raw_callers(self) -> DataFrame:
+        """name, file, line, receiver, enclosing, enclosing_line of every call site, bound to nothing."""
         return relations.enclosing(self.calls.select("file", "name", "line", "receiver"), self.symbols)
 
     def dead_code(self) -> DataFrame:
-        return relations.dead_code(self.symbols, self.bound_calls, relations.symbol_refs(self.idents, relations.unique_defs(self.symbols)))
+        """name, file, line, kind, tier in order of tier, file and line."""
+        called = self.bindings().select("name", F.col("dst").alias("file"))
+        found = relations.dead_code(self.symbols, called, relations.symbol_refs(self.idents, relations.unique_defs(self.symbols)))
+        return found.orderBy("tier", "file", "line")
 
     def tests_map(self) -> DataFrame:
         return relations.tests_map(self.edges)
 
     def complexity(self, limit: int = K.TOP_COMPLEXITY) -> DataFrame:
-        s = self.symbols.where(~F.col("kind").isin("reexport", "reexport-all")).join(self.texts.select(F.col("rel").alias("file"), "content"), "file")
-        c = T.complexity(T.body(F.col("content"), F.col("line"), F.col("end_line")))
-        return s.select("file", "name", "line", c.alias("complexity")).orderBy(F.desc("complexity"), "file", "line").limit(limit)
+        return relations.symbol_complexity(self.symbols, self.texts.select(F.col("rel").alias("file"), "content"), limit)
 
     def repo_map(self) -> DataFrame:
         return search.repo_map(self.file_nodes, self.symbols)

@@ -8,10 +8,11 @@ out every name that begins with a dot or an underscore.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import constants as K
@@ -27,6 +28,8 @@ class Walk:
     files: list[tuple[str, int, str, float]] = field(default_factory=list)
     excluded: int = 0
     capped: bool = False
+    #: How many files were left out for each reason: size, lockfile, binary, minified, ignored.
+    why: Counter = field(default_factory=Counter)
 
 
 def _extension(name: str) -> str:
@@ -34,8 +37,21 @@ def _extension(name: str) -> str:
     return f".{ext.lower()}" if dot and stem.strip(".") else ""
 
 
-def walk(root: str, max_bytes: int = K.MAX_FILE_BYTES, max_files: int | None = K.MAX_FILES, gitignore: bool = True, ignored: list[str] | None = None) -> Walk:
-    """Kept files as (rel, size, ext, mtime in ms) and how many were left out. The order is that of a stack; ``max_files`` of None lists all."""
+def _reject(name: str, ext: str, size: int, max_bytes: int | None) -> str | None:
+    if max_bytes is not None and size > max_bytes:
+        return "size"
+    if name in K.LOCKFILES:
+        return "lockfile"
+    if ext in K.BINARY_EXTENSIONS:
+        return "binary"
+    return "minified" if name.endswith((".min.js", ".min.css")) else None
+
+
+def walk(root: str, max_bytes: int | None = None, max_files: int | None = None, gitignore: bool = True, ignored: list[str] | None = None) -> Walk:
+    """Kept files as (rel, size, ext, mtime in ms) and how many were left out, and why. The order is that of a stack.
+
+    ``max_bytes`` and ``max_files`` bound a file and the list; by default nothing does.
+    """
     skip = set(K.IGNORED_DIRS if ignored is None else ignored)
     top = os.path.realpath(root)
     out = Walk()
@@ -65,8 +81,9 @@ def walk(root: str, max_bytes: int = K.MAX_FILE_BYTES, max_files: int | None = K
             except OSError:
                 continue
             ext, low = _extension(e.name), e.name.lower()
-            if stat.st_size > max_bytes or low in K.LOCKFILES or ext in K.BINARY_EXTENSIONS or low.endswith((".min.js", ".min.css")) or gitignore and is_ignored(rules, rel):
+            if why := _reject(low, ext, stat.st_size, max_bytes) or ("ignored" if gitignore and is_ignored(rules, rel) else None):
                 out.excluded += 1
+                out.why[why] += 1
                 continue
             if max_files is not None and len(out.files) >= max_files:
                 out.capped = True
@@ -75,6 +92,23 @@ def walk(root: str, max_bytes: int = K.MAX_FILE_BYTES, max_files: int | None = K
     return out
 
 
+def _limits(options: dict[str, str]) -> dict:
+    """Of the options maxfilebytes, maxfiles, gitignore and ignoreddirs (a comma between) what ``walk`` takes; caps only where they are asked for."""
+    return {
+        "max_bytes": int(options["maxfilebytes"]) if "maxfilebytes" in options else None,
+        "max_files": int(options["maxfiles"]) if "maxfiles" in options else None,
+        "gitignore": options.get("gitignore", "true").lower() == "true",
+        "ignored": options["ignoreddirs"].split(",") if "ignoreddirs" in options else None,
+    }
+
+
+def left_out(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """(what, files): files kept, files excluded for each reason, and ``capped`` with 1 where the list was cut."""
+    w = walk(root, **_limits(options))
+    rows = [("kept", len(w.files)), ("capped", int(w.capped)), *sorted(w.why.items())]
+    return spark.createDataFrame(rows, "what string, files bigint")
+
+
 class _Files(InputPartition):
     def __init__(self, root: str, files: list[tuple[str, int, str, float]]):
         self.root, self.files = root, files
@@ -83,14 +117,12 @@ class _Files(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["root"]
-        self.max_bytes = int(options.get("maxfilebytes", K.MAX_FILE_BYTES))
-        self.max_files = int(options["maxfiles"]) if "maxfiles" in options else None  # a cap only where it is asked for
-        self.gitignore = options.get("gitignore", "true").lower() == "true"
+        self.limits = _limits(options)
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         own, size = [], 0
-        for f in walk(self.root, self.max_bytes, self.max_files, self.gitignore).files:
+        for f in walk(self.root, **self.limits).files:
             own.append(f)
             size += f[1] + 4096
             if size >= PARTITION_BYTES:
@@ -102,9 +134,10 @@ class _Reader(DataSourceReader):
         for rel, size, ext, mtime in partition.files:
             try:
                 with open(os.path.join(partition.root, rel), "rb") as f:
-                    yield rel, size, ext, mtime, decoded(f.read())
+                    content = decoded(f.read())
             except OSError:
-                continue
+                content = None  # listed, but gone or unreadable by now
+            yield rel, size, ext, mtime, content
 
 
 class RepositorySource(DataSource):
