@@ -278,7 +278,7 @@ def imports(lang: str, content: str) -> list[str]:
 
 
 _CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::|->)\s*)?([A-Za-z_$][\w$]*)\s*\(")
-_NO_CALL = set("if for while switch catch return function func def fn class new typeof sizeof await elif else in not and or with assert match when until unless foreach lambda print".split())
+_NO_CALL = set("default if for while switch catch return function func def fn class new typeof sizeof await elif else in not and or with assert match when until unless foreach lambda print".split())
 _INTRODUCES = re.compile(r"\b(?:function|func|def|fn|class|fun|sub)\s*\*?\s*$")
 #: In C a name behind a type at the left margin, with nothing but a list in brackets before the semicolon, is declared.
 _DECLARES = re.compile(r"^(?!return\b|else\b|goto\b|case\b)[A-Za-z_][\w\s*&:<>,]*[\s*&]([A-Za-z_]\w*)\s*\([^{}]*\)\s*(?:const\s*)?;\s*$")

@@ -14,9 +14,10 @@ from ..functions import text
 from ..session import written
 
 
-def postings(docs: DataFrame, doc: str, content: Column) -> DataFrame:
-    """(doc, term, tf): the subtokens of each word of the content, counted."""
-    words = docs.select(F.col(doc).alias("doc"), F.explode(F.split(content, r"\s+")).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
+def postings(docs: DataFrame, doc: str, content: Column, fields: bool = False) -> DataFrame:
+    """(doc, term, tf): the subtokens of each word of the content, counted; of each of its ``fields`` where it is an array."""
+    parts = content if fields else F.split(content, r"\s+")
+    words = docs.select(F.col(doc).alias("doc"), F.explode(parts).alias("word")).where("word is not null").groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
     terms = words.select("doc", "n", F.explode(text.exploded_subtokens(F.col("word"))).alias("term")).where(F.length("term") >= 2)
     return terms.groupBy("doc", "term").agg(F.sum("n").alias("tf"))
 
@@ -46,20 +47,47 @@ def dice(terms: list[str], vocabulary: DataFrame, threshold: float = K.DICE, mos
     return s.withColumn("r", rank).where(F.col("r") <= most).select("query", "term", "dice")
 
 
-def bm25(docs: DataFrame, doc: str, content: Column, question: str, limit: int | None = K.SEARCH_LIMIT, fuzzy: bool = True) -> DataFrame:
+def bm25(docs: DataFrame, doc: str, content: Column, question: str, limit: int | None = K.SEARCH_LIMIT, fuzzy: bool = True, fields: bool = False, symbols: DataFrame | None = None) -> DataFrame:
     """(doc, score, matched, fuzzy) by BM25; terms that no document holds are replaced by similar ones.
 
-    Postings are written once; the frequency of the question's few terms decides on the driver whether the fuzzy
-    join is planned at all.
+    ``content`` is a text, or an array of texts if ``fields``. ``symbols`` (doc, name): adds ``top_symbols``, the few
+    names of each result that carry most of the terms.
     """
+    return ask(index(docs, doc, content, fields), question, limit, fuzzy, symbols)
+
+
+class Index:
+    """Postings and lengths of documents, written once and asked any number of times."""
+
+    def __init__(self, post: DataFrame, sizes: DataFrame):
+        self.post, self.sizes = post, sizes
+        self.total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
+
+
+def index(docs: DataFrame, doc: str, content: Column, fields: bool = False) -> Index:
+    """Postings in order of terms, so that a question reads the parts of the files that hold its terms."""
+    post = written(postings(docs, doc, content, fields).sortWithinPartitions("term"), "postings")
+    sizes = docs.select(F.col(doc).alias("doc")).distinct().join(post.groupBy("doc").agg(F.sum("tf").alias("len")), "doc", "left")
+    return Index(post, written(sizes.select("doc", F.coalesce("len", F.lit(0)).alias("len")), "sizes"))
+
+
+def top_symbols(results: DataFrame, symbols: DataFrame, terms: list[str], most: int = K.TOP_SYMBOLS) -> DataFrame:
+    """(doc, top_symbols): names of the documents found that carry most of the terms, then by name."""
+    s = symbols.select("doc", "name").distinct().join(results.select("doc"), "doc", "left_semi")
+    hits = F.size(F.array_intersect(text.subtokens(F.col("name")), F.array(*map(F.lit, terms))))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("hits"), "name"))
+    s = s.withColumn("hits", hits).where("hits > 0").withColumn("r", rank).where(F.col("r") <= most)
+    return s.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("top_symbols"))
+
+
+def ask(built: Index, question: str, limit: int | None = K.SEARCH_LIMIT, fuzzy: bool = True, symbols: DataFrame | None = None) -> DataFrame:
+    """The frequency of the question's few terms decides on the driver whether the fuzzy join is planned at all."""
+    post, sizes, total = built.post, built.sizes, built.total
     terms = query_terms(question)
-    spark = docs.sparkSession
-    schema = "doc string, score double, matched string, fuzzy string"
+    spark = post.sparkSession
+    schema = f"doc {dict(sizes.dtypes)['doc']}, score double, matched string, fuzzy string" + ", top_symbols array<string>" * (symbols is not None)
     if not terms:
         return spark.createDataFrame([], schema)
-    post = written(postings(docs, doc, content), "postings")
-    sizes = docs.select(F.col(doc).alias("doc")).distinct().join(post.groupBy("doc").agg(F.sum("tf").alias("len")), "doc", "left").select("doc", F.coalesce("len", F.lit(0)).alias("len"))
-    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
     df = {r["term"]: r["df"] for r in post.where(F.col("term").isin(terms)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
     used = [(t, t, 1.0) for t in terms if t in df]
     missing = [t for t in terms if t not in df]
@@ -77,7 +105,12 @@ def bm25(docs: DataFrame, doc: str, content: Column, question: str, limit: int |
     near = F.when(F.col("query") != F.col("term"), F.col("query"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = hits.groupBy("doc").agg(F.round(F.sum(part), 4).alias("score"), joined(exact).alias("matched"), joined(near).alias("fuzzy"))
-    return out if limit is None else out.orderBy(F.desc("score"), "doc").limit(limit)
+    out = out if limit is None else out.orderBy(F.desc("score"), "doc").limit(limit)
+    if symbols is None:
+        return out
+    named = top_symbols(out, symbols, sorted({t for _, t, _ in used}))
+    none = F.expr("cast(array() as array<string>)")
+    return out.join(named, "doc", "left").withColumn("top_symbols", F.coalesce("top_symbols", none)).orderBy(F.desc("score"), "doc")
 
 
 def nearest(vectors: DataFrame, query: list[int], key: str, vec: str) -> DataFrame:
@@ -193,9 +226,10 @@ def repo_map(nodes: DataFrame, symbols: DataFrame, tokens: int = K.MAP_TOKENS, p
     The running length is taken over blocks in order of rank; the order is cut before the window to the files that
     can fit at all: a block has at least one letter and a line end.
     """
-    s = symbols.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("exported"), "line", "pos"))).where(F.col("r") <= per_file)
-    lines = s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("  "), F.coalesce("kind", F.lit("")), F.lit(" "), F.coalesce("name", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
     top = nodes.orderBy(F.col("pagerank").desc_nulls_last(), F.col("symbols").desc_nulls_last(), "rel").limit(tokens * K.CHARS_PER_TOKEN // 2)
+    near = symbols.join(top.select(F.col("rel").alias("file")), "file", "left_semi")
+    s = near.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("exported"), "line", "pos"))).where(F.col("r") <= per_file)
+    lines = s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("  "), F.coalesce("kind", F.lit("")), F.lit(" "), F.coalesce("name", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
     b = top.join(lines, top["rel"] == lines["file"], "left").select("rel", "pagerank", "symbols", F.concat("rel", F.lit("\n"), F.coalesce(F.concat("lines", F.lit("\n")), F.lit(""))).alias("block"))
     order = Window.orderBy(F.col("pagerank").desc_nulls_last(), F.col("symbols").desc_nulls_last(), "rel")
     b = b.withColumn("rank", F.row_number().over(order)).withColumn("upto", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

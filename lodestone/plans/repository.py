@@ -161,10 +161,17 @@ class Repository:
     def status(self, stored: DataFrame) -> DataFrame:
         return snapshot.status(self.files, stored)
 
+    @cached_property
+    def search_index(self) -> search.Index:
+        """Fields of each file: the names of its symbols, the parts of its path, its headings and its summary."""
+        names = self.symbols.groupBy(F.col("file").alias("rel")).agg(F.collect_list("name").alias("names"))
+        none = F.expr("cast(array() as array<string>)")
+        docs = self.files.select("rel", "summary").join(names, "rel", "left").join(self.rows.select("rel", "headings"), "rel")
+        fields = F.concat(F.coalesce("names", none), F.split("rel", "/"), F.coalesce("headings", none), F.array("summary"))
+        return search.index(docs, "rel", fields, fields=True)
+
     def search(self, question: str, limit: int = K.SEARCH_LIMIT, fuzzy: bool = True) -> DataFrame:
-        names = self.symbols.groupBy(F.col("file").alias("rel")).agg(F.array_join(F.collect_list("name"), " ").alias("names"))
-        docs = self.files.join(names, "rel", "left").join(self.rows.select("rel", F.array_join("headings", " ").alias("h")), "rel")
-        return search.bm25(docs, "rel", F.concat_ws(" ", F.replace("rel", F.lit("/"), F.lit(" ")), "title", "summary", "h", "names"), question, limit, fuzzy)
+        return search.ask(self.search_index, question, limit, fuzzy, self.symbols.select(F.col("file").alias("doc"), "name"))
 
     def grep(self, pattern: str, limit: int = K.GREP_LIMIT) -> DataFrame:
         return search.grep(self.texts, "rel", "content", pattern, limit)
