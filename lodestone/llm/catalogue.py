@@ -28,9 +28,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TERMS = r"""
     with base as (
-        select distinct 'ident' f, nullif(trim(ident, E' \t'), '') t, nullif(trim(file, E' \t'), '') r, 0 p from idents
-        union all select distinct 'symbol', nullif(trim(name, E' \t'), ''), nullif(trim(file, E' \t'), ''), pos from symbols
-        union all select distinct 'heading', w, r, pos * 1024 + i from (select r, pos, unnest(ws) w, generate_subscripts(ws, 1) i from (select nullif(trim(rel, E' \t'), '') r, pos, regexp_extract_all(lower(heading), '[\p{L}\p{Nd}]+') ws from headings))),
+        select distinct 'ident' f, nullif(trim(ident, E' \t'), '') t, nullif(trim(file, E' \t'), '') r, 0 p, '' h, 0 i from idents
+        union all select distinct 'symbol', nullif(trim(name, E' \t'), ''), nullif(trim(file, E' \t'), ''), pos, '', 0 from symbols
+        union all select distinct 'heading', w, r, pos, h, i from (select r, pos, h, unnest(ws) w, generate_subscripts(ws, 1) i from (select nullif(trim(rel, E' \t'), '') r, pos, trim(heading, E' \t') h, regexp_extract_all(lower(heading), '[\p{L}\p{Nd}]+') ws from headings))),
     n as (select f, count(distinct r) n from base where t is not null and r is not null group by f),
     c as (select f, t, count(*) occ, count(distinct r) files from base where t is not null and r is not null group by f, t),
     m as (select f, t, occ, files, case when files = 1 then 'rare' when files > 0.05 * n then 'common' end mark from c join n using (f))

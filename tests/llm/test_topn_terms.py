@@ -77,3 +77,38 @@ def test_term_counts_against_brute_force(spark):
 def test_terms_of_nothing(spark):
     rows = T.index_rows(spark.createDataFrame([], "file string, ident string"), spark.createDataFrame([(None, 1, "a")], "file string, pos int, name string"), spark.createDataFrame([("r", 1, None)], "rel string, pos int, heading string"))
     assert T.marked(rows).count() == 0
+
+
+def test_long_headings_and_great_places(spark):
+    long = " ".join(["usage"] * 1030)
+    headings = [("r", 0, long), ("r", 1, " ".join(["usage"] * 10)), ("r", 1, "usage"), ("r", 2_097_152, "usage"), ("r", None, "usage"), ("r", 0, f" {long}\t")]
+    none = spark.createDataFrame([], "file string, ident string"), spark.createDataFrame([], "file string, pos int, name string")
+    got = T.marked(T.index_rows(*none, spark.createDataFrame(headings, "rel string, pos int, heading string"))).collect()
+    assert [(r["term"], r["occurrences"], r["records"]) for r in got] == [("usage", 1043, 1)]
+
+
+def test_blocks_go_on_over_batches(spark):
+    rng = random.Random(7)
+    idents = [(f"f{rng.randrange(20)}", rng.choice(["hot", "hot", "a", "b", "c"])) for _ in range(700)]
+    rows = T.index_rows(spark.createDataFrame(idents, "file string, ident string"), spark.createDataFrame([], "file string, pos int, name string"), spark.createDataFrame([], "rel string, pos int, heading string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r["term"]: (r["occurrences"], r["records"]) for r in T.marked(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = defaultdict(set)
+    for f, t in idents:
+        want[t].add(f)
+    assert got == {t: (len(fs), len(fs)) for t, fs in want.items()}
+
+
+def test_blocks_below_the_nth_score_are_skipped(spark):
+    rows = [("hot", f"i{i:05}", float(i)) for i in range(4000)] + [(f"g{i % 30}", f"j{i}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, item string, score double")
+    c = topn.Clustered(df, "g", "score", block_rows=200)
+    got = {(r["g"], r["rank_no"]): r["item"] for r in c.top(3, [F.col("item").asc()]).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "hot"} == {("hot", 1): "i03999", ("hot", 2): "i03998", ("hot", 3): "i03997"} and len(got) == 63
+    first, every = c.read
+    assert c.blocks == 21 and len(every) <= 5 and set(first) <= set(every)
+    assert c.top(1000, [F.col("item").asc()]).where("g = 'hot'").count() == 1000 and 5 < len(c.read[1]) < c.blocks
+    assert topn.block_rows_for(10**6) == 4000 and topn.block_rows_for(10) == topn.LEAST_ROWS
