@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..session import clean, latest, table
+from ..session import clean, latest, table, written
 from . import handwritten, leaks, packing, splitting, terms, topn
 
 REGISTRY = Registry()
@@ -69,6 +69,13 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("p7_placed", "select doc_id, true whole, true fits, true apart from documents where text is not null and text <> ''")
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text whether it is placed as it has to be, from the containers as they were made."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.placed(docs, written(packing.containers(docs), "containers"))
+
+
 @REGISTRY.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -82,3 +89,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p9_pieces")
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("p9_cover", "select doc_id, strlen(text)::bigint bytes, true covered, true within from documents where text is not null and text <> ''")
+def p9_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text, cut or not, whether its pieces make it up within the limit and with the overlap."""
+    return splitting.cover(table(spark, sf_dir, "documents"))

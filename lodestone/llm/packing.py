@@ -125,3 +125,24 @@ def containers(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = ["item", "piece_no", "size", "container", "fill"]
     out = first.where(good).select(names).unionByName(again.select(names)).unionByName(cut)
     return out.select(F.col("item").alias(doc_id), "piece_no", (F.col("piece_no") * capacity).alias("start_token"), F.col("size").alias("n_tokens"), "container", "fill")
+
+
+def placed(documents: DataFrame, packed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, whole, fits, apart) of every text in a container, from the containers that were made.
+
+    ``whole``: its pieces follow one another, and one below the capacity is a single piece; ``fits``: none of its
+    containers holds more than the capacity or other than it says; ``apart``: none holds a second text of its source
+    or one equal to it up to white space and case.
+    """
+    same = F.xxhash64(F.trim(F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+", " ")))
+    told = documents.where(F.length(text) > 0).select(F.col(doc_id).alias("_d"), F.xxhash64(source).alias("_s"), F.col(source).isNotNull().alias("_named"), same.alias("_c"))
+    x = packed.join(told, packed[doc_id] == told["_d"])
+    held = x.groupBy("container").agg(F.sum("n_tokens").alias("held"), F.max("fill").alias("fill"))
+    twice = [x.where("_named").groupBy("container", F.col("_s").alias("_k")), x.groupBy("container", F.col("_c").alias("_k"))]
+    # the pieces of one text have one source and one cluster, but containers of their own
+    met = [g.agg(F.count_distinct(doc_id).alias("n")).where("n > 1").select("container") for g in twice]
+    clash = met[0].unionByName(met[1]).distinct().withColumn("clash", F.lit(True))
+    y = x.join(held.select("container", F.col("held"), F.col("fill").alias("_fill")), "container").join(clash, "container", "left")
+    follows = F.count(F.lit(1)) == F.max("piece_no") + 1
+    sized = (F.sum("n_tokens") > F.max("piece_no") * capacity) & (F.sum("n_tokens") <= (F.max("piece_no") + 1) * capacity)
+    return y.groupBy(doc_id).agg((follows & sized).alias("whole"), F.min((F.col("held") <= capacity) & (F.col("held") == F.col("_fill"))).alias("fits"), F.min(F.col("clash").isNull()).alias("apart"))

@@ -1,8 +1,9 @@
-"""Spoken words of a subtitle text, as keys that survive recognition errors and encoding damage.
+"""Spoken words of a subtitle text, with keys that survive recognition errors and encoding damage.
 
 ``spoken`` gives the words of a text in speaking order, without cue numbers, times, markup, sound
 descriptions, speaker names, adverts and repeated rolling lines.  ``word_key`` maps a word to a key in
-which letters that recognition confuses fall together and letters that a wrong decoding destroys are left out.
+which letters that recognition confuses fall together and letters that a wrong decoding destroys are left out;
+``word_form`` keeps the letters apart, so that alike words can be told from equal ones.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import re
 from operator import gt, itemgetter
 
+import xxhash
+
 TIME = r"\d{1,2}:\d{2}(?::\d{2})?[.,]\d{1,3}"
 #: The two times of a cue and what follows them on their line. The group is the first time.
 CUE = re.compile(rf"({TIME})[ \t]*(?:-->|,)[ \t]*{TIME}(?:[ \t]+(?:align|line|position|size|region|vertical):\S+)*")
@@ -28,7 +31,7 @@ WESTERN = re.compile("[\xa8\xb8\xc0-\xff]")
 _MARKS = ".,!?…:;-\"'«»¡¿()[]|"
 
 
-def _again(m: re.Match) -> str:
+def _decoded(m: re.Match) -> str:
     return m.group().encode("latin-1").decode("utf-8", "replace")
 
 
@@ -45,7 +48,7 @@ def repaired(text: str) -> str:
             if plain == text or not TWICE.search(plain):
                 return text
             text = plain
-        text = TWICE.sub(_again, text)
+        text = TWICE.sub(_decoded, text)
     return text
 
 
@@ -60,15 +63,19 @@ _CYRILLIC = re.compile("[а-яё]")
 _LETTERS = re.compile("[a-z]")
 
 
+def _lower(word: str) -> str:
+    """The word in lower case; one whose letters are Cyrillic ones read as Western ones is read rightly."""
+    western = len(WESTERN.findall(word))
+    if western and (western > 2 or western == len(word.strip(_MARKS))) and western > len(_LETTERS.findall(word.lower())):
+        word = word.encode("latin-1", "ignore").decode("cp1251", "ignore")
+    return word.lower()
+
+
 def word_key(word: str) -> str:
     """The key of one word; empty if nothing of it is a letter that survives damage. Digits alone stay as they are."""
-    w = word
-    if len(alone := w.strip(_MARKS)) == 1 and not alone.isascii():
+    if len(alone := word.strip(_MARKS)) == 1 and not alone.isascii():
         return ""  # one letter that a wrong decoding turns into another or destroys
-    western = len(WESTERN.findall(w))
-    if western and (western > 2 or western == len(w.strip(_MARKS))) and western > len(_LETTERS.findall(w.lower())):
-        w = w.encode("latin-1", "ignore").decode("cp1251", "ignore")
-    w = w.lower()
+    w = _lower(word)
     if _CYRILLIC.search(w):
         return re.sub(r"[^0-9а-я]", "", w.translate(_CYR))
     w = w.strip(_MARKS)
@@ -77,38 +84,32 @@ def word_key(word: str) -> str:
     return re.sub(r"[^a-z]", "", re.sub(r"[^a-z0-9|!ß]", "", w).translate(_KEY)).replace("ss", "")
 
 
-#: What sound descriptions say in the six languages, for lines between notes, where speech may stand as well.
-SOUNDS = """
-glass shatters; wind howling; thunder rumbles; dog barking; laughter; footsteps approaching; door creaks; phone ringing; sighs; tense music
-ladra un perro; suspira; risas; puerta cruje; música tensa; truenos; pasos acercándose
-rires; un chien aboie; musique inquiétante; soupir; la porte grince; des pas approchent; le tonnerre gronde
-seufzt; hund bellt; gelächter; donner grollt; düstere musik; schritte nähern sich; tür knarrt
-wzdycha; zbliżają się kroki; szczeka pies; śmiech; skrzypią drzwi; grzmot
-лает собака; гремит гром; скрипит дверь; вздыхает; шаги приближаются; смех
-"""
+#: What no one writes: a digit among letters, a capital behind a small letter.
+_MISREAD = re.compile(r"[^\W\d_]\d|\d[^\W\d_]|[a-zà-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]")
+
+
+def word_form(word: str) -> str:
+    """The word without case, punctuation and letters that a wrong decoding destroys, otherwise as it stands; empty if it is misread for certain."""
+    if _MISREAD.search(word):
+        return ""
+    w = _lower(word)
+    return re.sub("[^0-9а-я]", "", w.replace("ё", "е")) if _CYRILLIC.search(w) else re.sub("[^0-9a-z]", "", w)
 
 
 class Keys(dict):
-    """Keys of words, each worked out once."""
+    """A 63-bit number for the key of each word, 0 for none, worked out once."""
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        key = self[word] = word_key(word)
-        return key
-
-
-def keys_of(words: list[str], memo: Keys) -> tuple[str, ...]:
-    return tuple(k for k in map(memo.__getitem__, words) if k)
+        key = word_key(word)
+        n = self[word] = xxhash.xxh3_64_intdigest(key) >> 1 if key else 0
+        return n
 
 
 _MEMO = Keys()
-_SOUND_KEYS = {keys_of(x.split(), _MEMO) for x in re.split("[;\n]", SOUNDS) if x.strip()}
-_SOUND_RUN = re.compile(r"(?:[♪♫]|(?<!\S)�(?=\s))([^♪♫�]{0,60})(?:[♪♫]|(?<=\s)�(?!\S)|$)", re.S)
-
-
-def _notes(m: re.Match) -> str:
-    return " " if keys_of(m.group(1).split(), _MEMO) in _SOUND_KEYS else " " + m.group(1) + m.group()[-1:]
+#: Text between notes, or between what a wrong decoding has made of them: a sound description or a song.
+_BETWEEN_NOTES = re.compile(r"(?:[♪♫]|(?<!\S)�(?=\s))([^♪♫�]{0,60})(?:[♪♫]|(?<=\s)�(?!\S)|$)", re.S)
 
 
 def plain(text: str) -> str:
@@ -116,11 +117,18 @@ def plain(text: str) -> str:
     text = repaired(text)
     if "<" in text or "{" in text or "&" in text:
         text = MARKUP.sub(" ", text)
-    text = SOUND.sub(" ", text)
-    if "♪" in text or "♫" in text or "�" in text:
-        text = _SOUND_RUN.sub(_notes, text)
-        text = text.replace("♪", " ").replace("♫", " ")
-    return text
+    return SOUND.sub(" ", text)
+
+
+def readings(text: str) -> list[str]:
+    """The text as it may be read: what stands between notes is sung, or describes a sound and is left out."""
+    text = plain(text)
+    if "♪" not in text and "♫" not in text and "�" not in text:
+        return [text]
+    bare = lambda t: t.replace("♪", " ").replace("♫", " ")
+    song = bare(_BETWEEN_NOTES.sub(lambda m: " " + m.group(1) + m.group()[-1:], text))
+    quiet = bare(_BETWEEN_NOTES.sub(" ", text))
+    return [song] if song.split() == quiet.split() else [song, quiet]
 
 
 def _unnumbered(body: str) -> str:
@@ -142,9 +150,12 @@ def _at(start: str) -> tuple[int, ...]:
     return tuple([0] * (4 - len(t)) + t)
 
 
-def _speech(bodies: list[str], keep: frozenset[str], memo: Keys) -> list[str]:
+def _speech(bodies: list[str], memo: Keys) -> tuple[list[str], list[int]]:
+    """The words that have a key, and their keys' numbers, cue by cue, without what a cue repeats of the one before."""
     out: list[str] = []
-    before: tuple[str, ...] = ()
+    numbers: list[int] = []
+    before: tuple[str, list[int]] = ("", [])
+    new: list[int] = []
     carry = ""
     whole = "\n".join(bodies)
     adverts = ADVERT.search(whole) is not None
@@ -152,25 +163,39 @@ def _speech(bodies: list[str], keep: frozenset[str], memo: Keys) -> list[str]:
     get = memo.__getitem__
     for body in bodies:
         if ":" in body:
-            body = SPEAKER.sub(lambda m: m.group() if memo[m.group().split()[-1].strip(":")] in keep else " ", body)
+            body = SPEAKER.sub(" ", body)
         words = body.split()
         if hyphens and words:
             words, carry = _joined(words, carry)
-        keys = tuple(filter(None, map(get, words)))
+        keys = list(map(get, words))
+        if 0 in keys:
+            words = [w for w, k in zip(words, keys) if k]
+            keys = [k for k in keys if k]
         if not keys:
             continue
-        n = len(before)
-        if n and keys[:n] == before:
-            keys = keys[n:]
-        elif n > 2 and keys[0] in before and (k := next((k for k in range(min(n, len(keys)), 2, -1) if before[-k:] == keys[:k]), 0)):
-            keys = keys[k:]
-        if not keys:
+        n, cut = len(new), 0
+        if n and keys[:n] == new:
+            cut = n
+        elif keys[0] in before[1]:
+            cut = _again(before, (body, keys), memo)
+        before = (body, keys)
+        if cut == len(keys):
             continue
-        before = keys
+        new = keys[cut:]
         if adverts and ADVERT.search(body):
             continue
-        out.extend(keys)
-    return out
+        out += words[cut:]
+        numbers += new
+    return out, numbers
+
+
+def _again(before: tuple[str, list[int]], now: tuple[str, list[int]], memo: Keys) -> int:
+    """How many words of a cue are the end of the one before: whole lines, or three words and more."""
+    last, this = ([t for x in body.split("\n") if (t := [k for k in map(memo.__getitem__, x.split()) if k])] for body, _ in (before, now))
+    lines = next((k for k in range(min(len(last), len(this)), 0, -1) if last[-k:] == this[:k]), 0)
+    if lines:
+        return min(sum(map(len, this[:lines])), len(now[1]))
+    return next((k for k in range(min(len(before[1]), len(now[1])), 2, -1) if before[1][-k:] == now[1][:k]), 0)
 
 
 _HYPHEN = re.compile(r"-(?<=\w-)\s")
@@ -191,16 +216,19 @@ def _joined(words: list[str], carry: str) -> tuple[list[str], str]:
     return out, ""
 
 
-def spoken(text: str, keep: frozenset[str] = frozenset(), memo: Keys | None = None) -> list[list[str]]:
-    """Keys of the words spoken, in the order of the file and, where that differs, in the order of time as well.
+def spoken(text: str, memo: Keys | None = None) -> list[tuple[list[str], list[int]]]:
+    """Words spoken that have a key, and its numbers, for each reading in the order of the file and, where that differs, of time as well.
 
-    ``keep``: keys of words that stand before a colon without naming a speaker.
+    What stands before a colon in capitals is taken for a speaker's name; who looks for a text in which it is not has
+    to look for it without those words.
     """
     memo = _MEMO if memo is None else memo
-    starts, bodies = cues(plain(text))
-    out = [_speech(bodies, keep, memo)]
-    if any(map(gt, starts, starts[1:])):
-        times = [_at(t) for t in starts]
-        if any(map(gt, times, times[1:])):
-            out.append(_speech([b for _, b in sorted(zip(times, bodies), key=itemgetter(0))], keep, memo))
+    out = []
+    for reading in readings(text):
+        starts, bodies = cues(reading)
+        out.append(_speech(bodies, memo))
+        if any(map(gt, starts, starts[1:])):
+            times = [_at(t) for t in starts]
+            if any(map(gt, times, times[1:])):
+                out.append(_speech([b for _, b in sorted(zip(times, bodies), key=itemgetter(0))], memo))
     return out

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import VOCABULARY, Tokenizer, tokenizer
@@ -31,10 +31,13 @@ BOUNDARIES = [re.compile(p) for p in (rb"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+|\s(
 SLACK = 8
 
 
-def bisect(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(first token, first own token, end token) of each piece; one piece if the text is within the limit."""
+def bisect(text: str, tok: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP, ends: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(first token, first own token, end token) of each piece; one piece if the text is within the limit.
+
+    ``ends``: where the text's tokens end, if that is known.
+    """
     raw = text.encode("utf-8", "surrogatepass")
-    ends = tok.ends(text)
+    ends = tok.ends(text) if ends is None else ends
     n = len(ends)
     if n <= limit:
         return [(0, 0, n)]
@@ -90,9 +93,10 @@ def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lim
             for d, t in zip(b["d"], b["t"]):
                 if not whole and tok.count(t) <= limit:
                     continue
-                raw = t.encode("utf-8", "surrogatepass")
-                ends = [0, *tok.ends(t).tolist()]
-                parts = bisect(t, tok, limit, overlap)
+                places = tok.ends(t)
+                parts = bisect(t, tok, limit, overlap, places)
+                raw = t.encode("utf-8", "surrogatepass") if with_text else b""
+                ends = [0, *places.tolist()]
                 for i, (first, own, end) in enumerate(parts):
                     row = [d, i, len(parts), ends[first], ends[own], ends[end], end - first, own - first]
                     out.append([*row, raw[ends[first] : ends[end]].decode("utf-8", "replace")] if with_text else row)
@@ -100,3 +104,17 @@ def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lim
 
     kind = dict(docs.dtypes)["d"]
     return docs.mapInPandas(cut, f"d {kind}, {PIECES}" + ", piece string" * with_text).withColumnRenamed("d", doc_id)
+
+
+def cover(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, bytes, covered, within) of every text that is not empty, from its pieces.
+
+    ``bytes``: where the last piece ends; ``covered``: whether the pieces' own parts follow one another without gap from
+    the first byte on; ``within``: whether no piece exceeds the limit and each but the first repeats the overlap.
+    """
+    p = pieces(documents, doc_id, text, limit, overlap, vocabulary, whole=True)
+    order = Window.partitionBy(doc_id).orderBy("piece_no")  # as many rows as the text has pieces
+    after = F.coalesce(F.lag("end_byte").over(order), F.lit(0))
+    p = p.withColumn("follows", (F.col("own_byte") == after) & (F.col("end_byte") > F.col("own_byte")))
+    fits = (F.col("n_tokens") <= limit) & ((F.col("piece_no") == 0) | (F.col("overlap_tokens") >= overlap))
+    return p.groupBy(doc_id).agg(F.max("end_byte").alias("bytes"), (F.min("follows") & (F.count(F.lit(1)) == F.max("n_pieces"))).alias("covered"), F.min(fits).alias("within"))

@@ -54,24 +54,43 @@ def test_leaks_in_all_disguises(spark):
     assert got == {(d, 1) for d in CASES} | {(d, 4) for d in (11, 12, 13)} | {(d, 5) for d in (14, 15, 16, 17)}
 
 
-def test_leaks_blocks_and_empty_tables(spark):
+def test_leaks_of_empty_tables(spark):
     df = spark.createDataFrame(list(CASES.items()), "doc_id bigint, text string")
-    assert {tuple(r) for r in L.leaks(df, items(spark), block=1).collect()} == {(d, 1) for d in CASES}
+    assert {tuple(r) for r in L.leaks(df, items(spark)).collect()} == {(d, 1) for d in CASES}
     assert L.leaks(df.limit(0), items(spark)).count() == 0
     assert L.leaks(df, items(spark).limit(0)).count() == 0
 
 
-def test_prefix_join_finds_what_brute_force_finds():
+def test_other_words_are_no_leak(spark):
+    item = spark.createDataFrame([(1, "the fat cat sat on the rim of the old tin can today"), (2, "the hat rat sat on the rim of the old tin pan today and left")], "item_id bigint, text string")
+    docs = [(1, "the tat eat sat on the rlm of the old tin ean today"), (2, "the fat cat sat on the rlm of the old tin can today"), (3, "the fat eat sat on the r1m of the oId tin can t0day")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(r) for r in L.leaks(df, item).collect()} == {(2, 1), (3, 1)}
+
+
+def test_speakers_and_songs(spark):
+    loud = "\n".join(x.upper() for x in ["Listen, Dorkolyor always remembers", "BRAN: the missing page after the wedding!", "Dicen: Lendunsel wants to repair"])
+    song = cued(["♪ Betalor guards the ♪", "♪ second violin. Listen, Dorkolyor ♪", "♪ always remembers the missing ♪", "♪ page after the wedding! ♪"])
+    roll = cued(["A\nB", "Betalor guards the\nsecond violin.", "second violin.\nListen, Dorkolyor\nalways remembers", "Listen, Dorkolyor\nalways remembers\nthe missing page after the wedding!"])
+    df = spark.createDataFrame([(1, loud), (2, song), (3, roll)], "doc_id bigint, text string")
+    assert {tuple(r) for r in L.leaks(df, items(spark)).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_join_finds_what_brute_force_finds(spark):
     rng = random.Random(3)
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
-    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(20)]
-    held = L.Items(list(enumerate(texts)))
-    ids = set(held.shingles().tolist())
-    prefixes = held.prefixes({i: rng.randrange(9) for i in ids})
-    assert set(prefixes) <= ids
-    for w in held.windows:
-        found = [x for behind in prefixes.values() for x in behind if tuple(x[1]) == w]
-        assert len(found) == 1
+    words = [a + b for a in "bdkmnprt" for b in ("ax", "uz", "yk")]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        own = [rng.choice(words) for _ in range(60)]
+        src, n, at = rng.choice(texts).split(), rng.randrange(8, 18), rng.randrange(40)
+        start = rng.randrange(len(src) - n)
+        own[at : at + n] = src[start : start + n]
+        docs.append((i, " ".join(own)))
+    grams = lambda t: {tuple(t.split()[i : i + 12]) for i in range(len(t.split()) - 11)}
+    want = {(d, i) for d, t in docs for i, x in enumerate(texts) if grams(t) & grams(x)}
+    got = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string"))
+    assert {tuple(r) for r in got.collect()} == want and 10 < len(want) < 60
 
 
 @pytest.fixture(scope="module")
@@ -118,6 +137,7 @@ def test_pieces_table(spark, tok):
     got = splitting.pieces(df, with_text=True).collect()
     assert {r["doc_id"] for r in got} == {1} and all(tok.count(r["piece"]) <= 2048 for r in got)
     assert {r["doc_id"] for r in splitting.pieces(df, whole=True).collect()} == {1, 2, 5}
+    assert {(r["doc_id"], r["bytes"], r["covered"], r["within"]) for r in splitting.cover(df).collect()} == {(i, len(t.encode()), True, True) for i, t in ((1, long), (2, "short"), (5, "x " * 1500))}
 
 
 def test_containers(spark, tok):
@@ -144,6 +164,11 @@ def test_containers(spark, tok):
         assert len(named) == len(set(named))
         assert len({text[i] for i in ids}) == len(ids)
     assert len(used) <= 1.15 * sum(sizes.values()) / 2048 + 1
+    seen = {r["doc_id"]: (r["whole"], r["fits"], r["apart"]) for r in packing.placed(df, packing.containers(df, group=150)).collect()}
+    assert set(seen.values()) == {(True, True, True)} and set(seen) == set(sizes)
+    wrong = spark.createDataFrame([(0, 0, 0, 1000, 7, 2100), (1, 0, 0, 1100, 7, 2100), (400, 1, 2048, 5, 8, 5)], "doc_id bigint, piece_no int, start_token int, n_tokens int, container bigint, fill int")
+    few = spark.createDataFrame([(0, "a b", "s"), (1, "A  b", "t"), (400, "x", None)], "doc_id bigint, text string, source string")
+    assert {r["doc_id"]: (r["whole"], r["fits"], r["apart"]) for r in packing.placed(few, wrong).collect()} == {0: (True, False, False), 1: (True, False, False), 400: (False, True, True)}
 
 
 def test_bins_take_the_tightest_compatible_one():
