@@ -46,11 +46,22 @@ def folded(s: Column) -> Column:
     return F.when(s.rlike(r"[^\x00-\x7F]"), F.when(s.rlike("[" + "".join(c for c, _ in _LIGATURES) + "]"), out).otherwise(F.translate(s, FROM, TO))).otherwise(s)
 
 
+#: Where a word has parts other than itself: between letters, at an underline, at capitals.
+_INNER = r"[A-Za-z0-9][^A-Za-z0-9]+[A-Za-z0-9]|_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]"
+
+
+_SIGNS = "".join(c for c in map(chr, range(1, 128)) if not (c.isalnum() or c == "_"))
+
+
 def _parts(raw: Column) -> Column:
     f = folded(raw)
     apart = F.regexp_replace(F.regexp_replace(f, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    whole = F.when(~F.trim(raw).rlike(r"\s"), F.regexp_replace(F.lower(f), "[^a-z0-9_]+", "")).otherwise("")
-    return F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+")))
+    low = F.lower(f)
+    bare = F.when(low.rlike(r"[^\x01-\x7F]"), F.regexp_replace(low, "[^a-z0-9_]+", "")).otherwise(F.translate(low, _SIGNS, ""))
+    whole = F.when(~F.trim(raw).rlike(r"\s"), bare).otherwise("")
+    several = F.array_distinct(F.concat(F.array(whole), F.split(F.lower(apart), "[^a-z0-9]+")))
+    # most words have one part, which splitting finds without a replacement
+    return F.when(f.rlike(_INNER), several).otherwise(F.split(F.lower(f), "[^a-z0-9]+"))
 
 
 def subtokens(raw: Column) -> Column:

@@ -113,7 +113,34 @@ def endpoint(url: str, timeout: float = 30.0) -> Callable[[list[str]], list[list
     return call
 
 
-def semantic(index: DataFrame | None, query_vec: list[int] | None, lexical: DataFrame, limit: int = K.SEARCH_LIMIT, reason: str | None = None) -> DataFrame:
+def healthy(url: str, timeout: float = 3.0) -> bool:
+    """Whether an endpoint answers."""
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(url.rstrip("/") + "/healthz", timeout=timeout) as r:
+            return 200 <= r.status < 300
+    except OSError:
+        return False
+
+
+def tier(model_path: str | None, url: str | None) -> tuple[str, str | None]:
+    """Which vectors there are, endpoint, static or lexical (none), and why there are no better ones."""
+    import os
+
+    reason = None
+    if url:
+        if healthy(url):
+            return "endpoint", None
+        reason = f"the endpoint {url} does not answer"
+    if model_path:
+        if os.path.isfile(model_path):
+            return "static", reason
+        reason = reason or f"there is no model at {model_path}"
+    return "lexical", reason or "neither a model nor an endpoint is named"
+
+
+def semantic(index: DataFrame | None, query_vec: list[int] | None, lexical: DataFrame, limit: int = K.SEARCH_LIMIT, reason: str | None = None, tier: str = "static") -> DataFrame:
     """(file, score, tier, degraded_reason): the ranks of the best vector of each file and of the words, fused.
 
     ``lexical``: doc, score in its order. Without vectors the words alone rank, and the reason is given.
@@ -127,4 +154,4 @@ def semantic(index: DataFrame | None, query_vec: list[int] | None, lexical: Data
     top = dots.orderBy(F.desc("dot"), "file").limit(max(limit, 50))
     ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("dot"), "file"))).select("file", "r")
     out = S.fused([words, ranked], "file", "r")
-    return out.select("file", "score", F.lit("static").alias("tier"), F.lit(None).cast("string").alias("degraded_reason")).orderBy(F.desc("score"), "file").limit(limit)
+    return out.select("file", "score", F.lit(tier).alias("tier"), F.lit(reason).cast("string").alias("degraded_reason")).orderBy(F.desc("score"), "file").limit(limit)

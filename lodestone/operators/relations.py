@@ -220,6 +220,33 @@ def orphans(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("file_kind") == "code") & (F.coalesce("deg_in", F.lit(0)) == 0) & (F.coalesce("deg_out", F.lit(0)) == 0) & ~paths.is_entry_stem(F.col("rel"))).select("rel")
 
 
+SEVERITIES, BUILT_IN = ["error", "warn", "info"], ["cycles", "orphans"]
+
+
+def valid_rules(rules: object) -> list[dict]:
+    """The rules if they are well formed, else an error that says which is not and why."""
+    if not isinstance(rules, list):
+        raise ValueError("rules are a list")
+    names: set[str] = set()
+    for i, r in enumerate(rules):
+        said = f"rule {i}: "
+        if not isinstance(r, dict) or not isinstance(r.get("name"), str) or not r["name"]:
+            raise ValueError(said + "it has no name")
+        if r["name"] in names:
+            raise ValueError(said + f"a second one is named {r['name']}")
+        names.add(r["name"])
+        if r.get("severity", "error") not in SEVERITIES:
+            raise ValueError(said + f"its severity is none of {', '.join(SEVERITIES)}")
+        if "builtin" in r:
+            if r["builtin"] not in BUILT_IN:
+                raise ValueError(said + f"there is no built-in {r['builtin']}")
+            continue
+        for side in ("from", "to", *(["kinds"] if "kinds" in r else [])):
+            if not isinstance(r.get(side), list) or not r[side] or not all(isinstance(x, str) and x for x in r[side]):
+                raise ValueError(said + f"{side} is no list of patterns")
+    return rules
+
+
 def forbidden(edges: DataFrame, rules: list[dict]) -> DataFrame:
     """Resolved edges that a rule forbids. A rule has name, from, to, and optionally kinds and severity.
 

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 
+#: What is tried, in order, for a path without an ending, for a folder, for a built file; where built
+#: files lie; and the conditions of a package's exports in order of preference.
 JS_ENDINGS = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".svelte", ".json"]
 JS_INDEX = ["index.ts", "index.tsx", "index.js", "index.jsx", "index.mjs", "index.d.ts"]
 JS_OUTPUT = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
-BUILT = ["dist", "build", "lib", "out", "esm", "cjs"]
+BUILT = ["dist", "build", "lib", "out", "output", "esm", "cjs", "umd"]
 CONDITIONS = ["types", "import", "module", "default", "require", "node"]
 
 

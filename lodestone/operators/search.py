@@ -15,9 +15,15 @@ from ..session import written
 
 
 def postings(docs: DataFrame, doc: str, content: Column, fields: bool = False) -> DataFrame:
-    """(doc, term, tf): the subtokens of each word of the content, counted; of each of its ``fields`` where it is an array."""
+    """(doc, term, tf): the subtokens of each word of the content, counted; of each of its ``fields`` where it is an array.
+
+    Documents are spread once, over as many tasks as the session shuffles to: taking words apart is work, and what
+    follows is counted within documents and so shuffles nothing.
+    """
     parts = content if fields else F.split(content, r"\s+")
-    words = docs.select(F.col(doc).alias("doc"), F.explode(parts).alias("word")).where("word is not null").groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = docs.select(F.col(doc).alias("doc"), parts.alias("words")).repartition(tasks, "doc")
+    words = spread.select("doc", F.explode("words").alias("word")).where("word is not null").groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
     terms = words.select("doc", "n", F.explode(text.exploded_subtokens(F.col("word"))).alias("term")).where(F.length("term") >= 2)
     return terms.groupBy("doc", "term").agg(F.sum("n").alias("tf"))
 
@@ -229,8 +235,8 @@ def repo_map(nodes: DataFrame, symbols: DataFrame, tokens: int = K.MAP_TOKENS, p
     top = nodes.orderBy(F.col("pagerank").desc_nulls_last(), F.col("symbols").desc_nulls_last(), "rel").limit(tokens * K.CHARS_PER_TOKEN // 2)
     near = symbols.join(top.select(F.col("rel").alias("file")), "file", "left_semi")
     s = near.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("exported"), "line", "pos"))).where(F.col("r") <= per_file)
-    lines = s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("  "), F.coalesce("kind", F.lit("")), F.lit(" "), F.coalesce("name", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
-    b = top.join(lines, top["rel"] == lines["file"], "left").select("rel", "pagerank", "symbols", F.concat("rel", F.lit("\n"), F.coalesce(F.concat("lines", F.lit("\n")), F.lit(""))).alias("block"))
+    lines = s.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("  "), F.coalesce("kind", F.lit("")), F.lit(" "), F.coalesce("name", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("_lines"))
+    b = top.join(lines, top["rel"] == lines["file"], "left").select("rel", "pagerank", "symbols", F.concat("rel", F.lit("\n"), F.coalesce(F.concat("_lines", F.lit("\n")), F.lit(""))).alias("block"))
     order = Window.orderBy(F.col("pagerank").desc_nulls_last(), F.col("symbols").desc_nulls_last(), "rel")
     b = b.withColumn("rank", F.row_number().over(order)).withColumn("upto", F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return b.where(F.col("upto") <= tokens * K.CHARS_PER_TOKEN).select("rank", "rel", "block")

@@ -16,7 +16,8 @@ from ..sinks import artifacts
 from ..sources import git
 from ..streaming import refresh
 from .fixture import DIFF, FILES
-from .reference import edges, files, idents, module_edges, nodes, symbols, vectors
+from .reference import IDS, LIFT_SQL, SYMS, VECTORS_SQL, bm25_sql, edges, files, idents, module_edges, nodes, symbols, vectors
+from .reference import FILES as FILES_SQL
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -159,7 +160,14 @@ def sk1_graph_lines(spark, d):
     return lines.select(j.alias("j")).select(F.col("j.from").alias("src"), F.col("j.to").alias("dst"), "j.kind", "j.weight")
 
 
-@query("sk8_symbol_ids")
+_PLAIN = "regexp_matches({0}, '^[A-Za-z0-9_+$-]+$')"
+_QUOTED = f"case when {_PLAIN} then {{0}} else '`' || replace({{0}}, '`', '``') || '`' end"
+
+
+@query("sk8_symbol_ids", f"""with x as (select file, pos, name, line, array_to_string(list_transform(string_split(file, '/'), lambda p: case when {_PLAIN.format('p')} then p else '`' || p || '`' end), '/') || '/' || coalesce({_QUOTED.format('parent')} || '#', '') || {_QUOTED.format('name')}
+        || case when kind in ('class', 'interface', 'struct', 'enum', 'type', 'trait') then '#' when kind in ('function', 'method') then '().' when kind in ('module', 'namespace') then '/' else '.' end base from {SYMS} where name is not null),
+    n as (select *, row_number() over (partition by file, base, line order by pos) n, count(*) over (partition by file, base) same from x)
+    select file, pos, name, line, base || case when same = 1 then '' when n = 1 then '(' || line || ')' else '(' || line || '_' || n || ')' end symbol from n""")
 def sk8_symbol_ids(spark, d):
     return artifacts.symbol_ids(symbols(spark, d))
 
@@ -202,7 +210,7 @@ def _lexical(spark, d, units):
     f = files(spark, d).select("rel", F.concat_ws(" ", "rel", "title", "summary").alias("content"))
     s = units.where("symbol is not null").groupBy(F.col("file").alias("rel")).agg(joined("symbol"))
     i = idents(spark, d, by_file=True).groupBy(F.col("file").alias("rel")).agg(joined("ident"))
-    words = written(f.unionByName(s).unionByName(i), "words").repartition("rel")
+    words = written(f.unionByName(s).unionByName(i), "words")
     return search.bm25(words, "rel", F.col("content"), "crane driver", limit=50)
 
 
@@ -213,19 +221,27 @@ def q8_semantic(spark, d):
     return embed.semantic(embed.build_index(u, model), model.encode("crane driver"), _lexical(spark, d, u))
 
 
-@query("q16_degraded")
+_TEXTS = f"(select rel doc_id, rel || ' ' || coalesce(title, '') || ' ' || coalesce(summary, '') text from {FILES_SQL} union all select distinct file, name from {SYMS} where name is not null union all select file, ident from {IDS})"
+
+
+@query("q16_degraded", f"select doc file, score, 'lexical' tier, 'no model' degraded_reason from ({bm25_sql(['crane', 'driver'], True, _TEXTS)}) order by score desc, file limit 20")
 def q16_degraded(spark, d):
     return embed.semantic(None, None, _lexical(spark, d, _units(spark, d)), reason="no model")
 
 
-@query("sk6_packed_vectors")
+@query("sk6_packed_vectors", f"select vec_id, array_to_string(q, ',') vec from {VECTORS_SQL}")
 def sk6_packed_vectors(spark, d):
     """All vectors packed into files of some thousand each, and read back from them."""
     blocks = written(artifacts.packed_blocks(vectors(spark, d), "vec_id", "q", "embeddings"), "packed")
     return artifacts.unpacked_blocks(blocks, "vec_id").select("vec_id", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
 
 
-@query("sk11_diagram")
+@query("sk11_diagram", f"""with l as (select *, count(*) over () total, row_number() over (order by weight desc, src_module, dst_module) r from {LIFT_SQL}), t as (select * from l where r <= {K.MERMAID_EDGES}),
+    n as (select name, row_number() over (order by name) - 1 i from (select src_module name from t union select dst_module from t)),
+    x as (select 0 g, 0 o, 'graph LR' text union all select 1, i, '  n' || i || '["' || replace(name, '"', '#quot;') || '"]' from n
+      union all select 2, r, '  n' || a.i || ' -->|' || kind || ' ' || weight || '| n' || b.i from t join n a on a.name = src_module join n b on b.name = dst_module
+      union all select distinct 3, 0, '  %% ' || (total - {K.MERMAID_EDGES}) || ' more edges' from l where total > {K.MERMAID_EDGES})
+    select (row_number() over (order by g, o) - 1)::int line, text from x""")
 def sk11_diagram(spark, d):
     text = artifacts.mermaid(module_edges(spark, d))
     return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")

@@ -406,7 +406,7 @@ def a22_dangling_ratio(spark, d):
 
 
 _RANK = "case kind " + " ".join(f"when '{k}' then {r}" for k, r in K.LIFT_RANK.items()) + " else 0 end"
-_LIFT = f"(select a.module src_module, b.module dst_module, sum(weight)::bigint weight, arg_max(kind, {_RANK} * 1000 + ascii(kind)) kind from {_ONE} e join {NODES} a on e.src = a.rel join {NODES} b on e.dst = b.rel where a.module <> b.module group by a.module, b.module)"
+LIFT_SQL = f"(select a.module src_module, b.module dst_module, sum(weight)::bigint weight, arg_max(kind, {_RANK} * 1000 + ascii(kind)) kind from {_ONE} e join {NODES} a on e.src = a.rel join {NODES} b on e.dst = b.rel where a.module <> b.module group by a.module, b.module)"
 
 
 def module_edges(spark, d):
@@ -414,12 +414,12 @@ def module_edges(spark, d):
     return R.lifted(R.dedupe_edges(edges(spark, d)), of)
 
 
-@query("j26_module_lift", f"select * from {_LIFT}")
+@query("j26_module_lift", f"select * from {LIFT_SQL}")
 def j26_module_lift(spark, d):
     return module_edges(spark, d)
 
 
-@query("g6_undirected", f"select least(src_module, dst_module) a, greatest(src_module, dst_module) b, sum(weight)::bigint weight from {_LIFT} group by 1, 2")
+@query("g6_undirected", f"select least(src_module, dst_module) a, greatest(src_module, dst_module) b, sum(weight)::bigint weight from {LIFT_SQL} group by 1, 2")
 def g6_undirected(spark, d):
     return R.undirected(module_edges(spark, d), "src_module", "dst_module", "weight")
 
@@ -469,7 +469,7 @@ def a21_rule_counts(spark, d):
 
 
 @query("j30_surprises", f"""with c as (select distinct module, ascii(module) % 7 community, case when contains(module, 'core') then 0 else 1 end tier from {NODES} where module is not null),
-    e as (select l.*, a.community ca, b.community cb, b.tier from {_LIFT} l join c a on l.src_module = a.module join c b on l.dst_module = b.module where a.community <> b.community),
+    e as (select l.*, a.community ca, b.community cb, b.tier from {LIFT_SQL} l join c a on l.src_module = a.module join c b on l.dst_module = b.module where a.community <> b.community),
     p as (select least(ca, cb) lo, greatest(ca, cb) hi, count(*) pair_edges from e group by 1, 2)
     select src_module, dst_module, kind, weight, pair_edges from e join p on lo = least(ca, cb) and hi = greatest(ca, cb) where kind in ('import', 'call', 'use') and tier <> 0 and pair_edges <= 40 order by pair_edges, src_module, dst_module limit 24""")
 def j30_surprises(spark, d):
@@ -536,7 +536,7 @@ def g2_pagerank(spark, d):
 _MODULES = f"(select distinct module id from {NODES} where module is not null)"
 
 
-@query("g4_module_pagerank", f"""with recursive nat as materialized (select id, count(*) over () total from {_MODULES}), ed as materialized (select src_module src, dst_module dst, weight::double w from {_LIFT}),
+@query("g4_module_pagerank", f"""with recursive nat as materialized (select id, count(*) over () total from {_MODULES}), ed as materialized (select src_module src, dst_module dst, weight::double w from {LIFT_SQL}),
     share as materialized (select src, dst, w / sum(w) over (partition by src) s from ed), loose as materialized (select id from nat where id not in (select src from ed)),
     pr as (select id, 1.0::double / total r, total, 0 turn from nat union all
       select nat.id, (0.15 + 0.85 * coalesce((select sum(r) from pr where id in (select id from loose)), 0)) / nat.total + 0.85 * coalesce(g.x, 0), nat.total, (select max(turn) from pr) + 1
@@ -586,7 +586,7 @@ def g12_import_cycles(spark, d):
     return G.cycle_rows(_import_modules(spark, d)).select("least", "length", F.array_join("path", " > ").alias("path"))
 
 
-@query("g12_cycle_members", f"""with recursive e as materialized (select distinct src_module a, dst_module b from {_LIFT} where kind = 'import'), reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a)
+@query("g12_cycle_members", f"""with recursive e as materialized (select distinct src_module a, dst_module b from {LIFT_SQL} where kind = 'import'), reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a)
     select x.a module, min(y.a) least from reach x join reach y on x.a = y.b and x.b = y.a where exists (select 1 from reach z where z.a = x.a and z.b = x.a) group by x.a""")
 def g12_cycle_members(spark, d):
     """Each module that lies on a cycle of imports with the least module that it reaches and that reaches it."""
@@ -606,23 +606,24 @@ QUESTION = "iron bell tower clockmakr"
 _WORDS = f"(select doc_id, t term, count(*) tf from (select doc_id, unnest({_SUBTOKENS.format('w')}) t from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) w from documents where text is not null)) group by 1, 2)"
 
 
-def _bm25_sql(terms: list[str], fuzzy: bool) -> str:
+def bm25_sql(terms: list[str], fuzzy: bool, texts: str = "(select doc_id, text from documents where text is not null)") -> str:
+    words = f"(select doc_id, t term, count(*) tf from (select doc_id, unnest({_SUBTOKENS.format('w')}) t from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) w from {texts})) group by 1, 2)"
     t = ", ".join(f"('{x}')" for x in terms)
     grams = "list_distinct(list_transform(range(1, length('^^' || {0} || '$$') - 1), lambda i: substr('^^' || {0} || '$$', i, 3)))"
     near = f"""union all select query, term, dice from (select q.query, v.term, 2.0 * len(list_intersect(q.g, v.g)) / (len(q.g) + len(v.g)) dice, row_number() over (partition by q.query order by 2.0 * len(list_intersect(q.g, v.g)) / (len(q.g) + len(v.g)) desc, v.term) r
         from (select query, {grams.format('query')} g from q where query not in (select term from w)) q, (select term, {grams.format('term')} g from (select distinct term from w)) v where 2.0 * len(list_intersect(q.g, v.g)) / (len(q.g) + len(v.g)) >= 0.6) where r <= 3"""
-    return f"""with w as {_WORDS}, q as (select * from (values {t}) v(query)), u as (select query, query term, 1.0 share from q where query in (select term from w) {near if fuzzy else ''}),
-    len_ as (select d.doc_id, coalesce(sum(tf), 0) len from (select doc_id from documents where text is not null) d left join w using (doc_id) group by 1), st as (select count(*) n, avg(len) av from len_), df as (select term, count(*) df from w where term in (select term from u) group by 1)
+    return f"""with w as materialized {words}, q as (select * from (values {t}) v(query)), u as (select query, query term, 1.0 share from q where query in (select term from w) {near if fuzzy else ''}),
+    len_ as (select d.doc_id, coalesce(sum(tf), 0) len from (select distinct doc_id from {texts}) d left join w using (doc_id) group by 1), st as (select count(*) n, avg(len) av from len_), df as (select term, count(*) df from w where term in (select term from u) group by 1)
     select w.doc_id doc, round(sum(share * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))), 4) score, array_to_string(list_sort(list(distinct query) filter (query = term)), ',') matched, coalesce(array_to_string(list_sort(list(distinct query) filter (query <> term)), ','), '') fuzzy
     from w join u using (term) join df using (term) join len_ using (doc_id), st group by 1"""
 
 
-@query("q1_bm25", _bm25_sql(["iron", "bell", "tower"], False) + " order by score desc, doc limit 20")
+@query("q1_bm25", bm25_sql(["iron", "bell", "tower"], False) + " order by score desc, doc limit 20")
 def q1_bm25(spark, d):
     return S.bm25(docs(spark, d), "doc_id", F.col("text"), "iron bell of the tower", fuzzy=False)
 
 
-@query("q3_bm25_fuzzy", _bm25_sql(["iron", "bell", "tower", "clockmakr"], True) + " order by score desc, doc limit 20")
+@query("q3_bm25_fuzzy", bm25_sql(["iron", "bell", "tower", "clockmakr"], True) + " order by score desc, doc limit 20")
 def q3_bm25_fuzzy(spark, d):
     return S.bm25(docs(spark, d), "doc_id", F.col("text"), QUESTION)
 
@@ -639,7 +640,7 @@ def q2_trigrams(spark, d):
     return S.dice(["contxt", "optons", "undefind"], idents(spark, d).select(F.col("ident").alias("term"))).select("query", "term", F.round("dice", 6).alias("dice"))
 
 
-_Q8 = "(select vec_id, label, list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) * 127, 0)))::int) q from embeddings)"
+VECTORS_SQL = "(select vec_id, label, list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) * 127, 0)))::int) q from embeddings)"
 
 
 #: The vectors that searches ask with.
@@ -650,19 +651,19 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", T.quantised(F.col("embedding")).alias("q"))
 
 
-@query("a15_int8", f"select vec_id, array_to_string(q, ',') q from {_Q8}")
+@query("a15_int8", f"select vec_id, array_to_string(q, ',') q from {VECTORS_SQL}")
 def a15_int8(spark, d):
     return vectors(spark, d).select("vec_id", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"))
 
 
-@query("q8_knn", f"with v as materialized {_Q8}, s as (select q.vec_id query_id, v.vec_id, list_dot_product(v.q::double[], q.q::double[])::bigint dot from v, (select * from v where vec_id % 100 = 0) q) select query_id, vec_id, dot from (select *, row_number() over (partition by query_id order by dot desc, vec_id) r from s) where r <= 20")
+@query("q8_knn", f"with v as materialized {VECTORS_SQL}, s as (select q.vec_id query_id, v.vec_id, list_dot_product(v.q::double[], q.q::double[])::bigint dot from v, (select * from v where vec_id % 100 = 0) q) select query_id, vec_id, dot from (select *, row_number() over (partition by query_id order by dot desc, vec_id) r from s) where r <= 20")
 def q8_knn(spark, d):
     """The nearest 20 of every vector of the query set."""
     v = written(vectors(spark, d), "vectors")
     return S.nearest_of_set(v, v.where(QUERY_SET), "vec_id", "q")
 
 
-@query("a17_best_per_group", f"with v as materialized {_Q8}, s as (select q.vec_id query_id, v.label, v.vec_id, list_dot_product(v.q::double[], q.q::double[])::bigint dot from v, (select * from v where vec_id % 100 = 0) q) select query_id, label, vec_id, dot from (select *, row_number() over (partition by query_id, label order by dot desc, vec_id) r from s) where r = 1")
+@query("a17_best_per_group", f"with v as materialized {VECTORS_SQL}, s as (select q.vec_id query_id, v.label, v.vec_id, list_dot_product(v.q::double[], q.q::double[])::bigint dot from v, (select * from v where vec_id % 100 = 0) q) select query_id, label, vec_id, dot from (select *, row_number() over (partition by query_id, label order by dot desc, vec_id) r from s) where r = 1")
 def a17_best_per_group(spark, d):
     """The best of each label for every vector of the query set."""
     v = written(vectors(spark, d), "vectors")
@@ -718,7 +719,7 @@ def sk2_symbol_index(spark, d):
     return symbols(spark, d).where("name is not null").select("name", "file", "line", "kind", "pos", F.coalesce("end_line", F.lit(-1)).alias("end_line"), "exported", "lang", "parent")
 
 
-@query("sk11_mermaid", f"select src_module, dst_module, weight, kind from {_LIFT} order by weight desc, src_module, dst_module limit 80")
+@query("sk11_mermaid", f"select src_module, dst_module, weight, kind from {LIFT_SQL} order by weight desc, src_module, dst_module limit 80")
 def sk11_mermaid(spark, d):
     return module_edges(spark, d).orderBy(F.desc("weight"), "src_module", "dst_module").limit(K.MERMAID_EDGES)
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import extract, graph, history, relations, resolve, search, snapshot, workspaces
+from ..operators import embed, extract, graph, history, relations, resolve, search, snapshot, workspaces
 from ..session import written
+from ..sinks import artifacts
 from ..sources import git, walk
 
 MANIFESTS = r"(^|/)(package\.json|[tj]sconfig[\w.-]*\.json|pnpm-workspace\.yaml|lerna\.json|nx\.json|project\.json|Cargo\.toml|go\.(mod|work)|pom\.xml|pyproject\.toml|composer\.json|(build|settings)\.gradle(\.kts)?)$"
@@ -173,6 +174,24 @@ class Repository:
     def search(self, question: str, limit: int = K.SEARCH_LIMIT, fuzzy: bool = True) -> DataFrame:
         return search.ask(self.search_index, question, limit, fuzzy, self.symbols.select(F.col("file").alias("doc"), "name"))
 
+    @cached_property
+    def _vectors(self) -> dict[tuple[str, str], DataFrame]:
+        return {}
+
+    def semantic(self, question: str, model_path: str | None = None, url: str | None = None, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+        """Ranks of vectors and of words, fused; the words alone, with the reason, where there are no vectors."""
+        tier, reason = embed.tier(model_path, url)
+        words = search.ask(self.search_index, question, 50).select("doc", "score")
+        if tier == "lexical":
+            return embed.semantic(None, None, words, limit, reason)
+        model = embed.Model.load(model_path) if tier == "static" else None
+        encoder = embed.endpoint(url) if tier == "endpoint" else None
+        key = (tier, model.model_id if model else url)
+        if key not in self._vectors:
+            self._vectors[key] = written(embed.build_index(embed.units(self.files, self.symbols), model, encoder), "vectors")
+        asked = model.encode(question) if model else encoder([question])[0]
+        return embed.semantic(self._vectors[key], asked, words, limit, reason, tier)
+
     def grep(self, pattern: str, limit: int = K.GREP_LIMIT) -> DataFrame:
         return search.grep(self.texts, "rel", "content", pattern, limit)
 
@@ -213,6 +232,7 @@ class Repository:
 
     def check_rules(self, rules: list[dict]) -> DataFrame:
         """Violations of forbidden edges, and of the built-in rules cycles and orphans where they are asked for."""
+        relations.valid_rules(rules)
         out = relations.forbidden(self.edges, [r for r in rules if "builtin" not in r])
         none = F.lit(None).cast("string")
         for r in rules:
@@ -225,6 +245,29 @@ class Repository:
                 out = out.unionByName(found.select(name, severity, "src", "dst", F.lit("cycle").alias("kind")))
         return out.orderBy("rule", "src", "dst", "kind")
 
+    def symbol_index(self) -> DataFrame:
+        """name, file, line, kind, end_line, exported, ref_file: definitions and, a row each, the files that refer to names one file defines."""
+        refs = relations.symbol_refs(self.idents, relations.unique_defs(self.symbols))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("line", "int"), ("kind", "string"), ("end_line", "int"), ("exported", "boolean"))]
+        defs = self.symbols.where("name is not null").select("name", "file", "line", "kind", "end_line", "exported", F.lit(None).cast("string").alias("ref_file"))
+        return defs.unionByName(refs.select("name", F.lit(None).cast("string").alias("file"), *none, F.col("file").alias("ref_file"))).orderBy("name", "file", "line", "kind", "ref_file")
+
+    def community_of(self, module: str) -> int | None:
+        row = self.module_nodes().where(F.col("id") == module).first()
+        return row["community"] if row else None
+
+    def tests_of(self, module: str) -> DataFrame:
+        """The tests that reach any file of a module."""
+        return self.tests_map().join(self.module_of.where(F.col("module") == module).select("rel"), "rel", "left_semi").select("test").distinct().orderBy("test")
+
+    def mermaid(self, module: str | None = None) -> str:
+        return artifacts.mermaid(self.module_edges, module)
+
+    def scip(self) -> DataFrame:
+        """file, document: the protobuf of each file."""
+        occ = artifacts.occurrences(self.symbols, self.calls.select("file", "name", "line"), self.texts)
+        return artifacts.scip_documents(occ, self.files.select("rel", "lang"))
+
     def workspaces(self) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
         return workspaces.workspaces(self.spark, self.manifests, self.folders)
 
@@ -233,6 +276,15 @@ class Repository:
         c = git.commits(self.spark, self.root, since)
         return None if c is None else history.hotspots(self.files.select("rel", "lines"), history.churn(c))
 
+    def churn(self, since: str | None = None) -> DataFrame | None:
+        c = git.commits(self.spark, self.root, since)
+        return None if c is None else history.churn(c).orderBy(F.desc("commits"), "file")
+
+    def risk(self, since: str | None = None) -> DataFrame | None:
+        c = git.commits(self.spark, self.root, since)
+        whole = self.texts.join(self.files.where("kind = 'code'").select("rel"), "rel").select("rel", T.complexity(F.col("content")).alias("complexity"))
+        return None if c is None else history.risk(whole, history.churn(c))
+
     def coupling(self, since: str | None = None) -> DataFrame | None:
         c = git.commits(self.spark, self.root, since)
         return None if c is None else history.coupling(c)

@@ -51,6 +51,11 @@ def hadoop_path(spark: SparkSession, path: str):
 _tables: list[tuple] = []
 
 
+def kept(files, path) -> None:
+    """Notes what ``release`` removes."""
+    _tables.append((files, path))
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """The DataFrame written as a table in the shared folder and read again: it survives the loss of executors.
 
@@ -58,7 +63,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _tables.append(hadoop_path(spark, path))
+    kept(*hadoop_path(spark, path))
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

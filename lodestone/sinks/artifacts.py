@@ -35,10 +35,9 @@ def graph_lines(edges: DataFrame) -> DataFrame:
 
 
 def symbol_lines(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """(name, line): definitions of a name in order of (file, line, kind) and the files that refer to it."""
-    defs = symbols.where("name is not null").groupBy("name").agg(F.array_sort(F.collect_set(F.struct("file", "line", "kind", "end_line", "exported"))).alias("defs"))
-    r = refs.groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("refs"))
-    return defs.join(r, "name", "left").select("name", F.to_json(F.struct("name", "defs", "refs")).alias("line"))
+    """(name, line): one JSON line for each definition of a name and for each file that refers to it: a hot name needs no list."""
+    d = symbols.where("name is not null").select("name", F.to_json(F.struct("name", "file", "line", "kind", "end_line", "exported")).alias("line"))
+    return d.unionByName(refs.select("name", F.to_json(F.struct("name", F.col("file").alias("ref"))).alias("line"))).distinct()
 
 
 def mermaid(module_edges: DataFrame, module: str | None = None, most: int = K.MERMAID_EDGES) -> str:
@@ -136,21 +135,30 @@ def symbol_ids(symbols: DataFrame) -> DataFrame:
     return x.select("file", "pos", "name", "line", F.concat(F.col("base"), mark).alias("symbol"))
 
 
+def utf16_length(s):
+    """How many UTF-16 code units a string has: two for each letter beyond the basic plane."""
+    return F.length(s) + F.length(F.regexp_replace(s, r"[\x{0}-\x{FFFF}]+", ""))
+
+
 def occurrences(symbols: DataFrame, calls: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """(file, line, start, stop, symbol, role): definitions, and calls of names that one file alone defines."""
+    """(file, line, start, stop, symbol, role): definitions, and calls of names that one file alone defines.
+
+    Places in a line are counted in UTF-16 code units; where the name is not found, the occurrence is the whole line.
+    """
     ids = symbol_ids(symbols)
     x = ids.select("file", "line", "name", "symbol", F.lit(1).alias("role"))
     if calls is not None:
         one = ids.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("symbol").alias("symbol")).where("n = 1").drop("n")
         x = x.unionByName(calls.join(one, "name").select("file", "line", "name", "symbol", F.lit(0).alias("role")))
     if texts is None:
-        start, stop = F.lit(0), F.length("name")
+        start, stop = F.lit(0), utf16_length(F.col("name"))
     else:
         x = x.join(texts.select(F.col("rel").alias("file"), F.split("content", "\n").alias("lines")), "file", "left")
         text = F.try_element_at("lines", F.col("line"))
         at = F.regexp_instr(text, F.concat(F.lit(r"(?<![A-Za-z0-9_$])\Q"), F.col("name"), F.lit(r"\E(?![A-Za-z0-9_$])")))
-        start = F.when(at > 0, at - 1).otherwise(0)
-        stop = F.when(at > 0, at - 1 + F.length("name")).otherwise(F.coalesce(F.length(text), F.lit(0)))
+        before = utf16_length(F.substring(text, F.lit(1), at - 1))
+        start = F.when(at > 0, before).otherwise(0)
+        stop = F.when(at > 0, before + utf16_length(F.col("name"))).otherwise(F.coalesce(utf16_length(text), F.lit(0)))
     return x.select("file", (F.col("line") - 1).alias("line"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), "symbol", "role").distinct()
 
 
@@ -164,7 +172,7 @@ def scip_documents(rows: DataFrame, languages: DataFrame) -> DataFrame:
         for b in batches:
             docs = []
             for file, lang, *occ in zip(b["file"], b["lang"], *(b[p] for p in parts)):
-                doc = tagged(1, file) + tagged(4, lang or "")
+                doc = tagged(1, file) + tagged(4, lang or "") + tagged(6, 2)  # places are UTF-16 code units
                 for line, start, stop, role, symbol in zip(*(x.tolist() for x in occ)):
                     where = varint(line) + varint(start) + varint(stop)
                     doc += tagged(2, tagged(1, where) + tagged(2, symbol) + (tagged(3, role) if role else b""))
@@ -191,23 +199,29 @@ def _sha(text: str) -> str:
     return hashlib.sha1(text.encode()).hexdigest()
 
 
+def content_sum(df: DataFrame) -> str:
+    """Rows and the sum of their hashes, which adds up in any order."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)"))).first()
+    return f"{n}:{total or 0}"
+
+
 def save_index(path: str, tables: dict[str, DataFrame], commit: str | None = None) -> None:
-    """All tables, and last of all one row that says what they are: an index without it does not count."""
+    """All tables, and last of all one row that says what they are and hold: an index without it does not count."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    counts = {n: spark.read.parquet(f"{path}/{n}").count() for n in sorted(tables)}
+    counts = {n: content_sum(spark.read.parquet(f"{path}/{n}")) for n in sorted(tables)}
     row = [(SCHEMA_VERSION, EXTRACTOR_VERSION, commit, json.dumps(counts), _sha(json.dumps(counts)))]
     spark.createDataFrame(row, "schema_version int, extractor_version int, commit string, counts string, sha string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta_")
 
 
 def load_index(spark: SparkSession, path: str, commit: str | None = None) -> dict[str, DataFrame] | None:
-    """The tables of an index that was saved whole by this version at this commit; else null, and the caller rebuilds."""
+    """The tables of an index that was saved whole by this version at this commit and has its contents; else null, and the caller rebuilds."""
     try:
         m = spark.read.parquet(f"{path}/_meta_").first()
         if not m or (m["schema_version"], m["extractor_version"]) != (SCHEMA_VERSION, EXTRACTOR_VERSION) or m["commit"] != commit or m["sha"] != _sha(m["counts"]):
             return None
         out = {n: spark.read.parquet(f"{path}/{n}") for n in json.loads(m["counts"])}
-        return out if all(out[n].count() == c for n, c in json.loads(m["counts"]).items()) else None
+        return out if all(content_sum(out[n]) == c for n, c in json.loads(m["counts"]).items()) else None
     except Exception:  # noqa: BLE001 whatever is wrong with it, it is built anew
         return None

@@ -39,16 +39,25 @@ def inserted(text: str, line: int, end_line: int | None, new: str, after: bool)
     return "\n".join([*lines[:at], *block, *lines[at:]])
 
 
+_PART = re.compile(r"\w[\w.-]*")
+
+
 def _note(folder: str, name: str) -> str:
-    clean = re.sub(r"[^A-Za-z0-9._-]+", "-", name.removesuffix(".md")).strip(".-")
+    """Where a note lies: topic/name in a folder for the topic; of a name that is no such path, its letters in one file."""
+    plain = name.removeprefix("mem:").removesuffix(".md")
+    parts = plain.split("/")
+    if all(_PART.fullmatch(p) for p in parts):
+        return os.path.join(folder, *parts[:-1], f"{parts[-1]}.md")
+    clean = re.sub(r"[^A-Za-z0-9._-]+", "-", plain).strip(".-")
     if not clean:
         raise ValueError(f"no name is left of {name!r}")
     return os.path.join(folder, f"{clean}.md")
 
 
 def write_note(folder: str, name: str, text: str) -> str:
-    os.makedirs(folder, exist_ok=True)
-    with open(path := _note(folder, name), "w", encoding="utf-8") as f:
+    path = _note(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
         f.write(text)
     return path
 
@@ -70,4 +79,9 @@ def delete_note(folder: str, name: str) -> bool:
 
 
 def list_notes(folder: str) -> list[str]:
-    return sorted(x.removesuffix(".md") for x in os.listdir(folder) if x.endswith(".md")) if os.path.isdir(folder) else []
+    """The names of all notes, with the topic before those that have one."""
+    found = []
+    for at, _, names in os.walk(folder):
+        topic = os.path.relpath(at, folder).replace(os.sep, "/")
+        found += [(n if topic == "." else f"{topic}/{n}").removesuffix(".md") for n in names if n.endswith(".md")]
+    return sorted(found)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import subprocess
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import hadoop_path, kept, shared_dir
+
+#: Where a branch may have begun, in order.
 BASES = ["origin/HEAD", "origin/main", "origin/master", "main", "master"]
 
 
@@ -36,12 +40,24 @@ def base_ref(root: str, wanted: str | None = None) -> tuple[str, str | None]:
 
 
 def commits(spark: SparkSession, root: str, since: str | None = None) -> DataFrame | None:
-    """(commit_id, file) of the history; null outside a repository, which is not the same as an empty history."""
+    """(commit_id, file) of the history; null outside a repository, which is not the same as an empty history.
+
+    What git says goes to a file in the shared folder as it comes, and is taken apart there: the driver holds none of it.
+    """
     if not is_worktree(root):
         return None
-    out = git(root, "log", "--no-merges", "--name-only", "--format=%x1e%H", *([f"--since={since}"] if since else [])) or ""
-    rows = [(block.split("\n", 1)[0], f) for block in out.split("\x1e") if block.strip() for f in block.split("\n")[1:] if f]
-    return spark.createDataFrame(rows, "commit_id string, file string")
+    folder = f"{shared_dir(spark)}/tables/history-{uuid.uuid4().hex}"
+    fs, path = hadoop_path(spark, folder)
+    kept(fs, path)
+    to = fs.create(hadoop_path(spark, f"{folder}/log")[1])
+    cmd = ["git", "-C", root, "-c", "core.quotepath=off", "log", "--no-merges", "--name-only", "--format=%x1e%H", *([f"--since={since}"] if since else [])]
+    with subprocess.Popen(cmd, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+        while part := run.stdout.read(1 << 20):
+            to.write(part, 0, len(part))
+    to.close()
+    blocks = spark.read.option("lineSep", "\x1e").text(folder).where("trim(value) <> ''")
+    lines = blocks.select(F.split("value", "\n").alias("x"))
+    return lines.select(F.col("x")[0].alias("commit_id"), F.explode(F.slice("x", 2, F.size("x"))).alias("file")).where("file <> ''")
 
 
 def diff_files(lines: DataFrame, stats: DataFrame) -> DataFrame:
