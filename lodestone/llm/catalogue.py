@@ -91,7 +91,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("p9_cover", "select doc_id, strlen(text)::bigint bytes, true covered, true within from documents where text is not null and text <> ''")
+@REGISTRY.query("p9_cover", "select doc_id, strlen(text)::bigint bytes, true covered, true fits from documents where text is not null and text <> ''")
 def p9_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every text, cut or not, whether its pieces make it up within the limit and with the overlap."""
     return splitting.cover(table(spark, sf_dir, "documents"))

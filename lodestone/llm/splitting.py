@@ -107,14 +107,14 @@ def pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lim
 
 
 def cover(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, bytes, covered, within) of every text that is not empty, from its pieces.
+    """(doc_id, bytes, covered, fits) of every text that is not empty, from its pieces.
 
     ``bytes``: where the last piece ends; ``covered``: whether the pieces' own parts follow one another without gap from
-    the first byte on; ``within``: whether no piece exceeds the limit and each but the first repeats the overlap.
+    the first byte on; ``fits``: whether no piece exceeds the limit and each but the first repeats the overlap.
     """
     p = pieces(documents, doc_id, text, limit, overlap, vocabulary, whole=True)
     order = Window.partitionBy(doc_id).orderBy("piece_no")  # as many rows as the text has pieces
     after = F.coalesce(F.lag("end_byte").over(order), F.lit(0))
     p = p.withColumn("follows", (F.col("own_byte") == after) & (F.col("end_byte") > F.col("own_byte")))
     fits = (F.col("n_tokens") <= limit) & ((F.col("piece_no") == 0) | (F.col("overlap_tokens") >= overlap))
-    return p.groupBy(doc_id).agg(F.max("end_byte").alias("bytes"), (F.min("follows") & (F.count(F.lit(1)) == F.max("n_pieces"))).alias("covered"), F.min(fits).alias("within"))
+    return p.groupBy(doc_id).agg(F.max("end_byte").alias("bytes"), (F.min("follows") & (F.count(F.lit(1)) == F.max("n_pieces"))).alias("covered"), F.min(fits).alias("fits"))

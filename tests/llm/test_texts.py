@@ -137,7 +137,7 @@ def test_pieces_table(spark, tok):
     got = splitting.pieces(df, with_text=True).collect()
     assert {r["doc_id"] for r in got} == {1} and all(tok.count(r["piece"]) <= 2048 for r in got)
     assert {r["doc_id"] for r in splitting.pieces(df, whole=True).collect()} == {1, 2, 5}
-    assert {(r["doc_id"], r["bytes"], r["covered"], r["within"]) for r in splitting.cover(df).collect()} == {(i, len(t.encode()), True, True) for i, t in ((1, long), (2, "short"), (5, "x " * 1500))}
+    assert {(r["doc_id"], r["bytes"], r["covered"], r["fits"]) for r in splitting.cover(df).collect()} == {(i, len(t.encode()), True, True) for i, t in ((1, long), (2, "short"), (5, "x " * 1500))}
 
 
 def test_containers(spark, tok):
