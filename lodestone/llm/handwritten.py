@@ -40,6 +40,8 @@ EXPANSION, LITERAL = 25, 20_000
 LITERAL_SHARE, LITERAL_CHARS, UNIFORMITY, UNIFORM_LINES, EXPANDS = 0.75, 5000, 0.9, 40, 8
 #: Symbols at least for a layout to be called uniform; bytes of a file whose copies say something; bytes of a line where no file tells.
 UNIFORM_SYMBOLS, COPY_BYTES, WIDTH = 8, 512, 40
+#: Symbols of a file that one task looks at together.
+BLOCK = 50_000
 #: Folders of vendored code and of generated code.
 VENDOR = "vendor|vendored|third_party|third-party|thirdparty|3rdparty|external|extern|deps|bower_components|node_modules|jspm_packages|Godeps/_workspace"
 GENERATED = "codegen-out|gen|__generated__|generated|_gen|autogen|generated-sources|generated_src"
@@ -81,9 +83,11 @@ def _layouts(rows: pa.Table, file: np.ndarray) -> pa.Table:
     least, most = np.full(n_files, 1 << 30), np.full(n_files, -1)
     np.minimum.at(least, of, span)
     np.maximum.at(most, of, span)
-    uniform = (n >= UNIFORM_SYMBOLS) & (least == most) & (np.bincount(of, weights=same[at], minlength=n_files) == n) & (np.bincount(of, weights=signs.indices.is_valid().to_numpy(zero_copy_only=False), minlength=n_files) > 0)
+    alike = np.bincount(of, weights=same[at], minlength=n_files) == n
+    signed = np.bincount(of, weights=signs.indices.is_valid().to_numpy(zero_copy_only=False), minlength=n_files) > 0
     starts = np.flatnonzero(np.r_[True, file[1:] != file[:-1]])
-    return pa.table([rows["file"].take(pa.array(starts)), pa.array(n, pa.int64()), pa.array(np.bincount(of, weights=lines[at], minlength=n_files), pa.float64()), pa.array(uniform)], names=["rel", "n", "drawn", "uniform"])
+    drawn = pa.array(np.bincount(of, weights=lines[at], minlength=n_files), pa.float64())
+    return pa.table([rows["file"].take(pa.array(starts)), pa.array(n, pa.int64()), drawn, pa.array(least, pa.int64()), pa.array(most, pa.int64()), pa.array(alike), pa.array(signed)], names=["rel", "n", "drawn", "least", "most", "alike", "signed"])
 
 
 def _or_null(df: DataFrame, name: str, kind: str):
@@ -94,7 +98,11 @@ def layouts(symbols: DataFrame) -> DataFrame:
     """(rel, n, drawn, uniform): symbols of each file, lines of their signatures in canonical layout, whether all are alike."""
     told = [_or_null(symbols, c, "int").alias(c) for c in ("line", "end_line")]
     s = symbols.where("file is not null and pos is not null").select(clean("file").alias("file"), F.col("pos").cast("int").alias("pos"), *told, clean(_or_null(symbols, "signature", "string")).alias("signature")).where("file is not null")
-    return s.repartition("file").sortWithinPartitions("file").mapInArrow(by_file(_layouts), "rel string, n bigint, drawn double, uniform boolean")
+    # a file of very many symbols is spread by blocks of them, and what the blocks give is put together
+    spread = s.withColumn("block", F.floor(F.col("pos") / BLOCK)).repartition("file", "block").sortWithinPartitions("file", "block").drop("block")
+    parts = spread.mapInArrow(by_file(_layouts), "rel string, n bigint, drawn double, least bigint, most bigint, alike boolean, signed boolean")
+    uniform = (F.sum("n") >= UNIFORM_SYMBOLS) & (F.min("least") == F.max("most")) & F.min("alike") & F.max("signed")
+    return parts.groupBy("rel").agg(F.sum("n").alias("n"), F.sum("drawn").alias("drawn"), uniform.alias("uniform"))
 
 
 def found(files: DataFrame, symbols: DataFrame) -> DataFrame:

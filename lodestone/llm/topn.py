@@ -62,12 +62,12 @@ class Clustered:
             self.read = ([], [])
             return self.rows.withColumn("rank_no", F.lit(0)).limit(0)
         best = Window.partitionBy(group).orderBy(F.desc(score))
-        nth = self._of(first).select(group, score).withColumn("r", F.row_number().over(best)).where(F.col("r") <= n).groupBy(group).agg(F.min(score).alias("nth"), F.max("r").alias("have"))
-        nth = written(nth.select(group, F.when(F.col("have") >= n, F.col("nth")).alias("nth")), "nth")
-        alive = self.stats.join(nth, group).where(F.col("nth").isNull() | (F.col("hi") >= F.col("nth")))
+        nth = self._of(first).select(group, score).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n).groupBy(group).agg(F.min(score).alias("_nth"), F.max("_r").alias("_have"))
+        nth = written(nth.select(group, F.when(F.col("_have") >= n, F.col("_nth")).alias("_nth")), "nth")
+        alive = self.stats.join(nth, group).where(F.col("_nth").isNull() | (F.col("hi") >= F.col("_nth")))
         every = sorted({r[0] for r in alive.select("block").distinct().collect()} | set(first))
         self.read = (first, every)
-        near = self._of(every).join(nth, group).where(F.col("nth").isNull() | (F.col(score) >= F.col("nth"))).drop("nth")
+        near = self._of(every).join(nth, group).where(F.col("_nth").isNull() | (F.col(score) >= F.col("_nth"))).drop("_nth")
         final = Window.partitionBy(group).orderBy(F.desc(score), *ties)
         return near.withColumn("rank_no", F.row_number().over(final)).where(F.col("rank_no") <= n)
 

@@ -14,7 +14,7 @@ def test_top_n_against_brute_force(spark):
     rows = [("hot", f"i{i:05}", rng.choice([1.0, 2.0, 3.0, float(rng.randrange(500))]), rng.choice([None, 1, 2])) for i in range(3000)]
     rows += [(f"g{i % 400}", f"j{i:05}", float(rng.randrange(5)), rng.choice([None, 3])) for i in range(1500)]
     rows += [(None, "x", 9.0, 1), ("hot", "nan", float("nan"), 1), ("hot", "null", None, 1), ("only", "one", 0.0, None)]
-    df = spark.createDataFrame(rows, "g string, item string, score double, d int").withColumn("rank_", F.lit("clash"))
+    df = spark.createDataFrame(rows, "g string, item string, score double, d int").withColumn("rank_", F.lit("clash")).withColumns({c: F.lit("clash") for c in ("block", "hi", "lo", "n", "nth", "have", "r")})
     got = defaultdict(list)
     for r in topn.top_n(df, "g", "score", [F.col("d").desc_nulls_last(), F.col("item").asc()], 5, block_rows=300).collect():
         got[r["g"]].append((r["rank_no"], r["item"]))
