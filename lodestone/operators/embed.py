@@ -147,6 +147,8 @@ def semantic(index: DataFrame | None, query_vec: list[int] | None, lexical: Data
     """
     from pyspark.sql import Window
 
+    # no more than the best of both go into the windows
+    lexical = lexical.orderBy(F.desc("score"), "doc").limit(max(limit, 50))
     words = lexical.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "doc"))).select(F.col("doc").alias("file"), "r")
     if index is None or not query_vec:
         return lexical.select(F.col("doc").alias("file"), "score", F.lit("lexical").alias("tier"), F.lit(reason or "no vectors").alias("degraded_reason")).orderBy(F.desc("score"), "file").limit(limit)

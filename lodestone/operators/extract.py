@@ -62,6 +62,8 @@ VISIBLE: dict[str, Callable[[str, str], bool]] = {
     "elixir": lambda line, name: re.match(r"\s*def(?:macro)?p\b", line) is None,
     "lua": lambda line, name: re.match(r"\s*local\b", line) is None,
 }
+#: A method in the body of a script's class: a name and a list in brackets before the opening brace, and no callback.
+_JS_METHOD = re.compile(rf"^\s+(?!(?:if|for|while|switch|catch|function|return|with|else|do|try)\b)(?:(?:public|private|protected|static|async|override|get|set)\s+)*[*#]?{_ID}\s*(?:<[^>]*>)?\((?!.*(?:=>|\bfunction\b)).*\)\s*(?::\s*[^{{]+)?\{{\s*\}}?\s*$")
 _COMPILED = {g: [(re.compile(p), k) for p, k in rules] for g, rules in RULES.items()}
 _BRACES = {"js", "go", "java", "rust", "csharp", "php", "swift", "kotlin", "c", "scala"}
 #: Languages that other packages have added: extension to a function from content to symbols.
@@ -163,12 +165,15 @@ def symbols(lang: str, ext: str, content: str, rel: str = "", extra: dict[str, C
         out: list[dict] = []
         around: list[dict] = []
         for i, line in enumerate(lines):
-            for p, kind in rules:
+            around = [x for x in around if i + 1 <= x["end_line"]]
+            inside = group == "js" and around and around[-1]["kind"] == "class"
+            for p, kind in [*rules, (_JS_METHOD, "method")] if inside else rules:
                 if m := p.match(line):
                     name = m.group(m.lastindex or 0)
                     end = _end(lines, i, group)
-                    around = [x for x in around if i + 1 <= x["end_line"]]
                     out.append({"name": name, "kind": kind, "line": i + 1, "end_line": end, "parent": around[-1]["name"] if around else None, "signature": line.strip()[: K.SIGNATURE], "exported": visible(line, name)})
+                    if kind == "method" and inside:
+                        out[-1]["exported"] = around[-1]["exported"]
                     if end and kind in ("class", "struct", "module", "interface", "trait", "object", "namespace"):
                         around.append(out[-1])
                     break
@@ -278,7 +283,7 @@ def imports(lang: str, content: str) -> list[str]:
 
 
 _CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::|->)\s*)?([A-Za-z_$][\w$]*)\s*\(")
-_NO_CALL = set("default if for while switch catch return function func def fn class new typeof sizeof await elif else in not and or with assert match when until unless foreach lambda print".split())
+_NO_CALL = set("default import defer go select if for while switch catch return function func def fn class new typeof sizeof await elif else in not and or with assert match when until unless foreach lambda print".split())
 _INTRODUCES = re.compile(r"\b(?:function|func|def|fn|class|fun|sub)\s*\*?\s*$")
 #: In C a name behind a type at the left margin, with nothing but a list in brackets before the semicolon, is declared.
 _DECLARES = re.compile(r"^(?!return\b|else\b|goto\b|case\b)[A-Za-z_][\w\s*&:<>,]*[\s*&]([A-Za-z_]\w*)\s*\([^{}]*\)\s*(?:const\s*)?;\s*$")

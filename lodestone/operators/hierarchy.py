@@ -29,7 +29,7 @@ FILE_ROWS = 200_000
 
 
 def _tidy(symbols: DataFrame) -> DataFrame:
-    return symbols.where(F.col("file").isNotNull() & F.col("pos").isNotNull()).select("file", "pos", clean("name").alias("name"), clean("parent").alias("parent"))
+    return symbols.where(F.col("file").isNotNull() & F.col("pos").isNotNull()).select("file", F.col("pos").cast("int").alias("pos"), clean("name").alias("name"), clean("parent").alias("parent"))
 
 
 def parent_links(symbols: DataFrame, by_file: bool = False) -> DataFrame:

@@ -82,6 +82,10 @@ class Context:
     psr4: list[tuple[str, str]] = field(default_factory=list)
 
 
+#: Folders by whose name a path in an import may begin there.
+ROOTS = r"(^|/)src/(main|test)/(java|kotlin|scala)$|(^|/)(include|inc|src|lib)$"
+
+
 def context(manifests: dict[str, str], folders: set[str] | None = None) -> Context:
     """The context of a tree from the contents of its manifests (path: text) and its folders."""
     c = Context()
@@ -278,7 +282,7 @@ def candidates(lang: str, kind: str, file: str, spec: str, c: Context) -> tuple[
                 return [posixpath.join(folder, spec[len(ns) :].replace("\\", "/")) + ".php"], "dangling", "missing-module"
         return [], "external", None
     if lang == "csharp":
-        return [f"\0ns:{spec}"], "external", None
+        return [f"\0ns:{spec}", f"\0under:{spec}"], "external", None
     return [], "external", None
 
 
@@ -286,7 +290,7 @@ def resolve(refs: DataFrame, files: DataFrame, manifests: Context, namespaces: D
     """Each ref (file, pos, lang, kind, spec) with its resolution: resolved and a target, external, or dangling and a reason.
 
     ``files``: rel. A package of a folder is the first file of it by name; a namespace (namespaces: pkg, rel) the
-    first file that declares it.
+    first file that declares it, or one under it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,6 +309,10 @@ def resolve(refs: DataFrame, files: DataFrame, manifests: Context, namespaces: D
     known = exact.unionByName(firsts)
     if namespaces is not None:
         known = known.unionByName(namespaces.groupBy(F.concat(F.lit("\0ns:"), F.col("pkg")).alias("path")).agg(F.min("rel").alias("target")))
+        parts = F.split("pkg", r"\.")
+        above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ".")))
+        under = namespaces.select("rel", above.alias("ns"))
+        known = known.unionByName(under.groupBy(F.concat(F.lit("\0under:"), F.col("ns")).alias("path")).agg(F.min("rel").alias("target")))
     best = tried.join(known, "path").groupBy("file", "pos", "kind").agg(F.min_by("target", "prio").alias("target"))
     out = made.join(best, ["file", "pos", "kind"], "left")
     state = F.when(F.col("target").isNotNull(), "resolved").otherwise(F.col("miss"))

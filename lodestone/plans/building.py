@@ -50,7 +50,7 @@ def _values(rows: list[tuple], names: str) -> str:
     ("py/yard/stack.py", "Stack", "class", 7, 12, None, True), ("py/yard/stack.py", "push", "method", 8, 9, "Stack", True), ("py/yard/stack.py", "_hidden", "method", 11, 12, "Stack", False), ("py/yard/stack.py", "tower", "function", 15, 16, None, True),
     ("rs/src/lib.rs", "pull", "function", 4, 4, None, True), ("rs/src/rope.rs", "Knot", "struct", 1, 1, None, True), ("rs/src/rope.rs", "tie", "function", 3, 3, None, True),
     ("web/src/cargo.ts", "Cargo", "interface", 1, 4, None, True), ("web/src/cargo.ts", "emptyCargo", "function", 6, 6, None, True),
-    ("web/src/crane.ts", "CraneDriver", "class", 5, 13, None, True), ("web/src/crane.ts", "weigh", "function", 15, 17, None, True),
+    ("web/src/crane.ts", "CraneDriver", "class", 5, 13, None, True), ("web/src/crane.ts", "lift", "method", 6, 12, "CraneDriver", True), ("web/src/crane.ts", "weigh", "function", 15, 17, None, True),
     ("web/src/index.ts", "CraneDriver", "reexport", 1, 0, None, True), ("web/src/index.ts", "weigh", "reexport", 1, 0, None, True), ("web/src/index.ts", "@app/cargo", "reexport-all", 2, 0, None, True),
 ], "file, name, kind, line, end_line, parent, exported"))
 def ex6_symbols(spark, d):
@@ -67,9 +67,13 @@ def ex20_summaries(spark, d):
     return tree(spark).where("lang <> 'markdown' and summary is not null").select("rel", "summary")
 
 
-@query("ex15_calls", _values([("packages/log/src/index.ts", "info", 2, "console"), ("packages/ship/src/main.ts", "log", 3, None), ("web/src/crane.test.ts", "emptyCargo", 4, None), ("web/src/crane.test.ts", "weigh", 4, None), ("web/src/crane.ts", "lift", 6, None), ("web/src/crane.ts", "log", 10, None), ("web/src/crane.ts", "weigh", 8, None)], "file, name, line, receiver"))
+@query("ex15_calls", _values([
+    ("packages/log/src/index.ts", "info", 2, "console"), ("packages/ship/src/main.ts", "log", 3, None), ("web/src/crane.test.ts", "emptyCargo", 4, None), ("web/src/crane.test.ts", "weigh", 4, None), ("web/src/crane.ts", "log", 10, None), ("web/src/crane.ts", "weigh", 8, None),
+    ("py/yard/stack.py", "measure_crate", 9, None), ("py/yard/stack.py", "Stack", 16, None), ("py/yard/stack.py", "range", 16, None), ("dock/dock.go", "Println", 8, "fmt"), ("dock/dock.go", "Key", 8, "gate"),
+    ("rs/src/lib.rs", "tie", 4, None), ("jv/src/main/java/org/quay/Berth.java", "Moon", 6, None), ("jv/src/main/java/org/quay/Berth.java", "pull", 6, None),
+], "file, name, line, receiver"))
 def ex15_calls(spark, d):
-    return extract.child(tree(spark).where("lang = 'typescript'"), "calls").select("file", "name", "line", "receiver")
+    return extract.child(tree(spark), "calls").select("file", "name", "line", "receiver")
 
 
 def resolved(spark: SparkSession) -> DataFrame:
@@ -164,14 +168,25 @@ _PLAIN = "regexp_matches({0}, '^[A-Za-z0-9_+$-]+$')"
 _QUOTED = f"case when {_PLAIN} then {{0}} else '`' || replace({{0}}, '`', '``') || '`' end"
 
 
-@query("sk8_symbol_ids", f"""with x as (select file, pos, name, line, array_to_string(list_transform(string_split(file, '/'), lambda p: case when {_PLAIN.format('p')} then p else '`' || p || '`' end), '/') || '/' || coalesce({_QUOTED.format('parent')} || '#', '') || {_QUOTED.format('name')}
+_IDS = f"""with x as (select file, pos, name, line, array_to_string(list_transform(string_split(file, '/'), lambda p: case when {_PLAIN.format('p')} then p else '`' || p || '`' end), '/') || '/' || coalesce({_QUOTED.format('parent')} || '#', '') || {_QUOTED.format('name')}
         || case when kind in ('class', 'interface', 'struct', 'enum', 'type', 'trait') then '#' when kind in ('function', 'method') then '().' when kind in ('module', 'namespace') then '/' else '.' end base from {SYMS} where name is not null),
     n as (select *, row_number() over (partition by file, base, line order by pos) n, count(*) over (partition by file, base) same from x)
-    select file, pos, name, line, base || case when same = 1 then '' when n = 1 then '(' || line || ')' else '(' || line || '_' || n || ')' end symbol from n""")
+"""
+
+
+@query("sk8_symbol_ids", _IDS + """    select file, pos, name, line, base || case when same = 1 then '' when n = 1 then '(' || line || ')' else '(' || line || '_' || n || ')' end symbol from n""")
 def sk8_symbol_ids(spark, d):
     return artifacts.symbol_ids(symbols(spark, d))
 
 
+@query("sk7_occurrences", _IDS + """
+    select distinct file, (line - 1)::int line, 0 "start", length(name)::int stop, base || case when same = 1 then '' when n = 1 then '(' || line || ')' else '(' || line || '_' || n || ')' end symbol, 1 role from n where line is not null""")
+def sk7_occurrences(spark, d):
+    """The definitions that the documents of all files hold, read back from their bytes."""
+    docs = artifacts.scip_documents(artifacts.occurrences(symbols(spark, d, by_file=True)), files(spark, d).select("rel", "lang"))
+    return artifacts.scip_occurrences(docs)
+
+
 @query("sk7_scip_documents")
 def sk7_scip_documents(spark, d):
     """Definitions of all files of the table; it tells no lines of names in use, so calls are placed in trees only."""
@@ -247,12 +262,12 @@ def sk11_diagram(spark, d):
     return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
 
 
-@query("sk4_saved_index", "select 'edges' name, count(*) rows from (select distinct src, dst, kind from edges where src is not null and dst is not null)")
+@query("sk4_saved_index", REGISTRY.sql["sk1_graph_lines"])
 def sk4_saved_index(spark, d):
+    """The edges of an index that was saved and read back."""
     path = f"{shared_dir(spark)}/stores/index-{uuid.uuid4().hex}"
     artifacts.save_index(path, {"edges": relations.dedupe_edges(edges(spark, d))}, "c0")
-    got = artifacts.load_index(spark, path, "c0")
-    return got["edges"].agg(F.count(F.lit(1)).alias("rows")).select(F.lit("edges").alias("name"), "rows")
+    return artifacts.load_index(spark, path, "c0")["edges"].select("src", "dst", "kind", "weight")
 
 
 @query("st1_stream_refresh", r"select trim(rel, E' \t') rel, lower(nullif(trim(hash, E' \t'), '')) hash from (select *, row_number() over (partition by trim(rel, E' \t') order by seen_at desc) n from files where nullif(trim(rel, E' \t'), '') is not null) where n = 1")

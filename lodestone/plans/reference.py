@@ -576,6 +576,14 @@ def g5_communities(spark, d):
     return G.communities(n, e)
 
 
+@query("g5_placed", f"select id, true placed from {_MODULES}")
+def g5_placed(spark, d):
+    """Whether each module is in one community and the communities are numbered without gaps."""
+    c = written(g5_communities(spark, d), "communities")
+    n = c.select("community").distinct().count()
+    return c.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("one"), F.min("community").alias("c")).select("id", (F.col("one") & F.col("c").between(0, n - 1)).alias("placed"))
+
+
 def _import_modules(spark, d):
     return module_edges(spark, d).where("kind = 'import'").select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
 

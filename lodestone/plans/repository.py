@@ -5,6 +5,7 @@ The base tables are written once to the shared folder; everything else is lazy a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,16 +79,25 @@ class Repository:
         """Contents of the manifests: as many as there are packages."""
         return {r["rel"]: r["content"] for r in self.texts.where(F.col("rel").rlike(MANIFESTS)).select("rel", "content").collect()}
 
+    @cached_property
+    def _all_folders(self) -> DataFrame:
+        return self.texts.select(F.explode(P.ancestors(F.col("rel"))).alias("d")).where("d <> ''").distinct()
+
     @cached_property
     def folders(self) -> set[str]:
-        up = self.texts.select(F.explode(P.ancestors(F.col("rel"))).alias("d")).where("d <> ''").distinct()
-        return {r["d"] for r in up.collect()}
+        """The folders that members of a workspace may be: those with a manifest."""
+        return {p.rsplit("/", 1)[0] for p in self.manifests if "/" in p}
+
+    @cached_property
+    def roots(self) -> set[str]:
+        """The folders that a path in an import may begin at, by their names."""
+        return {r["d"] for r in self._all_folders.where(F.col("d").rlike(resolve.ROOTS)).collect()}
 
     @cached_property
     def resolutions(self) -> DataFrame:
         refs = extract.child(self.rows, "refs").join(self.rows.select(F.col("rel").alias("file"), "lang"), "file")
-        out = resolve.resolve(refs, self.texts.select("rel"), resolve.context(self.manifests, self.folders), self.rows.where("pkg is not null").select("pkg", "rel"))
-        folders = self.texts.select(F.explode(P.ancestors(F.col("rel"))).alias("spec_dir")).distinct().withColumn("is_dir", F.lit(True))
+        out = resolve.resolve(refs, self.texts.select("rel"), resolve.context(self.manifests, self.roots), self.rows.where("pkg is not null").select("pkg", "rel"))
+        folders = self._all_folders.select(F.col("d").alias("spec_dir")).union(self.spark.createDataFrame([("",)], "d string")).withColumn("is_dir", F.lit(True))
         at = F.concat_ws("/", F.when(F.col("file").contains("/"), P.directory(F.col("file"))), F.col("spec"))
         out = out.withColumn("spec_dir", P.normal(at)).join(folders, "spec_dir", "left")
         real = (F.col("kind") == "doc-link") & (F.col("state") == "dangling") & F.col("is_dir")
@@ -260,6 +270,12 @@ class Repository:
         """The tests that reach any file of a module."""
         return self.tests_map().join(self.module_of.where(F.col("module") == module).select("rel"), "rel", "left_semi").select("test").distinct().orderBy("test")
 
+    def graph_json(self) -> Iterator[str]:
+        """The graph document, piece by piece."""
+        languages = {r["lang"]: r["files"] for r in self.scan_summary().collect()}
+        files = self.file_nodes.drop("title")
+        return artifacts.graph_json(files, self.edges, self.modules, self.module_edges, languages, git.head(self.root))
+
     def mermaid(self, module: str | None = None) -> str:
         return artifacts.mermaid(self.module_edges, module)
 

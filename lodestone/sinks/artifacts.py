@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,15 +19,21 @@ from ..functions import constants as K
 SCHEMA_VERSION, EXTRACTOR_VERSION, EMBED_VERSION = 4, 10, 1
 
 
-def json_rows(df: DataFrame, order: list[str]) -> list[dict]:
-    """Rows in a total order as plain dicts without nulls. For documents that are read whole."""
-    return [{k: v for k, v in r.asDict(True).items() if v is not None} for r in df.orderBy(*order).collect()]
+def _rows(df: DataFrame, order: list[str]) -> Iterator[str]:
+    """Rows in a total order as JSON without nulls, one after another: the driver holds one partition of them."""
+    for i, r in enumerate(df.orderBy(*order).toLocalIterator()):
+        yield ("," if i else "") + "\n    " + json.dumps({k: v for k, v in r.asDict(True).items() if v is not None}, ensure_ascii=False, default=str)
 
 
-def graph_json(files: DataFrame, edges: DataFrame, modules: DataFrame, module_edges: DataFrame, languages: dict[str, int], commit: str | None = None) -> str:
-    doc = {"schemaVersion": SCHEMA_VERSION, "commit": commit, "fileCount": None, "languages": dict(sorted(languages.items())), "files": json_rows(files, ["rel"]), "modules": json_rows(modules, ["slug"]), "fileEdges": json_rows(edges, ["src", "dst", "kind"]), "moduleEdges": json_rows(module_edges, ["src_module", "dst_module"])}
-    doc["fileCount"] = len(doc["files"])
-    return json.dumps({k: v for k, v in doc.items() if v is not None}, indent=2, ensure_ascii=False) + "\n"
+def graph_json(files: DataFrame, edges: DataFrame, modules: DataFrame, module_edges: DataFrame, languages: dict[str, int], commit: str | None = None) -> Iterator[str]:
+    """The graph document piece by piece, to be written as it comes; the pieces together are one JSON text."""
+    head = {"schemaVersion": SCHEMA_VERSION, **({"commit": commit} if commit else {}), "fileCount": files.count(), "languages": dict(sorted(languages.items()))}
+    yield json.dumps(head, indent=2, ensure_ascii=False)[:-2]
+    for name, df, order in (("files", files, ["rel"]), ("modules", modules, ["slug"]), ("fileEdges", edges, ["src", "dst", "kind"]), ("moduleEdges", module_edges, ["src_module", "dst_module"])):
+        yield f',\n  "{name}": ['
+        yield from _rows(df, order)
+        yield "\n  ]"
+    yield "\n}\n"
 
 
 def graph_lines(edges: DataFrame) -> DataFrame:
@@ -159,7 +166,7 @@ def occurrences(symbols: DataFrame, calls: DataFrame | None = None, texts: DataF
         before = utf16_length(F.substring(text, F.lit(1), at - 1))
         start = F.when(at > 0, before).otherwise(0)
         stop = F.when(at > 0, before + utf16_length(F.col("name"))).otherwise(F.coalesce(utf16_length(text), F.lit(0)))
-    return x.select("file", (F.col("line") - 1).alias("line"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), "symbol", "role").distinct()
+    return x.where("line is not null").select("file", (F.col("line") - 1).alias("line"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), "symbol", "role").distinct()
 
 
 def scip_documents(rows: DataFrame, languages: DataFrame) -> DataFrame:
@@ -186,6 +193,60 @@ def scip_documents(rows: DataFrame, languages: DataFrame) -> DataFrame:
     return x.select("file", "lang", *[F.col(f"o.{p}").alias(p) for p in parts]).mapInPandas(encode, "file string, document binary")
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a message: numbers and byte strings."""
+    i = 0
+
+    def number() -> int:
+        nonlocal i
+        out = shift = 0
+        while True:
+            b = data[i]
+            i += 1
+            out |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                return out
+
+    while i < len(data):
+        tag = number()
+        if tag & 7 == 2:
+            size = number()
+            yield tag >> 3, data[i : i + size]
+            i += size
+        else:
+            yield tag >> 3, number()
+
+
+def scip_occurrences(documents: DataFrame) -> DataFrame:
+    """(file, line, start, stop, symbol, role): the occurrences that the documents hold, read back from their bytes."""
+    import pandas as pd
+
+    def packed(data: bytes) -> list[int]:
+        out, n, shift = [], 0, 0
+        for b in data:
+            n |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                out.append(n)
+                n = shift = 0
+        return out
+
+    def decode(batches):
+        for b in batches:
+            rows = []
+            for doc in b["document"]:
+                parts = list(fields(bytes(doc)))
+                file = next(v for k, v in parts if k == 1).decode()
+                for k, v in parts:
+                    if k == 2:
+                        o = dict(fields(v))
+                        rows.append((file, *packed(o[1]), o[2].decode(), o.get(3, 0)))
+            yield pd.DataFrame(rows, columns=["file", "line", "start", "stop", "symbol", "role"])
+
+    return documents.select("document").mapInPandas(decode, "file string, line int, start int, stop int, symbol string, role int")
+
+
 def scip_index(documents: DataFrame, root: str, version: str = "1") -> bytes:
     tool = tagged(1, "lodestone") + tagged(2, version)
     meta = tagged(1, tagged(2, tool) + tagged(3, f"file://{root}") + tagged(4, 1))

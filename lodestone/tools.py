@@ -12,7 +12,7 @@ import hashlib
 import json
 import os
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ from .plans.repository import Repository
 from .sinks import artifacts, edits
 from .sources import git, walk
 
-Answer = DataFrame | dict | list | str | None
+Answer = DataFrame | dict | list | str | Iterator[str] | None
 
 
 class Session:
@@ -103,6 +103,9 @@ def _semantic(session: Session, root: str, a: dict) -> Answer:
 
 
 def _graph(session: Session, root: str, a: dict) -> Answer:
+    """The whole document with ``--json``, else a line for each edge."""
+    if a.get("json"):
+        return session.repository(root).graph_json()
     return artifacts.graph_lines(session.repository(root).edges).orderBy("src", "dst", "kind").select(F.col("line").alias("edge"))
 
 
@@ -169,6 +172,13 @@ def lines_of(answer: Answer) -> Iterable[str]:
         yield from (json.dumps({k: v for k, v in r.asDict(True).items() if v is not None}, ensure_ascii=False, default=str) for r in answer.toLocalIterator())
     elif isinstance(answer, str):
         yield answer.rstrip("\n")
+    elif isinstance(answer, Iterator):
+        part = ""
+        for piece in answer:
+            *whole, part = (part + piece).split("\n")
+            yield from whole
+        if part:
+            yield part
     else:
         yield json.dumps(answer, ensure_ascii=False, default=str)
 
@@ -211,7 +221,7 @@ def serve(session: Session, root: str, requests: Iterable[str], to: IO[str]) ->
         try:
             answer = call(session, str(r.get("tool")), r.get("root") or root, r.get("arguments") or {})
             rows = list(lines_of(answer))
-            result = [json.loads(x) for x in rows] if isinstance(answer, DataFrame) else answer
+            result = [json.loads(x) for x in rows] if isinstance(answer, DataFrame) else json.loads("\n".join(rows)) if isinstance(answer, Iterator) else answer
             return {"id": r.get("id"), "result": result}
         except Exception as e:  # noqa: BLE001 the loop goes on
             return {"id": r.get("id"), "error": f"{type(e).__name__}: {e}"}

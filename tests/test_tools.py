@@ -47,6 +47,8 @@ def test_every_command_answers(session, root, tmp_path):
     for tool in [t for t in tools.TOOLS if t not in edits]:
         answer = list(tools.lines_of(tools.call(session, tool, root, given.get(tool, {}))))
         assert all(answer) and (tool != "mermaid" or answer[0].startswith("graph LR")), tool
+    whole = json.loads("\n".join(tools.lines_of(tools.call(session, "graph", root, {"json": True}))))
+    assert whole["fileCount"] == len(whole["files"]) == len(FILES) and {(e["src"], e["dst"]) for e in whole["fileEdges"]} >= {("web/src/crane.ts", "web/src/cargo.ts")} and whole["commit"]
     assert rows(session, root, "index", out_dir=str(tmp_path / "index"))[0]["written"] is False
     assert {r["enclosing"] for r in rows(session, root, "raw_callers") if r["name"] == "weigh" and r["file"] == "web/src/crane.ts"} == {"CraneDriver"}
     assert [(r["file"], r["line"]) for r in rows(session, root, "callers") if r["name"] == "weigh"] == [("web/src/crane.test.ts", 4), ("web/src/crane.ts", 8)]
