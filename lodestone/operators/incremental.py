@@ -16,6 +16,7 @@ import json
 import math
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,16 @@ def changed_records(current: DataFrame, stored: DataFrame, key: str, content: st
     return near.join(far, "_k", "left").where(~_unchanged(["_c"])).select(F.col("_k").alias(key))
 
 
+@dataclass
+class Layout:
+    """How keys are put into partitions: ``parts`` for small folders, and for each hot folder where its own begin and how many they are."""
+
+    number: int
+    parts: int
+    made_for: int
+    hot: dict[str, tuple[int, int]]
+
+
 class Run(dict):
     """``run``: its number; ``partitions``: how many it replaced. The attribute ``pending`` has the records it processed."""
 
@@ -135,8 +146,26 @@ class PartitionStore:
         return data.where(F.col("_slot").isin(slots) & F.col(self.key).isNotNull()).drop("_slot")
 
     def _schema(self) -> T.StructType:
-        lines = self.spark.read.text(f"{self.path}/schema").collect()
-        return T.StructType.fromJson(json.loads(lines[0][0]))
+        return T.StructType.fromJson(json.loads(self._text("schema.json") or ""))
+
+    def _text(self, name: str) -> str | None:
+        """The content of a small file of the store."""
+        if not self._fs.exists(self._at(name)):
+            return None
+        stream = self._fs.open(self._at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        """Replaces a small file by one rename."""
+        part = f".{name}-{uuid.uuid4().hex}"
+        stream = self._fs.create(self._at(part))
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self._fs.delete(self._at(name), False)
+        self._fs.rename(self._at(part), self._at(name))
 
     def rows(self) -> DataFrame:
         """The rows of the last run that ended: a list of slots, of which there are as many as partitions."""
@@ -147,43 +176,39 @@ class PartitionStore:
 
     # layout
 
-    def _layout(self, rows: DataFrame | None) -> DataFrame:
-        """(number, folder, start, parts, made_for): a row without folder for all small ones, one for each hot folder."""
-        at, old = f"{self.path}/layout", None
-        if self._fs.exists(self._at("layout", "_SUCCESS")):
-            old = self.spark.read.parquet(at)
-            if rows is None or self.partitions:
-                return old
+    def _layout(self, rows: DataFrame | None) -> Layout:
+        """The layout the store has, or a new one for ``rows`` where there is none or they have outgrown it."""
+        told = self._text("layout.json")
+        old = Layout(**json.loads(told)) if told else None
+        if old and (rows is None or self.partitions):
+            return old
         n = rows.count()
-        number = 0
-        if old is not None:
-            head = old.where("folder is null").first()
-            if n <= GROWTH * head["made_for"]:
-                return old
-            number = head["number"] + 1
-        parts = self.partitions or partitions_for(n)
-        made = [(number, None, 0, parts, n)]
+        if old and n <= GROWTH * old.made_for:
+            return old
+        made = Layout(old.number + 1 if old else 0, self.partitions or partitions_for(n), n, {})
         if self.folder is not None:
             sizes = rows.groupBy(self.folder(self.key).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
-            start = parts
+            start = made.parts
             # at most n / (HOT * n / parts) = parts / HOT folders
-            for r in sizes.where(F.col("n") > F.lit(HOT * max(1, n // parts))).orderBy("folder").collect():
-                own = 1 << math.ceil(math.log2(r["n"] * parts / n))
-                made.append((number, r["folder"], start, own, n))
+            for r in sizes.where(F.col("n") > F.lit(HOT * max(1, n // made.parts))).orderBy("folder").collect():
+                own = 1 << math.ceil(math.log2(r["n"] * made.parts / n))
+                made.hot[r["folder"]] = (start, own)
                 start += own
-        self.spark.createDataFrame(made, "number int, folder string, start int, parts int, made_for bigint").coalesce(1).write.mode("overwrite").parquet(at)
-        return self.spark.createDataFrame(made, "number int, folder string, start int, parts int, made_for bigint")
+        self._put("layout.json", json.dumps(asdict(made)))
+        return made
 
-    def _placed(self, rows: DataFrame, layout: DataFrame) -> DataFrame:
+    def _placed(self, rows: DataFrame, layout: Layout) -> DataFrame:
         """Rows with the number of their partition, which tells the layout as well."""
-        head = layout.where("folder is null").first()
-        base = F.lit(head["number"] << 40).cast("bigint")
+        base = F.lit(layout.number << 40).cast("bigint")
         if self.folder is None:
-            return rows.withColumn("_part", base + by_hash(self.key, head["parts"]))
-        hot = layout.where("folder is not null").select(F.col("folder").alias("_f"), F.col("start").alias("_start"), F.col("parts").alias("_own"))
+            return rows.withColumn("_part", base + by_hash(self.key, layout.parts))
+        usual = F.pmod(F.xxhash64(self.folder(self.key)), F.lit(layout.parts))
+        if not layout.hot:
+            return rows.withColumn("_part", base + usual)
+        hot = self.spark.createDataFrame([(f, a, n) for f, (a, n) in layout.hot.items()], "_f string, _start int, _own int")
         x = rows.withColumn("_f", self.folder(self.key)).join(F.broadcast(hot), "_f", "left")  # a quarter of the partitions at most
         spread = F.col("_start") + F.pmod(F.xxhash64(F.col(self.key)), F.col("_own"))
-        return x.withColumn("_part", base + F.coalesce(spread, F.pmod(F.xxhash64("_f"), F.lit(head["parts"])))).drop("_f", "_start", "_own")
+        return x.withColumn("_part", base + F.coalesce(spread, usual)).drop("_f", "_start", "_own")
 
     # runs
 
@@ -214,7 +239,7 @@ class PartitionStore:
         m = self._manifest(self.runs()[-1])
         return [r[0] for r in m.where(F.col("_part").isin(parts)).select("slot").collect()]
 
-    def _advance(self, src: DataFrame, layout: DataFrame, only: list[int] | None, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None) -> Run:
+    def _advance(self, src: DataFrame, layout: Layout, only: list[int] | None, work: Callable[[DataFrame], DataFrame], before_commit: Callable[[], None] | None) -> Run:
         runs = self.runs()
         run = runs[-1] + 1 if runs else 1
         now = written(fingerprints(src, "_part", [self.key, *self.content]), "fingerprints")
@@ -249,7 +274,7 @@ class PartitionStore:
         # one null row for each changed partition: what a failed attempt left in it is overwritten in any case
         empty = self.spark.createDataFrame([(i,) for i in ids], "_part bigint")
         out = out.unionByName(empty, allowMissingColumns=True).withColumn("_slot", F.concat(F.lit(f"r{run}p"), F.col("_part").cast("string"))).drop("_part")
-        self.spark.createDataFrame([(out.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/schema")
+        self._put("schema.json", out.schema.json())
         tasks = min(len(ids), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         out.repartition(tasks, "_slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_slot").parquet(f"{self.path}/data")
 
