@@ -62,7 +62,7 @@ VISIBLE: dict[str, Callable[[str, str], bool]] = {
     "elixir": lambda line, name: re.match(r"\s*def(?:macro)?p\b", line) is None,
     "lua": lambda line, name: re.match(r"\s*local\b", line) is None,
 }
-#: A method in the body of a script's class: a name and a list in brackets before the opening brace, and no callback.
+#: A method that a script's class declares: a name and a list in brackets before the opening brace, and no callback.
 _JS_METHOD = re.compile(rf"^\s+(?!(?:if|for|while|switch|catch|function|return|with|else|do|try)\b)(?:(?:public|private|protected|static|async|override|get|set)\s+)*[*#]?{_ID}\s*(?:<[^>]*>)?\((?!.*(?:=>|\bfunction\b)).*\)\s*(?::\s*[^{{]+)?\{{\s*\}}?\s*$")
 _COMPILED = {g: [(re.compile(p), k) for p, k in rules] for g, rules in RULES.items()}
 _BRACES = {"js", "go", "java", "rust", "csharp", "php", "swift", "kotlin", "c", "scala"}
@@ -166,14 +166,11 @@ def symbols(lang: str, ext: str, content: str, rel: str = "", extra: dict[str, C
         around: list[dict] = []
         for i, line in enumerate(lines):
             around = [x for x in around if i + 1 <= x["end_line"]]
-            inside = group == "js" and around and around[-1]["kind"] == "class"
-            for p, kind in [*rules, (_JS_METHOD, "method")] if inside else rules:
+            for p, kind in rules:
                 if m := p.match(line):
                     name = m.group(m.lastindex or 0)
                     end = _end(lines, i, group)
                     out.append({"name": name, "kind": kind, "line": i + 1, "end_line": end, "parent": around[-1]["name"] if around else None, "signature": line.strip()[: K.SIGNATURE], "exported": visible(line, name)})
-                    if kind == "method" and inside:
-                        out[-1]["exported"] = around[-1]["exported"]
                     if end and kind in ("class", "struct", "module", "interface", "trait", "object", "namespace"):
                         around.append(out[-1])
                     break
@@ -316,7 +313,7 @@ def calls(lang: str, content: str, defined: list[dict]) -> list[dict]:
             seen.clear()
     own = {(s["name"], s["line"]) for s in defined}
     for i, line in enumerate(re.split(r"\r?\n", code_only(content, group)), 1):
-        declared = _DECLARES.match(line) if group == "c" else None
+        declared = _DECLARES.match(line) if group == "c" else _JS_METHOD.match(line) if group == "js" else None
         for m in _CALL.finditer(line):
             name = m.group(2)
             if len(name) >= 2 and name not in _NO_CALL and (name, i) not in own and not _INTRODUCES.search(line[: m.start(2)]) and not (declared and declared.group(1) == name):

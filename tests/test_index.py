@@ -112,10 +112,11 @@ def test_rules_of_other_languages(lang, code, want):
     assert {(s["name"], s["kind"]) for s in E.symbols(lang, "", code)[1]} == want
 
 
-def test_methods_of_scripts():
-    code = "export class A {\n  static async go(x: number): Promise<void> {\n    if (x) {\n      run(x, () => {\n      });\n    }\n  }\n  empty() {}\n}\nclass B {\n  own() {\n  }\n}\nfunction f() {\n  loop(1) \n}\n"
+def test_methods_that_a_script_declares_are_no_calls():
+    code = "export class A {\n  static async go(x: number): Promise<void> {\n    if (x) {\n      run(x, () => {\n      });\n    }\n  }\n  empty() {}\n}\nfunction f() {\n  loop(1) \n}\n"
     found = E.symbols("typescript", ".ts", code)[1]
-    assert [(s["name"], s["kind"], s["line"], s["end_line"], s["parent"], s["exported"]) for s in found] == [("A", "class", 1, 9, None, True), ("go", "method", 2, 7, "A", True), ("empty", "method", 8, 8, "A", True), ("B", "class", 10, 13, None, False), ("own", "method", 11, 12, "B", False), ("f", "function", 14, 16, None, False)]
+    assert [(s["name"], s["line"], s["end_line"]) for s in found] == [("A", 1, 9), ("f", 10, 12)]
+    assert [(c["name"], c["line"]) for c in E.calls("typescript", code, found)] == [("run", 4), ("loop", 11)]
 
 
 def test_python_calls_come_from_its_grammar():
