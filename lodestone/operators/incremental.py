@@ -146,7 +146,9 @@ class PartitionStore:
         return data.where(F.col("_slot").isin(slots) & F.col(self.key).isNotNull()).drop("_slot")
 
     def _schema(self) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self._text("schema.json") or ""))
+        told = self._text("schema.json")
+        # a run may have been lost while it replaced the file: the data tell the same
+        return T.StructType.fromJson(json.loads(told)) if told else self.spark.read.parquet(f"{self.path}/data").schema
 
     def _text(self, name: str) -> str | None:
         """The content of a small file of the store."""

@@ -241,3 +241,14 @@ def test_percentiles_of_a_hot_key_and_of_text(spark):
     assert {r["key"]: (r["a"], r["b"]) for r in skew.percentiles(freq, {"a": 0.5, "b": 0.07}).collect()} == {"hot": (500, 70), "k": (5, 5)}
     words = skew.weighted(spark.createDataFrame([("k", w) for w in "abcde"], "k string, v string"), F.col("k"), [F.col("v")])
     assert skew.percentiles(words, {"m": 0.5}).first()["m"] == "c"
+
+
+def test_the_store_gets_over_the_loss_of_its_small_files(spark, tmp_path):
+    store = I.PartitionStore(spark, str(tmp_path / "store"), "k", ["c"], folder=I.folder_of)
+    df = spark.createDataFrame([(f"d{i % 7}/k{i}", "1") for i in range(60)], "k string, c string")
+    store.refresh(df, lambda d: d.withColumn("size", F.length("k")))
+    for name in ("schema.json", "layout.json"):
+        (tmp_path / "store" / name).unlink()
+    assert store.rows().agg(F.count(F.lit(1)), F.min("size")).first()[:] == (60, 5)
+    run = store.refresh(df.withColumn("c", F.when(F.col("k") == "d3/k3", "2").otherwise(F.col("c"))), lambda d: d.withColumn("size", F.length("k")))
+    assert [r["k"] for r in run.pending.collect()] == ["d3/k3"] and sorted(r["c"] for r in store.rows().collect()) == ["1"] * 59 + ["2"]
