@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .. import compiled
 from ..functions import constants as K
 from ..session import written
 
 #: Edges of a module graph that one task may hold; edges of a graph that one task ranks.
 MODULE_EDGES, TASK_EDGES = 5_000_000, 1_000_000
-#: Sources of shortest paths that one task sweeps.
-SOURCES = 64
+#: Tasks for each core that the sources of shortest paths are dealt to.
+SHARES = 4
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = K.DAMPING, iterations: int = K.ITERATIONS, stop: float = K.L1_STOP, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -99,60 +100,34 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most: int | None = K.BETWEEN
 
     Above ``most`` nodes (None: no guard) all are 0 and ``computed`` is false.
 
-    One shortest-path sweep for each source, spread over the tasks by source; sums are partial before the shuffle.
+    One shortest-path sweep for each source in the JVM, spread over the tasks by source; each task sums up its own.
     """
     every = nodes.select("id").distinct().orderBy("id")
     ids = [r[0] for r in (every if most is None else every.limit(most + 1)).collect()]
     n = len(ids)
     if n < 3 or (most is not None and n > most):
         return nodes.select("id").distinct().withColumn("betweenness", F.lit(0.0)).withColumn("computed", F.lit(n < 3))
-    pairs = _checked(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()).toPandas()
-    place = {x: i for i, x in enumerate(ids)}
-    a, b = pairs["a"].map(place), pairs["b"].map(place)
-    known = a.notna() & b.notna()
-    a, b = a[known].to_numpy(np.int64), b[known].to_numpy(np.int64)
-    tails, heads = np.concatenate([a, b]), np.concatenate([b, a])
     spark = nodes.sparkSession
-    sent = spark.sparkContext.broadcast((np.bincount(tails, minlength=n), heads[np.argsort(tails, kind="stable")]))
-
-    def sweep(batches):
-        degree, near = sent.value
-        first = np.cumsum(degree) - degree
-        total = np.zeros(n)
-        for batch in batches:
-            for s in batch["id"]:
-                total += _dependencies(int(s), degree, first, near)
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"at": some, "x": total[some]})
-
-    sums = spark.range(0, n, 1, -(-n // SOURCES)).mapInPandas(sweep, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
-    named = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "id": ids}), "at bigint, id string")
+    place = spark.createDataFrame(pd.DataFrame({"at": np.arange(n), "id": ids}), "at bigint, id string")
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(place.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("at", f"{end}_at")
+    pairs = _checked(pairs).toArrow()
+    a, b = pairs["a_at"].to_numpy(), pairs["b_at"].to_numpy()
+    tails, heads = np.concatenate([a, b]), np.concatenate([b, a])
+    degree = np.bincount(tails, minlength=n)
+    order = np.argsort(-degree, kind="stable")  # what is met most lies together in memory
+    spot = np.empty(n, np.int64)
+    spot[order] = np.arange(n)
+    near = spot[heads][np.lexsort((spot[heads], spot[tails]))]
+    graph = spark.createDataFrame([(bytearray(degree[order].astype("<i4").tobytes()), bytearray(near.astype("<i4").tobytes()))], "degree binary, near binary")
+    shares = min(n, SHARES * spark.sparkContext.defaultParallelism)
+    compiled.register(spark, "lodestone_dependencies", __package__, "Dependencies", "array<double>")
+    swept = spark.range(0, shares, 1, shares).crossJoin(F.broadcast(graph)).select(F.call_function("lodestone_dependencies", F.col("id").cast("int"), F.lit(shares), "degree", "near").alias("x"))
+    sums = swept.select(F.posexplode("x").alias("spot", "x")).where("x <> 0").groupBy("spot").agg(F.sum("x").alias("x"))
+    named = spark.createDataFrame(pd.DataFrame({"spot": spot, "id": ids}), "spot int, id string")
     scale = (n - 1) * (n - 2) / 2
-    return named.join(sums, "at", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)) / 2 / scale, 6).alias("betweenness"), F.lit(True).alias("computed"))
-
-
-def _dependencies(s: int, degree: np.ndarray, first: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """How much each node lies on the shortest paths from ``s`` to all others, a level of distance at a time."""
-    n = len(degree)
-    seen, paths = np.zeros(n, bool), np.zeros(n)
-    seen[s], paths[s] = True, 1.0
-    at, steps = np.array([s]), []
-    while len(at):
-        d = degree[at]
-        v = np.repeat(at, d)
-        w = near[np.repeat(first[at] - (np.cumsum(d) - d), d) + np.arange(len(v))]
-        new = ~seen[w]
-        v, w = v[new], w[new]
-        seen[w] = True
-        more = np.bincount(w, weights=paths[v], minlength=n)
-        paths += more
-        at = np.flatnonzero(more)
-        steps.append((v, w))
-    share = np.zeros(n)
-    for v, w in reversed(steps):
-        share += np.bincount(v, weights=paths[v] / paths[w] * (1 + share[w]), minlength=n)
-    share[s] = 0.0
-    return share
+    return named.join(sums, "spot", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)) / 2 / scale, 6).alias("betweenness"), F.lit(True).alias("computed"))
 
 
 def _louvain(ids: list[str], near: dict[str, dict[str, float]]) -> dict[str, int]:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -121,6 +122,51 @@ def test_betweenness_against_all_shortest_paths(spark):
     assert {r["betweenness"] for r in G.betweenness(n, e, most=13).collect()} == {0.0}
 
 
+def test_betweenness_of_hubs_and_parts(spark):
+    """Levels are crossed from either side: hubs, long arms, parts without a link between them, nodes without any."""
+    rng = random.Random(5)
+    ids = [f"n{i:03}" for i in range(260)]
+    pairs = {tuple(sorted((ids[h], ids[i]))) for h in (0, 1, 2) for i in range(3, 150) if rng.random() < 0.6}
+    pairs |= {tuple(sorted(rng.sample(ids[3:150], 2))) for _ in range(200)}
+    pairs |= {(ids[i], ids[i + 1]) for i in range(149, 190)} | {tuple(sorted(rng.sample(ids[200:250], 2))) for _ in range(120)}
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        far, count, before, queue = {s: 0}, {s: 1}, {s: []}, [s]
+        for v in queue:
+            for w in sorted(near[v]):
+                if w not in far:
+                    far[w], count[w], before[w] = far[v] + 1, 0, []
+                    queue.append(w)
+                if far[w] == far[v] + 1:
+                    count[w] += count[v]
+                    before[w].append(v)
+        share = dict.fromkeys(queue, 0.0)
+        for w in reversed(queue):
+            for v in before[w]:
+                share[v] += count[v] / count[w] * (1 + share[w])
+            want[w] += share[w] * (w != s) / 2
+    n, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(sorted(pairs), "src string, dst string")
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(n, e, most=None).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i] / (259 * 258 / 2)) < 6e-7 for i in ids)
+
+
+def test_betweenness_costs_what_lies_in_reach(spark):
+    """A hub with 20,000 leaves beside 25,000 rings of four: a sweep costs its own part, not the whole graph."""
+    leaf = spark.range(20_000).select(F.lit("hub").alias("src"), F.concat(F.lit("leaf"), "id").alias("dst"))
+    corner = lambda k: F.concat(F.lit("ring"), "id", F.lit("-"), F.lit(k % 4))
+    e = leaf.union(spark.range(25_000).select(F.explode(F.array(*[F.struct(corner(k).alias("src"), corner(k + 1).alias("dst")) for k in range(4)])).alias("x")).select("x.*"))
+    began = time.monotonic()
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(e.select(F.col("src").alias("id")).union(e.select("dst")), e, most=None).collect()}
+    took = time.monotonic() - began
+    assert len(got) == 120_001 and {i for i, x in got.items() if x} == {"hub"}
+    assert abs(got["hub"] - 20_000 * 19_999 / (120_000 * 119_999)) < 6e-7
+    assert took < 60
+
+
 def test_the_repository_source_lists_every_file(tmp_path):
     for i in range(20_005):
         (tmp_path / f"f{i}.ts").touch()
